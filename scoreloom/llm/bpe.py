@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Encoded pieces and byte strings kept by each Python worker; the memory stays bounded.
-WORDS, STRINGS = 250_000, 100_000
+WORDS, STRINGS = 400_000, 250_000
 #: Longer texts are halved; ids of which there are more are decoded in halves.
 LEAF_CHARS, LEAF_IDS = 1 << 16, 1 << 14
 #: Rows leave a task in batches of about so many bytes.
