@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import bpe, decontamination, embeddings, minhash, pages, secrets, sharding, substrings, toxicity
+from scoreloom.llm import bpe, decontamination, embeddings, lines, minhash, pages, secrets, sharding, substrings, toxicity
 from scoreloom.llm.common import table
 
 
@@ -44,6 +44,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.line_classes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "line_no", "class_doc", "class_line", "n_links", "kept")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_sharding": op5_sharding,
     "op6_secrets": op6_secrets,
+    "op7_lines": op7_lines,
     "op8_minhash": op8_minhash,
     "op9_substrings": op9_substrings,
     "op10_toxicity": op10_toxicity,

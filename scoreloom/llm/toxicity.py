@@ -239,7 +239,7 @@ def _fit(points: list[tuple[float, int, int]], steps: int = 60) -> tuple[float,
     return a, b
 
 
-def _score(lexicon: Lexicon):
+def _score(lexicon: Lexicon, out_names: tuple[str, str] = ("score", "n_hits")):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = automaton(lexicon)
         for batch in batches:
@@ -253,7 +253,7 @@ def _score(lexicon: Lexicon):
                 n.append(len(hits))
             columns = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] != "text"]
             names = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.float64()), pa.array(n, pa.int64())], names=[*names, "score", "n_hits"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.float64()), pa.array(n, pa.int64())], names=[*names, *out_names])
 
     return run
 
@@ -267,3 +267,12 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFram
     kind = dict(docs.dtypes)["doc_id"]
     out = docs.select("doc_id", "text").mapInArrow(_score(lexicon), f"doc_id {kind}, score double, n_hits long")
     return held_out(out).select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_hits")
+
+
+def clean(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs whose text scores below threshold, all columns; a null text scores 0 and stays."""
+    rest = [c for c in docs.columns if c != "text"]
+    judged = docs.select(*[F.col(f"`{c}`") for c in rest], F.col("text").alias("__kept"), "text")
+    kinds = ", ".join(f"`{c}` {t}" for c, t in judged.drop("text").dtypes)
+    scored = judged.mapInArrow(_score(lexicon, ("__score", "__hits")), f"{kinds}, __score double, __hits long")
+    return scored.where(F.col("__score") < threshold).withColumnRenamed("__kept", "text").select(*[f"`{c}`" for c in docs.columns])
