@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ LENGTH, GRAM = 400, 64
 MOST_RUNS = 400
 #: Suffixes sorted together.
 BLOCK = 1 << 17
-#: Bytes of texts whose hashes are held at once.
-PIECE = 1 << 20
+#: Bytes of texts whose hashes are held at once, and texts that are read together.
+PIECE, CHUNK = 1 << 18, 512
 
 
 def slide(x: np.ndarray, width: int) -> np.ndarray:
@@ -44,44 +45,76 @@ def slide(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(y[: len(y) - (width - k)], y[width - k :]) if k < width else y
 
 
-def runs(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, int, bool]]:
-    """(anchor, first window, windows, whether the anchor occurs twice in it) of each run of windows of one anchor."""
-    n = len(raw)
-    if n < length:
-        return
-    hold: tuple[int, int, int] | None = None
-    for base in range(0, n - length + 1, PIECE):
-        part = np.frombuffer(raw[base : min(n, base + PIECE + length - 1)], np.uint8)
-        sums = prefix(part)
-        m = len(part) - gram + 1
-        h = mix((sums[gram:] - sums[:m]) * powers(len(sums))[1][:m])
-        least = slide(h, length - gram + 1)
-        first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-        count = np.diff(np.append(first, len(least)))
-        for a, s, c in zip(least[first].tolist(), (first + base).tolist(), count.tolist(), strict=True):
-            if hold and hold[0] == a:
-                hold = (a, hold[1], hold[2] + c)
-                continue
-            if hold:
-                yield *hold, _twice(raw, *hold, length, gram)
-            hold = (a, s, c)
-    if hold:
-        yield *hold, _twice(raw, *hold, length, gram)
-
-
-def _twice(raw: bytes, anchor: int, start: int, windows: int, length: int, gram: int) -> bool:
-    """Whether the run's windows may repeat within it. A run of no more windows than a window has k-grams has its
-    anchor once, unless its text is periodic; only then is it looked at."""
-    seen = raw[start : start + windows + length - 1]
-    at = seen.find(seen[windows - 1 : windows - 1 + gram], 0)
-    if windows <= length - gram + 1 and not (0 <= at < windows - 1):
-        # the anchor itself: find it by its hash among the k-grams common to all windows
-        part = np.frombuffer(seen, np.uint8)
-        sums = prefix(part)
-        m = len(part) - gram + 1
-        h = mix((sums[gram:] - sums[:m]) * powers(len(sums))[1][:m])
-        return int((h == np.uint64(anchor)).sum()) > 1
-    return True
+class Runs(NamedTuple):
+    """Of each run of windows of one anchor: the text, the anchor, the first window, the number of windows, and
+    whether its windows may repeat within it, as its anchor occurs again there."""
+
+    text: np.ndarray
+    anchor: np.ndarray
+    start: np.ndarray
+    windows: np.ndarray
+    twice: np.ndarray
+
+
+def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Runs:
+    """The runs of all texts, in order. A long text is read in pieces, which run into each other."""
+    pieces = [(i, at, raw[at : at + PIECE + length - 1]) for i, raw in enumerate(texts) if len(raw) >= length for at in range(0, len(raw) - length + 1, PIECE)]
+    parts: list[Runs] = []
+    group: list[tuple[int, int, bytes]] = []
+    size = 0
+    for piece in pieces:
+        group.append(piece)
+        size += len(piece[2])
+        if size >= PIECE:
+            parts.append(_runs(group, length, gram))
+            group, size = [], 0
+    if group:
+        parts.append(_runs(group, length, gram))
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return Runs(none, np.zeros(0, np.uint64), none, none, np.zeros(0, bool))
+    text, anchor, start, windows, twice = (np.concatenate(x) for x in zip(*parts, strict=True))
+    # what a piece's end cut is one run, and may hold its anchor in both pieces
+    joins = np.flatnonzero((text[1:] == text[:-1]) & (anchor[1:] == anchor[:-1]) & (start[1:] == start[:-1] + windows[:-1])) + 1
+    if len(joins):
+        head = np.ones(len(text), bool)
+        head[joins] = False
+        first = np.flatnonzero(head)
+        windows = np.add.reduceat(windows, first)
+        cut_ = np.diff(np.append(first, len(text))) > 1
+        text, anchor, start, twice = text[first], anchor[first], start[first], np.logical_or.reduceat(twice, first) | cut_
+    return Runs(text, anchor, start, windows, twice)
+
+
+def _runs(group: list[tuple[int, int, bytes]], length: int, gram: int) -> Runs:
+    data = np.frombuffer(b"".join(p[2] for p in group), np.uint8)
+    sums = prefix(data)
+    m = len(data) - gram + 1
+    h = mix((sums[gram:] - sums[:m]) * powers(len(sums))[1][:m])
+    width = length - gram + 1
+    least = slide(h, width)
+    sizes = np.array([len(p[2]) for p in group])
+    begin = np.cumsum(sizes) - sizes
+    piece = np.repeat(np.arange(len(group)), sizes)[: len(least)]
+    inside = np.arange(len(least)) + length <= (begin + sizes)[piece]
+    same = np.zeros(len(least), bool)
+    same[1:] = (least[1:] == least[:-1]) & (piece[1:] == piece[:-1]) & inside[:-1]
+    first = np.flatnonzero(inside & ~same)
+    ends = np.append(np.flatnonzero(~inside), len(least))  # a run ends where the next begins or its piece's windows do
+    stop = np.minimum(np.append(first[1:], len(least)), ends[np.searchsorted(ends, first)])
+    anchor = least[first]
+    # places of k-grams that are the least of some window; a run that holds its anchor twice has two such places in a row
+    top = np.concatenate((np.zeros(width - 1, np.uint64), np.where(inside, least, np.uint64(0)), np.zeros(width - 1, np.uint64)))
+    place = np.flatnonzero(h == ~slide(~top, width)[: len(h)])
+    again = np.flatnonzero(h[place[1:]] == h[place[:-1]])
+    twice = np.zeros(len(first), bool)
+    for i, j in zip(place[again].tolist(), place[again + 1].tolist(), strict=True):
+        lo, hi = np.searchsorted(first, i - width + 1, "right") - 1, np.searchsorted(first, j, "right")
+        for k in range(max(lo, 0), hi):
+            if anchor[k] == h[i] and first[k] <= i and j < stop[k] + width - 1:
+                twice[k] = True
+    of = piece[first]
+    return Runs(np.array([p[0] for p in group])[of], anchor, first - begin[of] + np.array([p[1] for p in group])[of], stop - first, twice)
 
 
 def _digest(x: bytes) -> bytes:
@@ -95,8 +128,10 @@ def _text(x) -> bytes:
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every run's anchor; twice if the run may repeat within itself."""
     for batch in batches:
-        out = [a for x in batch.column("text") for a, _, _, twice in runs(_text(x)) for _ in range(1 + twice)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(out, np.uint64).view(np.int64))], names=["anchor"])
+        for at in range(0, max(batch.num_rows, 1), CHUNK):
+            found = runs([_text(x) for x in batch.column("text").slice(at, CHUNK)])
+            out = np.concatenate((found.anchor, found.anchor[found.twice]))
+            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], names=["anchor"])
 
 
 def _segments(bits: bytes, content: bool) -> Callable:
@@ -106,22 +141,22 @@ def _segments(bits: bytes, content: bool) -> Callable:
         table = np.frombuffer(bits, np.uint8)
         mask = len(table) * 8 - 1
         for whole in batches:
-            for at in range(0, max(whole.num_rows, 1), 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, max(whole.num_rows, 1), CHUNK):
+                batch = whole.slice(at, CHUNK)
                 rows: list[tuple] = []
                 seen: set[tuple] = set()
-                for i, x in enumerate(batch.column("text")):
-                    raw = _text(x)
-                    for anchor, start, windows, twice in runs(raw):
-                        k = anchor & mask
-                        if table[k >> 3] >> (k & 7) & 1:
-                            part = raw[start : start + windows + LENGTH - 1]
-                            d = _digest(part)
-                            if not content:
-                                rows.append((i, anchor, d, start, windows, twice))
-                            elif (anchor, d) not in seen:
-                                seen.add((anchor, d))
-                                rows.append((i, anchor, d, part))
+                texts = [_text(x) for x in batch.column("text")]
+                found = runs(texts)
+                at_bit = (found.anchor & np.uint64(mask)).astype(np.int64)
+                passed = np.flatnonzero(table[at_bit >> 3] >> (at_bit & 7).astype(np.uint8) & 1)
+                for i, anchor, start, windows, twice in zip(*(c[passed].tolist() for c in found), strict=True):
+                    part = texts[i][start : start + windows + LENGTH - 1]
+                    d = _digest(part)
+                    if not content:
+                        rows.append((i, anchor, d, start, windows, twice))
+                    elif (anchor, d) not in seen:
+                        seen.add((anchor, d))
+                        rows.append((i, anchor, d, part))
                 columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * (4 if content else 6)
                 anchors = pa.array(np.array(columns[1], np.uint64).view(np.int64))
                 if content:
