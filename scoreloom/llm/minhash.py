@@ -9,11 +9,12 @@ Jaccard similarity of their shingles decides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.llm.common import cut
@@ -22,8 +23,6 @@ from scoreloom.llm.shingles import mix, shingles
 
 #: 24 bands of 4 registers: documents of similarity 0.8 meet in a band but for 4 in a million.
 BANDS, ROWS = 24, 4
-#: Larger buckets whose documents aren't of one component yet are split by a second band.
-LARGE = 48
 #: So many texts are sketched together.
 CHUNK = 256
 
@@ -127,13 +126,13 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int, threshold: float) -> D
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar(words, threshold), f"a {kind}, b {kind}, similarity double")
 
 
-def links(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = BANDS, rows: int = ROWS, large: int = LARGE) -> DataFrame:
+def links(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(a, b, similarity): verified links between documents that are enough for their components.
 
     Copies are known by a digest and only their least doc_id takes part. In a bucket of a band all
-    documents are compared with one of them, another in each band. Where a bucket still holds several
-    components, its documents of different components are compared with each other; if it is large, first
-    split by the hashes of a second band, so that no bucket's pairs are all compared.
+    documents are compared with two of them: the one that meets the most documents in all bands, and one by
+    a hash, another in each band. The documents of buckets that still hold several components
+    are held against each other by prefix filters, so that no bucket's pairs are all compared.
     """
     # the documents of a digest, by their least doc_id
     ids = docs.where("doc_id is not null").groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("id"))
@@ -142,24 +141,99 @@ def links(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int =
     every = firsts.drop("digest").mapInArrow(_bands(words, bands, rows), f"id {kind}, bands array<long>")
     sketches = cut(every.join(ids.select("id").distinct(), "id", "left_semi"))
     cells = sketches.select("id", F.posexplode("bands").alias("band", "hash"))
-    salted = F.xxhash64("band", "id")
-    stars = cells.groupBy("band", "hash").agg(F.min_by("id", salted).alias("star"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = cut(cells.join(stars, ["band", "hash"]).where("id <> star").select(F.least("id", "star").alias("a"), F.greatest("id", "star").alias("b")).distinct())
+    sizes = cells.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = cells.join(sizes, ["band", "hash"])
+    # the hub of a group of near copies meets the others in more bands than they meet each other
+    met = cut(met.join(met.groupBy("id").agg(F.sum("n").alias("meets")), "id"))
+    stars = met.groupBy("band", "hash").agg(F.max_by("id", F.struct("meets", "id")).alias("hub"), F.min_by("id", F.xxhash64("band", "id")).alias("star"))
+    spokes = met.join(stars, ["band", "hash"]).select("id", F.explode(F.array_distinct(F.array("hub", "star"))).alias("to")).where("id <> to")
+    pairs = cut(spokes.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct())
     chosen = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     found = cut(verify(pairs, chosen, words, threshold))
     known = components(found)
 
-    placed = cells.join(stars.select("band", "hash", "n"), ["band", "hash"]).join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = met.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("band", "hash").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "hash")
     rest = cut(placed.join(mixed, ["band", "hash"], "left_semi"))
-    small = rest.where(F.col("n") <= large).select("id", "component", F.xxhash64("band", "hash").alias("bucket"))
-    again = rest.where(F.col("n") > large).select("id", "component", F.col("band").alias("one"), F.col("hash").alias("of_one")).join(sketches, "id")
-    second = again.select("id", "component", "one", "of_one", F.posexplode("bands").alias("two", "of_two")).where("one < two").select("id", "component", F.xxhash64("one", "of_one", "two", "of_two").alias("bucket"))
-    both = small.unionByName(second)
-    other = both.select(F.col("id").alias("id2"), F.col("component").alias("component2"), "bucket")
-    more = both.join(other, "bucket").where("component < component2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = cut(more)
-    return found if more.isEmpty() else found.unionByName(verify(more, chosen, words, threshold))
+    members = rest.select("id", "component").distinct()
+    texts = chosen.withColumnRenamed("doc_id", "id").join(members, "id").select("id", "component", "text")
+    tokens = cut(texts.mapInArrow(_tokens(words), f"id {kind}, component {kind}, tokens array<long>, counts array<double>, repeats boolean"))
+    last = prefix_pairs(tokens.where("not repeats"), threshold).unionByName(weighted_prefix_pairs(tokens, threshold))
+    last = cut(last.distinct().join(pairs, ["a", "b"], "left_anti"))
+    return found if last.isEmpty() else found.unionByName(verify(last, chosen, words, threshold))
+
+
+def _tokens(words: int):
+    """Each document's shingles, how often each occurs, and whether one occurs again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, max(whole.num_rows, 1), CHUNK):
+                batch = whole.slice(at, CHUNK)
+                t, h, w = weighted([x.as_py() or "" for x in batch.column("text")], words)
+                edges = np.searchsorted(t, np.arange(batch.num_rows + 1))
+                twice = np.bincount(t, w > 1, minlength=batch.num_rows) > 0
+                offsets = pa.array(edges, pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(w)), pa.array(twice)]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("component"), *lists], names=["id", "component", "tokens", "counts", "repeats"])
+
+    return run
+
+
+#: Sizes of one class are within this ratio.
+CLASS = 0.97
+
+
+def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of (id, component, tokens) sets of different components that may reach a Jaccard similarity.
+
+    A prefix filter: with tokens in order of their number of sets, two similar sets share a token among the
+    first few of each, as many as they may have that the other lacks. How many follows from both sizes, so that
+    sets are held against each class of smaller sizes with the prefix that it takes. Similar sets are never
+    missed, and those which differ from all others by tokens of their own meet nobody.
+    """
+    share = threshold / (1 + threshold)  # of both sizes together that similar sets have in common
+    cells = sets.select("id", "component", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    often = cells.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    known = cells.join(often, "token")
+    mine = Window.partitionBy("id")
+    rank = F.col("size") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("sets", "token"))  # tokens of its own come first
+    ranked = known.withColumn("rank", rank)
+    length = lambda common: F.col("size") - F.ceil(F.col("size") * common - F.lit(1e-9)) + 1
+    ranked = cut(ranked.where(F.col("rank") <= length(F.lit(threshold))).withColumn("class", F.floor(F.log("size") / F.lit(-math.log(CLASS)))))
+    smaller = ranked.where(F.col("rank") <= length(F.lit(2 * share))).select("token", "class", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("component_a"), (F.col("size") - F.col("rank") + 1).alias("left_a"))
+    steps = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(math.log(threshold) / math.log(CLASS)))))
+    larger = ranked.withColumn("step", steps).where(F.col("rank") <= length(F.lit(share) * (1 + F.pow(F.lit(CLASS), F.col("step") + 1))))
+    larger = larger.select("token", (F.col("class") - F.col("step")).alias("class"), F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"), (F.col("size") - F.col("rank") + 1).alias("left_b"))
+    # from the first token they share on, both must have enough tokens left
+    enough = F.least("left_a", "left_b") >= (F.col("size_a") + F.col("size_b")) * share - 1e-9
+    met = smaller.join(larger, ["token", "class"]).where(enough & (F.col("component_a") != F.col("component_b")) & ((F.col("size_a") < F.col("size_b")) | (F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b"))))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def weighted_prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """As prefix_pairs, by weight, for pairs of which one at least repeats a token.
+
+    Let u and v be the shares of two sets' weights on tokens that the other lacks. Their probability Jaccard
+    similarity is at most 2 (2 - u^2 - v^2) / (2 + u + v)^2, which falls in u and v. The weight before the first
+    token they share, in order of their number of sets, bounds u and v from below; so one set shares a token
+    before (1 - t) / (1 + t) of its weight is past and the other before 1 - t is.
+    """
+    if sets.where("repeats").isEmpty():
+        return sets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    total = F.aggregate("counts", F.lit(0.0), lambda x, y: x + y)
+    cells = sets.select("id", "component", "repeats", total.alias("total"), F.inline(F.arrays_zip("tokens", "counts"))).select("id", "component", "repeats", F.col("tokens").alias("token"), (F.col("counts") / F.col("total")).alias("weight"))
+    often = cells.groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.max("repeats").alias("some")).where("sets > 1")
+    mine = Window.partitionBy("id")
+    here = F.coalesce(F.sum("weight").over(mine.orderBy("sets", "token").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ranked = cells.join(often, "token").withColumn("before", 1 - F.sum("weight").over(mine) + here)
+    ranked = cut(ranked.where(F.col("some") & (F.col("before") <= 1 - threshold + 1e-9)).select("id", "component", "repeats", "token", "before"))
+    one = ranked.where(F.col("before") <= (1 - threshold) / (1 + threshold) + 1e-9)
+    two = ranked.select(F.col("id").alias("id2"), F.col("component").alias("component2"), F.col("repeats").alias("repeats2"), "token", F.col("before").alias("before2"))
+    u, v = F.col("before"), F.col("before2")
+    bound = 2 * (2 - u * u - v * v) / ((2 + u + v) * (2 + u + v))
+    met = one.join(two, "token").where((F.col("component") != F.col("component2")) & (F.col("repeats") | F.col("repeats2")) & (bound >= threshold - 1e-9))
+    return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> DataFrame:
