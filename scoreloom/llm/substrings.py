@@ -6,7 +6,7 @@ only runs of windows whose anchor occurs again can repeat. Second, runs with equ
 Third, the rest is sorted with its neighbours of the same anchor by a two-stage suffix sort: suffixes that
 are smaller than their successors are sorted directly, the others are induced from them by scanning the
 buckets of first bytes, and adjacent common prefixes of LENGTH bytes are the repeats. Anchors with too many
-different runs for one task are resolved by the digests of their windows instead, which are dealt to all.
+different runs for one task are split by further anchors, and what is left open by the digests of its windows.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.llm.common import cut
@@ -27,8 +27,8 @@ from scoreloom.llm.shingles import mix, powers, prefix
 
 #: Bytes of a repeat, and of the k-grams that anchor it.
 LENGTH, GRAM = 400, 64
-#: An anchor with more different runs than this is resolved by window digests.
-MOST_RUNS = 400
+#: An anchor with more different runs than this is resolved by so many further anchors and by window digests.
+MOST_RUNS, SEEDS = 400, 8
 #: Suffixes sorted together.
 BLOCK = 1 << 17
 #: Bytes of texts whose hashes are held at once, and texts that are read together.
@@ -265,12 +265,35 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(rows)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs split wherever one of several further anchors of their windows changes."""
     for batch in batches:
+        rows: list[tuple] = []
         for anchor, digest, content in zip(*(batch.column(c).to_pylist() for c in ("anchor", "digest", "content")), strict=True):
+            data = np.frombuffer(content, np.uint8)
+            sums = prefix(data)
+            m = len(data) - GRAM + 1
+            h = (sums[GRAM:] - sums[:m]) * powers(len(sums))[1][:m]
+            keys = [slide(mix(h ^ np.uint64((seed + 1) * 0x9E3779B97F4A7C15 % 2**64)), LENGTH - GRAM + 1) for seed in range(SEEDS)]
+            change = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+            first = np.flatnonzero(np.concatenate(([True], change)))
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys[0])], strict=True):
+                n, part = b - a, content[a : b + LENGTH - 1]
+                name = _digest(anchor.to_bytes(8, "little", signed=True) + b"".join(k[a].tobytes() for k in keys))
+                # windows repeat within only if the part is periodic: what all of them hold then comes again
+                periodic = n > 1 and (n > LENGTH - GRAM or part.find(part[n - 1 : n - 1 + GRAM], n, 2 * n + GRAM) >= 0)
+                rows.append((anchor, digest, a, n, name, _digest(part), periodic, part))
+        columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * 8
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["anchor", "digest", "from", "windows", "anchors", "bytes", "twice", "content"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for key, name, content in zip(*(batch.column(c).to_pylist() for c in ("key", "bytes", "content")), strict=True):
             n = len(content) - LENGTH + 1
-            arrays = [pa.array([anchor] * n, pa.int64()), pa.array([digest] * n, pa.binary()), pa.array(range(n), pa.int64()), pa.array([_digest(content[i : i + LENGTH]) for i in range(n)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["anchor", "digest", "at", "window"])
+            arrays = [pa.array([key] * n, pa.string()), pa.array([name] * n, pa.binary()), pa.array(range(n), pa.int64()), pa.array([_digest(content[i : i + LENGTH]) for i in range(n)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "bytes", "at", "window"])
 
 
 def _filter(df: DataFrame) -> bytes:
@@ -294,14 +317,36 @@ def repeats(rows: DataFrame) -> DataFrame:
     contents = cut(contents.groupBy("anchor", "digest").agg(F.first("content").alias("content"), F.first("different").alias("different")))
     few = contents.where(F.col("different") <= MOST_RUNS).select("anchor", "digest", "content").repartition("anchor").sortWithinPartitions("anchor")
     sorted_ = few.mapInArrow(_sort, "anchor long, digest binary, ranges array<struct<from:long,to:long>>").select("anchor", "digest", F.inline("ranges"))
-    cells = contents.where(F.col("different") > MOST_RUNS).select("anchor", "digest", "content").mapInArrow(_windows, "anchor long, digest binary, at long, window binary")
-    twice = cells.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
-    dealt = cells.join(twice, "window", "left_semi").select("anchor", "digest", F.col("at").alias("from"), (F.col("at") + 1).alias("to"))
-    windows = sorted_.unionByName(dealt)
+    many = contents.where(F.col("different") > MOST_RUNS).select("anchor", "digest", "content")
+    windows = sorted_.unionByName(refined(many))
     rest = found.join(windows, ["anchor", "digest"]).select("key", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to") + LENGTH - 1).alias("end"))
     return settled.unionByName(rest)
 
 
+def refined(runs_: DataFrame) -> DataFrame:
+    """(anchor, digest, from, to): ranges of repeated windows of (anchor, digest, content) runs, however many share an anchor.
+
+    The runs are split where one of SEEDS further anchors changes. Equal windows have all anchors in common, so
+    that a split run is settled if its bytes come again, or if no other has its anchors. The windows of the
+    others, few next to all, are told apart by their digests.
+    """
+    parts = cut(runs_.mapInArrow(_split, "anchor long, digest binary, from long, windows long, anchors binary, bytes binary, twice boolean, content binary"))
+    copies = parts.groupBy("anchors", "bytes").agg(F.count(F.lit(1)).alias("copies"), F.max("twice").alias("twice"))
+    different = copies.groupBy("anchors").agg(F.count(F.lit(1)).alias("different"), F.max("twice").alias("any_twice"), F.min("copies").alias("least"))
+    again = parts.join(copies.where("copies > 1").select("anchors", "bytes"), ["anchors", "bytes"], "left_semi").select("anchor", "digest", "from", (F.col("from") + F.col("windows")).alias("to"))
+    open_ = different.where((F.col("least") == 1) & ((F.col("different") > 1) | F.col("any_twice"))).select("anchors")
+    left = parts.join(open_, "anchors", "left_semi").groupBy("anchors", "bytes").agg(F.first("content").alias("content")).select(F.hex("anchors").alias("key"), "bytes", "content")
+    cells = cut(left.mapInArrow(_windows, "key string, bytes binary, at long, window binary"))
+    twice = cells.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
+    hit = cells.join(twice, "window", "left_semi")
+    # neighbouring windows become ranges before they are dealt to the runs that hold them
+    line = Window.partitionBy("key", "bytes").orderBy("at")
+    ranges = hit.withColumn("island", F.col("at") - F.row_number().over(line)).groupBy("key", "bytes", "island").agg(F.min("at").alias("lo"), (F.max("at") + 1).alias("hi"))
+    single = parts.join(copies.where("copies = 1").select("anchors", "bytes"), ["anchors", "bytes"], "left_semi").select("anchor", "digest", "from", F.hex("anchors").alias("key"), "bytes")
+    rest = single.join(ranges, ["key", "bytes"]).select("anchor", "digest", (F.col("from") + F.col("lo")).alias("from"), (F.col("from") + F.col("hi")).alias("to"))
+    return again.unionByName(rest)
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, max(whole.num_rows, 1), 512):
