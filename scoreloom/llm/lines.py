@@ -3,7 +3,7 @@
 A line of l characters is split into THRESHOLD + 1 even segments, which are indexed by l, their number and
 their hash. A line within THRESHOLD edits of it holds one of these segments unchanged, shifted by no more than
 the edits on either side can shift it; so each line probes, for each length up to THRESHOLD shorter, only the
-substrings at those places. Candidates are verified by the edit distance within a band around the diagonal
+substrings at those places. Candidates whose counts of characters are too far apart go at once, the others are verified by the edit distance within a band around the diagonal
 (Spark's levenshtein with a threshold).
 """
 
@@ -55,6 +55,24 @@ def probe_keys(line: Column, size: Column, threshold: int = THRESHOLD) -> Column
     return F.array_compact(F.array(*keys))
 
 
+#: Characters whose counts' parities tell most lines apart; an edit changes two of the parities at most.
+PARITY = "etaoinsrhdlucmpg"
+
+
+def line_id(line: Column) -> Column:
+    """A hash of a line in the upper bits, the parities of how often it holds the characters of PARITY in the lower."""
+    odd = [F.shiftleft((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(1).cast("long"), k) for k, c in enumerate(PARITY)]
+    bits = odd[0]
+    for x in odd[1:]:
+        bits = bits.bitwiseOR(x)
+    return F.shiftleft(F.xxhash64(line), len(PARITY)).bitwiseOR(bits)
+
+
+def may_be_near(a: Column, b: Column, threshold: int) -> Column:
+    """Whether lines of these ids may be within so many edits, by their parities."""
+    return F.bit_count(a.bitwiseXOR(b).bitwiseAND((1 << len(PARITY)) - 1)) <= 2 * threshold
+
+
 def occurrences(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """(doc_id, line_no from 0, line) of the lines long enough to be looked at."""
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -64,13 +82,13 @@ def occurrences(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
 def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b, distance): MD5 digests of different lines within threshold edits, a below b, each pair once."""
     size = F.char_length("line")
-    distinct = lines.select("line").distinct().select(F.xxhash64("line").alias("h"), "line", size.alias("size"))
+    distinct = lines.select("line").distinct().select(line_id(F.col("line")).alias("h"), "line", size.alias("size"))
     index = distinct.select("h", F.explode(index_keys(F.col("line"), F.col("size"), threshold)).alias("key"))
     probes = distinct.select(F.col("h").alias("h2"), F.explode(probe_keys(F.col("line"), F.col("size"), threshold)).alias("key"))
-    pairs = cut(index.join(probes, "key").where("h <> h2").select(F.least("h", "h2").alias("h1"), F.greatest("h", "h2").alias("h2")).distinct())
-    bucket = lambda c: F.pmod(c, F.lit(BUCKETS)).cast("int")
+    pairs = cut(index.join(probes, "key").where((F.col("h") != F.col("h2")) & may_be_near(F.col("h"), F.col("h2"), threshold)).select(F.least("h", "h2").alias("h1"), F.greatest("h", "h2").alias("h2")).distinct())
+    bucket = lambda c: F.pmod(F.shiftright(c, len(PARITY)), F.lit(BUCKETS)).cast("int")
     wanted = pairs.select(F.explode(F.array("h1", "h2")).alias("h")).select(bucket(F.col("h")).alias("bucket")).distinct()
-    hashed = lines.select("line", F.xxhash64("line").alias("h"))
+    hashed = lines.select("line", line_id(F.col("line")).alias("h"))
     few = hashed.withColumn("bucket", bucket(F.col("h"))).join(F.broadcast(wanted), "bucket", "left_semi").select("h", "line").distinct()
     left, right = few.select(F.col("h").alias("h1"), F.col("line").alias("one")), few.select(F.col("h").alias("h2"), F.col("line").alias("two"))
     both = pairs.join(left, "h1").join(right, "h2").withColumn("distance", F.levenshtein("one", "two", threshold)).where(F.col("distance") >= 0)
