@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,15 +60,13 @@ def positional_compare(left: DataFrame, right: DataFrame, order: str, columns: l
 
     Positions come from ranges of the order column numbered in parallel, so that no task sorts all rows.
     """
-    a, b = _numbered(left, order), _numbered(right, order)
+    a, b = numbered(left, order), numbered(right, order)
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")).alias(f"{c}_equal") for c in columns]
     return a.alias("a").join(b.alias("b"), "position", "full").select("position", F.col(f"a.{order}").isNotNull().alias("in_left"), F.col(f"b.{order}").isNotNull().alias("in_right"), *same)
 
 
-def _numbered(df: DataFrame, order: str) -> DataFrame:
+def numbered(df: DataFrame, order: str) -> DataFrame:
     """df with position from 1 in order: sorted by range, then numbered from each partition's offset."""
-    from pyspark.sql import Window
-
     parted = df.sort(order).withColumn("__part", F.spark_partition_id())
     within = parted.withColumn("__i", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
     counts = parted.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scoreloom.operators import ordered
+from scoreloom.operators import joins, ordered
 from scoreloom.plans.registry import query
 from scoreloom.session import table
 
@@ -76,9 +76,7 @@ def w08(spark: SparkSession, d: str) -> DataFrame:
 def w09(spark: SparkSession, d: str) -> DataFrame:
     """Ids by first appearance: one row a host reaches the ordering."""
     hosts = ordered.first_of(table(spark, d, "events").select("user_id", "event_id"), ["user_id"], "event_id")
-    from scoreloom.operators.joins import _numbered
-
-    return _numbered(hosts, "event_id").select("user_id", F.concat(F.lit("node-"), F.col("position").cast("string")).alias("node"))
+    return joins.numbered(hosts, "event_id").select("user_id", F.concat(F.lit("node-"), F.col("position").cast("string")).alias("node"))
 
 
 @query("w10_free_ports", "WITH f AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS service FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) SELECT service, c_custkey AS port FROM f WHERE service <= 3")
