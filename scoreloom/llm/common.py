@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +23,3 @@ def cut(df: DataFrame) -> DataFrame:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="scoreloom-"))
     return df.checkpoint()
-
-
-def env_path(name: str, default: str) -> str:
-    return os.environ.get(name, default)
