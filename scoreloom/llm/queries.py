@@ -76,4 +76,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP3_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL),
+p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS id, vec_id AS c FROM embeddings UNION SELECT r.id, p.b FROM r JOIN p ON r.c = p.a),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a), m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, m.c AS component_id, vec_id = m.c AS kept FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN m ON m.id = vec_id"""
+
+OP4_SQL = """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '(?:[a-z0-9]|[^\\x00-\\x7F])+') AS w FROM documents), i AS (SELECT item_id, regexp_extract_all(lower(text), '(?:[a-z0-9]|[^\\x00-\\x7F])+') AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM d WHERE len(w) > 0),
+si AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM i WHERE len(w) > 0),
+q AS (SELECT item_id, count(*) AS n_item FROM si GROUP BY 1), h AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN si USING (s) GROUP BY 1, 2)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM h JOIN q USING (item_id) WHERE n_shared >= n_item * 0.8::DOUBLE - 1e-9"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_embeddings": OP3_SQL,
+    "op4_decontamination": OP4_SQL,
+}
