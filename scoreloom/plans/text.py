@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.functions import rules, stats, text
+from scoreloom.functions import code, rules, stats, text
 from scoreloom.plans.registry import query
 from scoreloom.session import table
 
@@ -191,3 +191,23 @@ def f32(spark: SparkSession, d: str) -> DataFrame:
 def f34(spark: SparkSession, d: str) -> DataFrame:
     given = F.when(F.col("p_partkey") % 3 == 0, "[0, 1]").when(F.col("p_partkey") % 3 == 1, "2, 3").otherwise("")
     return table(spark, d, "part").select("p_partkey", F.array_join(rules.int_list(given, [0]), ",").alias("gpus"))
+
+
+@query("f10_kernel_checks", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'VALIDATION_ERROR' WHEN 1 THEN 'SYNTAX_ERROR' WHEN 2 THEN 'IMPORT_ERROR' END AS error FROM part")
+def f10(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("p_partkey") % 5
+    source = F.when(kind == 0, "x = 1").when(kind == 1, "class ModelNew:\n  def (").when(kind == 2, "class ModelNew:\n  pass").when(kind == 3, "import triton\nclass ModelNew:\n  pass").otherwise("class ModelNew:\n  x = 'torch.cuda'")
+    return table(spark, d, "part").select("p_partkey", code.kernel_check(source, F.when(kind == 4, "cuda").otherwise("triton")).alias("error"))
+
+
+@query("f12_open_calls", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 1 END AS line FROM part")
+def f12(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("p_partkey") % 4
+    source = F.when(kind == 0, "REG(a(b)) ;\n\nREG(c)\nx;").when(kind == 1, "REG(a(b;").when(kind == 2, "REG(a,\n (b)) \n;").otherwise("none")
+    return table(spark, d, "part").select("p_partkey", code.open_call(source, "REG").alias("line"))
+
+
+@query("p17_without_keys", """SELECT event_id, '{"a":[{"k":' || json_extract_string(props, '$.k') || '}]}' AS document FROM events""")
+def p17(spark: SparkSession, d: str) -> DataFrame:
+    nested = F.concat(F.lit('{"session": 1, "a": [{"code": {"z": 2}, "k": '), F.get_json_object("props", "$.k"), F.lit("}]}"))
+    return table(spark, d, "events").select("event_id", code.without_keys(nested).alias("document"))
