@@ -36,6 +36,7 @@ BOILERPLATE_NAMES = frozenset(
     "notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager copyright legal "
     "skip search complementary contentinfo tags".split()
 )
+COMMENT_NAMES = frozenset("comment comments commentlist respond reply replies disqus".split())
 MAIN_NAMES = frozenset("article main content post entry story articlebody bodytext".split())
 HEADER_NAMES = frozenset("header head".split())
 
@@ -77,6 +78,8 @@ def _kind(name: str, attrs: str, outer: str) -> str:
             role = value.lower()
         elif key in ("class", "id"):
             words.update(w.lower() for w in _NAME.findall(value))
+    if name in ("html", "body", "article", "main"):  # their names tell of the layout, but comments may be articles
+        words &= COMMENT_NAMES
     if name in BOILERPLATE_TAGS or role in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "dialog", "alert") or words & BOILERPLATE_NAMES:
         return "boilerplate"
     if name in ("article", "main") or role in ("main", "article") or words & MAIN_NAMES:

@@ -391,7 +391,7 @@ def test_pages_keep_the_article(spark):
     <p>The long text of the article is what we want to keep, and it has all the words of the language.</article>
     <form><p>Sign up for the news of the day and the week</p></form><footer>&copy; 2024 The Site of the Year</footer>"""
     plain = "<p>The text of a page without any article tag is kept if it has the words of the language in it, as this one has.</p><p>Short one</p><p><a href='x'>link link link</a></p><div><a>a</a> <a>b</a></div>"
-    rows = [(1, "u", page), (2, "u", None), (3, None, ""), (4, "u", "no tags"), (5, "u", plain), (6, "u", "<p>unclosed <b attr='>' "), (7, "u", "<article><p>A</p><p>B</p></article>"), (7, "u", "<article><p>A</p><p>B</p></article>")]
+    rows = [(1, "u", page), (2, "u", None), (3, None, ""), (4, "u", "no tags"), (5, "u", plain), (6, "u", "<p>unclosed <b attr='>' "), (8, "u", "<body class='has-sidebar'><article class='with-sidebar'><p>A</p></article><article class='comment'><p>C</p></article>"), (7, "u", "<article><p>A</p><p>B</p></article>"), (7, "u", "<article><p>A</p><p>B</p></article>")]
     df = spark.createDataFrame([(*x, "t") for x in rows], "page_id long, url string, html string, text string")
     out = got(pages.extract(df), "page_id")
     assert out[1,]["text"] == "Title & more\n\nFirst part goes on.\n\nShort.\n\nThe long text of the article is what we want to keep, and it has all the words of the language."
@@ -399,6 +399,7 @@ def test_pages_keep_the_article(spark):
     assert (out[2,]["text"], out[3,]["text"], out[2,]["n_chars"]) == ("", "", 0)
     assert out[5,]["text"].endswith("as this one has.\n\nShort one")
     assert out[7,]["text"] == "A\n\nB"
+    assert out[8,]["text"] == "A"
     assert pages.extract(df).count() == len(rows)
 
 
