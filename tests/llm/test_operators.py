@@ -50,7 +50,7 @@ def got(df, *key):
 
 
 def test_sharding_is_whole_and_stable(spark, odd):
-    docs = docs_of(spark, ["a" * (i % 5) for i in range(3000)]).unionByName(odd)
+    docs = docs_of(spark, ["a" * (i % 5) for i in range(3000)]).unionByName(odd.withColumn("doc_id", F.col("doc_id") + 10_000))
     out = sharding.shard_documents(docs, 24).collect()
     assert len(out) == 3009
     for s in range(24):
