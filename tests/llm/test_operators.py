@@ -204,7 +204,7 @@ def test_secrets_base_spans(spark, odd):
     ]
     docs = docs_of(spark, texts, range(10, 17)).unionByName(odd)
     out = {x["doc_id"]: x for x in secrets.scan(docs).collect()}
-    spans = {10: "assign:0:23", 11: "", 12: "", 13: "access:0:20", 14: "hex:0:32", 15: "assign:6:24", 16: ""}
+    spans = {10: "assign:0:23", 11: "", 12: "", 13: "access:0:20", 14: "hex:0:32", 15: "assign:6:25", 16: ""}
     for i, s in spans.items():
         assert out[i]["base_sha256"] == hashlib.sha256(s.encode()).hexdigest(), i
         assert out[i]["spans"] == s
