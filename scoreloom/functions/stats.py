@@ -10,16 +10,26 @@ def _sorted(x: Column) -> Column:
     return F.array_sort(F.collect_list(x))
 
 
+def nearest_index(n: Column, q: float) -> Column:
+    """round((n - 1) q), half to even: the index of the nearest rank among n sorted values."""
+    return F.bround((n - 1) * F.lit(float(q)), 0).cast("long")
+
+
+def truncated_index(n: Column, q: float) -> Column:
+    """min(n - 1, floor(n q)): another definition than nearest_index."""
+    return F.least(n - 1, F.floor(n * F.lit(float(q)))).cast("long")
+
+
 def nearest_rank(x: Column, q: float) -> Column:
-    """The value at index round((n - 1) q), half to even, of the sorted values; null if there are none."""
+    """The value at nearest_index of the sorted values; null if there are none. It gathers a group in one task: for small groups, see ordered.summaries."""
     values = _sorted(x)
-    return F.get(values, F.bround((F.size(values) - 1) * F.lit(float(q)), 0).cast("int"))
+    return F.get(values, nearest_index(F.size(values), q).cast("int"))
 
 
 def truncated_rank(x: Column, q: float) -> Column:
-    """The value at index min(n - 1, floor(n q)): another definition than nearest_rank."""
+    """The value at truncated_index of the sorted values; for small groups, as nearest_rank."""
     values = _sorted(x)
-    return F.get(values, F.least(F.size(values) - 1, F.floor(F.size(values) * F.lit(float(q))).cast("int")))
+    return F.get(values, truncated_index(F.size(values), q).cast("int"))
 
 
 def significant(x: Column, digits: int = 3) -> Column:
@@ -56,7 +66,7 @@ def timing_stats(x: Column) -> list[Column]:
 
 
 def metric_summary(x: Column) -> list[Column]:
-    """Count, least, mean and true median at 3 decimals, 95th percentile by nearest rank, greatest."""
+    """Count, least, mean and true median at 3 decimals, 95th percentile by nearest rank, greatest; for small groups, as nearest_rank."""
     return [
         F.count(x).alias("n"), F.min(x).alias("min"), F.round(F.avg(x), 3).alias("avg"), F.round(F.median(x), 3).alias("p50"),
         nearest_rank(x, 0.95).alias("p95"), F.max(x).alias("max"),

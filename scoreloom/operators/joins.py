@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreloom.operators import ordered
+
 
 def pair_results(kernels: DataFrame, references: DataFrame, key: str = "base_task_id") -> DataFrame:
     """Kernel results with their reference result, and the speedup.
@@ -71,11 +73,7 @@ def numbered(df: DataFrame, order: str, parts: int = 64) -> DataFrame:
     Rows fall between approximate quantiles, of which the driver gets parts - 1, are numbered there, and start
     from the count of the rows before.
     """
-    bounds = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    part = F.lit(0)
-    for x in sorted(set(bounds)):
-        part = part + F.when(F.col(order) > F.lit(x), 1).otherwise(0)
-    parted = df.withColumn("__part", part)
+    parted = df.withColumn("__part", ordered.range_of(df, order, parts))
     within = parted.withColumn("__i", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
     counts = parted.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreloom.functions import stats
+
 
 def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The last row of each key by the order columns; aggregated before the shuffle, so that hot keys don't gather."""
@@ -23,6 +27,61 @@ def queue_positions(rows: DataFrame, queue: list[str], order: list[Column | str]
     return rows.withColumn("fifo_position", F.row_number().over(Window.partitionBy(*queue).orderBy(*order)))
 
 
+def range_of(df: DataFrame, order: str, parts: int = 64) -> Column:
+    """The range, from 0 and fewer than parts, of the numeric or time column order between its approximate quantiles, of which the driver gets parts - 1."""
+    bounds = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    part = F.lit(0)
+    for x in sorted(set(bounds)):
+        part = part + F.when(F.col(order) > F.lit(x), 1).otherwise(0)
+    return part
+
+
+def _same(a: str, b: str, keys: list[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+    return out
+
+
+def at_indexes(rows: DataFrame, keys: list[str], x: str, wanted: dict[str, Callable[[Column], Column]], parts: int = 64) -> DataFrame:
+    """keys and, under each name of wanted, the value at the index that it makes of the number of a group's sorted values; nulls don't count.
+
+    No task holds a group: equal values are counted first, a window over the few ranges of a group finds the range
+    of each index, and only the values of those ranges are sorted, each range by itself.
+    """
+    counts = rows.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    parted = counts.withColumn("__part", range_of(counts, "__v", parts))
+    sums = parted.groupBy(*keys, "__part").agg(F.sum("__n").alias("__size"))
+    group = Window.partitionBy(*keys)
+    sums = sums.withColumns({"__before": F.sum("__size").over(group.orderBy("__part")) - F.col("__size"), "__all": F.sum("__size").over(group)})
+    local = {f"__at_{k}": f(F.col("__all")) - F.col("__before") for k, f in wanted.items()}
+    inside = sums.select(*keys, "__part", *[F.when((i >= 0) & (i < F.col("__size")), i).alias(k) for k, i in local.items()])
+    hit = inside.where(F.coalesce(*local).isNotNull())
+    both = parted.alias("p").join(hit.alias("h"), _same("p", "h", [*keys, "__part"])).select("p.*", *[f"h.{k}" for k in local])
+    upto = F.sum("__n").over(Window.partitionBy(*keys, "__part").orderBy("__v"))
+    ranked = both.withColumn("__upto", upto)
+    here = lambda k: (F.col(f"__at_{k}") < F.col("__upto")) & (F.col(f"__at_{k}") >= F.col("__upto") - F.col("__n"))
+    return ranked.groupBy(*keys).agg(*[F.max(F.when(here(k), F.col("__v"))).alias(k) for k in wanted])
+
+
+def summaries(rows: DataFrame, keys: list[str], x: str, plain: list[Column], indexes: dict[str, Callable[[Column], Column]], median: str | None = None) -> DataFrame:
+    """The aggregates plain of each group of rows, the values at indexes (see at_indexes), and the true median of x under the name median."""
+    wanted = dict(indexes)
+    if median:
+        wanted |= {"__low": lambda n: F.floor((n - 1) / 2), "__high": lambda n: F.ceil((n - 1) / 2)}
+    found = at_indexes(rows, keys, x, wanted)
+    both = rows.groupBy(*keys).agg(*plain).alias("a").join(found.alias("b"), _same("a", "b", keys), "left")
+    middle = [(F.col("b.__low") * 0.5 + F.col("b.__high") * 0.5).alias(median)] if median else []
+    return both.select("a.*", *[f"b.{k}" for k in indexes], *middle)
+
+
+def metric_summary(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """stats.metric_summary for groups of any size."""
+    plain = [F.count(x).alias("n"), F.min(x).alias("min"), F.round(F.avg(x), 3).alias("avg"), F.max(x).alias("max")]
+    out = summaries(rows, keys, x, plain, {"p95": lambda n: stats.nearest_index(n, 0.95)}, "p50")
+    return out.select(*keys, "n", "min", "avg", F.round("p50", 3).alias("p50"), "p95", "max")
+
+
 def trailing_count(rows: DataFrame, key: str, micros: str, wanted: Column, span_micros: int) -> DataFrame:
     """rows with n_trailing: the wanted rows of the same key in the span up to each row, its far end excluded."""
     w = Window.partitionBy(key).orderBy(micros).rangeBetween(-span_micros + 1, Window.currentRow)

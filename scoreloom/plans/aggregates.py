@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions import stats, text
+from scoreloom.operators import ordered
 from scoreloom.plans.registry import query
 from scoreloom.session import table
 
@@ -23,17 +24,16 @@ def a01(spark: SparkSession, d: str) -> DataFrame:
 @query("a02_metric_summary", """SELECT l_returnflag, l_linestatus, count(l_extendedprice) AS n, min(l_extendedprice) AS min, round(avg(l_extendedprice), 3) AS avg,
 round(median(l_extendedprice), 3) AS p50, list_sort(list(l_extendedprice))[1 + CAST(round_even((count(*) - 1) * 0.95::DOUBLE, 0) AS INT)] AS p95, max(l_extendedprice) AS max FROM lineitem GROUP BY 1, 2""")
 def a02(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(*stats.metric_summary(F.col("l_extendedprice")))
+    return ordered.metric_summary(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice")
 
 
 @query("a03_percentiles", """SELECT o_orderpriority, list_sort(list(o_totalprice))[1 + CAST(round_even((count(*) - 1) * 0.95::DOUBLE, 0) AS INT)] AS p95_nearest,
 list_sort(list(o_totalprice))[1 + least(count(*) - 1, CAST(floor(count(*) * 0.9::DOUBLE) AS BIGINT))] AS p90_truncated,
 list_sort(list(o_totalprice))[1 + CAST(round_even((count(*) - 1) * 0.5::DOUBLE, 0) AS INT)] AS p50_nearest, round(median(o_totalprice), 4) AS p50_median FROM orders GROUP BY 1""")
 def a03(spark: SparkSession, d: str) -> DataFrame:
-    x = F.col("o_totalprice")
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(
-        stats.nearest_rank(x, 0.95).alias("p95_nearest"), stats.truncated_rank(x, 0.9).alias("p90_truncated"), stats.nearest_rank(x, 0.5).alias("p50_nearest"), r(F.median(x)).alias("p50_median")
-    )
+    wanted = {"p95_nearest": lambda n: stats.nearest_index(n, 0.95), "p90_truncated": lambda n: stats.truncated_index(n, 0.9), "p50_nearest": lambda n: stats.nearest_index(n, 0.5)}
+    out = ordered.summaries(table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", [F.count(F.lit(1)).alias("n")], wanted, "p50_median")
+    return out.drop("n").withColumn("p50_median", r(F.col("p50_median")))
 
 
 @query("a06_key_counts", "SELECT CASE WHEN value IS NULL THEN 'None' WHEN value > 50 THEN 'True' ELSE 'False' END AS over_50, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -66,7 +66,7 @@ def a09(spark: SparkSession, d: str) -> DataFrame:
 SELECT metric, count(v) AS n, min(v) AS min, round(avg(v), 3) AS avg, round(median(v), 3) AS p50, list_sort(list(v))[1 + CAST(round_even((count(*) - 1) * 0.95::DOUBLE, 0) AS INT)] AS p95, max(v) AS max FROM u GROUP BY metric""")
 def a10(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select(F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
-    return rows.unpivot([], ["quantity", "discount", "tax"], "metric", "v").groupBy("metric").agg(*stats.metric_summary(F.col("v")))
+    return ordered.metric_summary(rows.unpivot([], ["quantity", "discount", "tax"], "metric", "v"), ["metric"], "v")
 
 
 KERNEL_SQL = """WITH k AS (SELECT l_orderkey AS task, CASE l_linenumber % 4 WHEN 0 THEN 'aten::mm' WHEN 1 THEN 'ns::my_kernel<int>(float*)' WHEN 2 THEN 'aten::empty' ELSE 'void at::native::x' END AS name,
@@ -176,7 +176,9 @@ round(list_sort(list(mean))[1 + CAST(round_even((count(*) - 1) * 0.5::DOUBLE, 0)
 def a24(spark: SparkSession, d: str) -> DataFrame:
     ticks = table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("tick")).agg(F.avg("value").alias("mean"), F.max("value").alias("peak"))
     m = F.col("mean")
-    return ticks.agg(F.count(F.lit(1)).alias("ticks"), r(F.min(m), 3).alias("min_mean"), r(F.avg(m), 3).alias("avg_mean"), r(stats.nearest_rank(m, 0.5), 3).alias("p50_mean"), r(stats.nearest_rank(m, 0.95), 3).alias("p95_mean"), F.max("peak").alias("max_peak"))
+    plain = [F.count(F.lit(1)).alias("ticks"), r(F.min(m), 3).alias("min_mean"), r(F.avg(m), 3).alias("avg_mean"), F.max("peak").alias("max_peak")]
+    out = ordered.summaries(ticks, [], "mean", plain, {"p50_mean": lambda n: stats.nearest_index(n, 0.5), "p95_mean": lambda n: stats.nearest_index(n, 0.95)})
+    return out.withColumns({"p50_mean": r(F.col("p50_mean"), 3), "p95_mean": r(F.col("p95_mean"), 3)})
 
 
 @query("a25_percent_text", "SELECT l_returnflag, round(avg(TRY_CAST(rtrim(CASE WHEN l_linenumber = 7 THEN 'n/a' ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) || '%' END, '%') AS DOUBLE)), 4) AS avg_percent FROM lineitem GROUP BY 1")
@@ -215,7 +217,8 @@ def a30(spark: SparkSession, d: str) -> DataFrame:
 @query("a31_stress", """SELECT event_type, count(*) AS n, min(value) AS min, list_sort(list(value))[1 + CAST(round_even((count(*) - 1) * 0.5::DOUBLE, 0) AS INT)] AS p50, list_sort(list(value))[1 + CAST(round_even((count(*) - 1) * 0.95::DOUBLE, 0) AS INT)] AS p95, max(value) AS max FROM events GROUP BY 1""")
 def a31(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("value")
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("min"), stats.nearest_rank(v, 0.5).alias("p50"), stats.nearest_rank(v, 0.95).alias("p95"), F.max(v).alias("max"))
+    plain = [F.count(F.lit(1)).alias("n"), F.min(v).alias("min"), F.max(v).alias("max")]
+    return ordered.summaries(table(spark, d, "events"), ["event_type"], "value", plain, {"p50": lambda n: stats.nearest_index(n, 0.5), "p95": lambda n: stats.nearest_index(n, 0.95)})
 
 
 @query("a32_sizes", "SELECT lang, source, sum(n_chars)::BIGINT AS size FROM documents GROUP BY ROLLUP (lang, source)")

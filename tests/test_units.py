@@ -24,6 +24,25 @@ def test_percentiles_of_nothing_are_null(spark):
     assert (row["n"], row["p95"], row["p50"], row["min"]) == (0, None, None, None)
 
 
+def test_summaries_equal_sorted_groups(spark):
+    """Repeats, nulls, a null key, a group of nulls only, one value alone; and any number of ranges."""
+    rows = [("hot", float(i * 37 % 101)) for i in range(1000)] + [("even", float(v)) for v in (4, 1, 3, 2)] + [(None, 7.0), (None, None), ("void", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    key = lambda x: repr(tuple(x))
+    want = df.groupBy("g").agg(*stats.metric_summary(F.col("v"))).collect()
+    assert sorted(ordered.metric_summary(df, ["g"], "v").collect(), key=key) == sorted(want, key=key)
+    for parts in (1, 2, 7):
+        got = ordered.at_indexes(df, ["g"], "v", {"t": lambda n: stats.truncated_index(n, 0.9)}, parts).collect()
+        assert {x["g"]: x["t"] for x in got} == {x["g"]: x["t"] for x in df.groupBy("g").agg(stats.truncated_rank(F.col("v"), 0.9).alias("t")).collect() if x["t"] is not None}
+    assert ordered.metric_summary(df.where("false"), [], "v").first()["p95"] is None
+
+
+@pytest.mark.parametrize("name", ["a02_metric_summary", "a03_percentiles", "a10_column_summaries", "a24_health", "a31_stress"])
+def test_percentiles_gather_no_group(spark, name):
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert not any(x in plan for x in ("collect_list(", "median(", " percentile("))
+
+
 @pytest.mark.parametrize(("x", "want"), [(1234.5, 1230.0), (0.0123456, 0.0123), (0.0, 0.0), (2.5, 2.5)])
 def test_significant_digits(spark, x, want):
     assert one(spark, stats.significant(F.lit(x))) == want
