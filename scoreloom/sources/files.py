@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -16,12 +16,22 @@ def scratch(spark: SparkSession) -> str:
 
 
 def numbered_lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """(path, line_no from 1, line) of text files; each file is one value, so that blank lines keep their numbers."""
-    reader = spark.read.option("recursiveFileLookup", True)
+    """(path, line_no from 1, line) of text files; blank lines keep their numbers.
+
+    Files are read in byte ranges, in which lines are counted; a range starts from the count of the ranges before.
+    Lines are kept in a scratch folder first, as another reading could cut the files elsewhere.
+    """
+    reader = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    whole = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split(F.regexp_replace("value", r"\n$", ""), "\n").alias("lines"))
-    return whole.select("path", F.posexplode("lines").alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+    kept = scratch(spark)
+    at = F.monotonically_increasing_id().alias("at")
+    reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), at, F.col("value").alias("line")).write.parquet(kept)
+    rows = spark.read.parquet(kept)
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("path", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    offsets = blocks.select("path", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return rows.join(F.broadcast(offsets), ["path", "block"]).select("path", (F.col("at") + F.col("shift")).alias("line_no"), "line")
 
 
 def jsonl(spark: SparkSession, path: str, schema: str, tolerant: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scoreloom.functions import rules, stats, text
 from scoreloom.operators import joins, ordered
 from scoreloom.plans import registry
+from scoreloom.sources import files
 
 
 def one(spark, column):
@@ -143,3 +144,22 @@ def test_wait_actions(spark):
 def test_names_are_registered_once():
     with pytest.raises(KeyError):
         registry.query("a01_timing_stats")(lambda s, d: None)
+
+
+def test_lines_are_numbered_across_byte_ranges(spark, tmp_path):
+    """One file is read by many tasks, and blank lines count."""
+    want = {}
+    for name, n in (("a.log", 2000), ("b.log", 3)):
+        texts = ["" if i % 7 == 0 else f"line {i} é\r" if i % 5 == 0 else f"line {i}" for i in range(n)]
+        (tmp_path / name).write_bytes(("\n".join(texts) + "\n" * (name == "a.log")).encode())
+        want |= {(name, i + 1): x for i, x in enumerate(texts)}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, v in zip(before, ("1000", "100")):
+            spark.conf.set(k, v)
+        out = files.numbered_lines(spark, str(tmp_path), "*.log").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(x["path"].rsplit("/", 1)[1], x["line_no"]): x["line"] for x in out} == want and len(out) == len(want)
+    assert len({x["task"] for x in out}) > 5
