@@ -68,25 +68,46 @@ def s06_whole(spark: SparkSession, d: str) -> DataFrame:
     return worker_seconds(table(spark, d, "lineitem").withColumn("done", F.lit(True)))
 
 
+def first_workers(orders: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The first worker of each wanted task in a log of all orders, which names two for each."""
+    spark, path, task = orders.sparkSession, files.scratch(orders.sparkSession), F.concat(F.lit("t"), F.col("o_orderkey").cast("string"))
+    value = F.concat(F.lit("x\nWorker w1 took "), task, F.lit(" now\nWorker w2 took "), task, F.lit(" now"))
+    orders.select(value.alias("value")).write.text(path)
+    return files.log_search(spark, path, wanted.select(task.alias("task_id")), "*.txt")
+
+
 @query("s08_log_search", "SELECT 't' || min(o_orderkey) AS task_id, 'w1' AS worker FROM orders")
 def s08(spark: SparkSession, d: str) -> DataFrame:
     """The first worker named in a line that holds a task's id."""
-    path = files.scratch(spark)
-    first = table(spark, d, "orders").agg(F.min("o_orderkey").alias("k"))
-    first.select(F.concat(F.lit("x\nWorker w1 took t"), F.col("k").cast("string"), F.lit(" now\nWorker w2 took t"), F.col("k").cast("string"), F.lit(" now")).alias("value")).write.text(path)
-    wanted = F.broadcast(first.select(F.concat(F.lit("t"), F.col("k").cast("string")).alias("task_id")))
-    lines = files.numbered_lines(spark, path, "*.txt").join(wanted, F.contains("line", F.col("task_id")))
-    return lines.groupBy("task_id").agg(F.min_by(F.regexp_extract("line", r"Worker (\S+)", 1), F.struct("path", "line_no")).alias("worker"))
+    orders = table(spark, d, "orders").select("o_orderkey")
+    return first_workers(orders, orders.agg(F.min("o_orderkey").alias("o_orderkey")))
 
 
-@query("s10_build_log", "SELECT l_partkey % 100 AS start_ms, l_partkey % 100 + CAST(l_quantity AS BIGINT) AS end_ms, CASE WHEN l_linenumber % 2 = 0 THEN 'a.cuda.o' ELSE 'b.o' END AS output FROM lineitem WHERE l_orderkey % 7 = 0 AND l_linenumber < 4")
-def s10(spark: SparkSession, d: str) -> DataFrame:
-    path = files.scratch(spark)
+@query("s08_log_search_whole", "SELECT 't' || o_orderkey AS task_id, 'w1' AS worker FROM orders GROUP BY o_orderkey")
+def s08_whole(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").select("o_orderkey")
+    return first_workers(orders, orders)
+
+
+def build_steps(rows: DataFrame) -> DataFrame:
+    """The steps of a build log with a line for each of rows, some of them no steps."""
+    path = files.scratch(rows.sparkSession)
     end = F.col("l_partkey") % 100 + F.col("l_quantity").cast("long")
     good = F.concat_ws("\t", (F.col("l_partkey") % 100).cast("string"), end.cast("string"), F.lit("0"), F.when(F.col("l_linenumber") % 2 == 0, "a.cuda.o").otherwise("b.o"), F.lit("h"))
     line = F.when(F.col("l_linenumber") < 4, good).when(F.col("l_linenumber") == 4, "# comment").when(F.col("l_linenumber") == 5, "1\t2").otherwise("x\ty\tz\tw")
-    table(spark, d, "lineitem").where("l_orderkey % 7 = 0").select(line.alias("value")).write.text(path)
-    return files.build_log(spark, path)
+    rows.select(line.alias("value")).write.text(path)
+    return files.build_log(rows.sparkSession, path)
+
+
+@query("s10_build_log", "SELECT l_partkey % 100 AS start_ms, l_partkey % 100 + CAST(l_quantity AS BIGINT) AS end_ms, CASE WHEN l_linenumber % 2 = 0 THEN 'a.cuda.o' ELSE 'b.o' END AS output FROM lineitem WHERE l_orderkey % 7 = 0 AND l_linenumber < 4")
+def s10(spark: SparkSession, d: str) -> DataFrame:
+    """A seventh of the orders, as its SQL asks; s10_build_log_whole has them all."""
+    return build_steps(table(spark, d, "lineitem").where("l_orderkey % 7 = 0"))
+
+
+@query("s10_build_log_whole", "SELECT l_partkey % 100 AS start_ms, l_partkey % 100 + CAST(l_quantity AS BIGINT) AS end_ms, CASE WHEN l_linenumber % 2 = 0 THEN 'a.cuda.o' ELSE 'b.o' END AS output FROM lineitem WHERE l_linenumber < 4")
+def s10_whole(spark: SparkSession, d: str) -> DataFrame:
+    return build_steps(table(spark, d, "lineitem"))
 
 
 @query("s11_settings", "SELECT 'KEY_' || r_regionkey AS key, r_name AS value FROM region")

@@ -163,3 +163,19 @@ def test_lines_are_numbered_across_byte_ranges(spark, tmp_path):
             spark.conf.set(k, v)
     assert {(x["path"].rsplit("/", 1)[1], x["line_no"]): x["line"] for x in out} == want and len(out) == len(want)
     assert len({x["task"] for x in out}) > 5
+
+
+def test_log_search_finds_whole_ids_of_many_tasks(spark, tmp_path):
+    """t1 isn't found in lines of t10, and a line that names no worker doesn't count."""
+    (tmp_path / "a.log").write_text("t1 queued\nWorker w9 took t10 now\nWorker w1 took t1, now\nWorker w2 took t1 now\n")
+    wanted = spark.createDataFrame([("t1",), ("t10",), ("t2",)], "task_id string")
+    assert {tuple(x) for x in files.log_search(spark, str(tmp_path), wanted).collect()} == {("t1", "w1"), ("t10", "w9")}
+
+
+def test_whole_queries_leave_no_order_out(spark):
+    d = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey").distinct().count()
+    steps = spark.read.parquet(f"{d}/lineitem.parquet").where("l_linenumber < 4").count()
+    assert registry.QUERIES["j06_first_sample_whole"](spark, d).count() == n
+    assert registry.QUERIES["s10_build_log_whole"](spark, d).count() == steps
+    assert registry.QUERIES["s08_log_search_whole"](spark, d).count() == spark.read.parquet(f"{d}/orders.parquet").count()
