@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from scoreloom.llm.common import cut
 from scoreloom.llm.components import components
 
-#: Edits between linked lines, and the characters of the shortest lines that are looked at.
+#: Edits between linked lines, and the characters of the shortest lines that may be linked.
 THRESHOLD, SHORTEST = 2, 20
 #: The filter that precedes the fetch of candidate lines has at most so many rows, whatever the input.
 BUCKETS = 1 << 20
@@ -55,10 +55,15 @@ def probe_keys(line: Column, size: Column, threshold: int = THRESHOLD) -> Column
     return F.array_compact(F.array(*keys))
 
 
-def occurrences(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
-    """(doc_id, line_no from 0, line) of the lines long enough to be looked at."""
+def long_enough(line: Column, shortest: int = SHORTEST) -> Column:
+    return F.char_length(F.trim(line)) >= shortest
+
+
+def occurrences(docs: DataFrame, shortest: int = SHORTEST, every: bool = False) -> DataFrame:
+    """(doc_id, line_no from 0, line) of the lines that are long enough, or of every line that isn't blank."""
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.where(F.char_length(F.trim("line")) >= shortest)
+    wanted = long_enough(F.col("line"), shortest)
+    return rows.where(wanted | F.col("line").rlike(r"\S") if every else wanted)
 
 
 def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -78,17 +83,18 @@ def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return both.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "distance").distinct()
 
 
-def line_classes(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
+def line_classes(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST, every: bool = False) -> DataFrame:
     """Per occurrence of a line: doc_id, line_no, line_hash, class_doc, class_line, n_links, kept.
 
     Lines are what lies between newlines, counted from 0; those of fewer than shortest characters, without
-    spaces at the ends, are not looked at and give no row. Equal lines are one line; different lines within
+    spaces at the ends, give no row, or with every, unless they are blank, a row each, their class being the lines
+    equal to them. Equal lines are one line; different lines within
     threshold edits are linked, n_links being the number of different lines linked directly. A class is what
     links reach; it is named by its first occurrence by doc_id and line_no, which alone is kept. Rows with a
     null doc_id or text give no row. Rows that share a doc_id share its occurrences. Other columns play no part.
     """
-    lines = occurrences(docs, shortest)
-    found = cut(links(lines, threshold))
+    lines = occurrences(docs, shortest, every)
+    found = cut(links(lines.where(long_enough(F.col("line"), shortest)), threshold))
     known = components(found).withColumnRenamed("id", "k")
     both = found.select(F.col("a").alias("k")).unionByName(found.select(F.col("b").alias("k"))).groupBy("k").agg(F.count(F.lit(1)).alias("n_links"))
     linked = cut(known.join(both, "k"))
@@ -104,8 +110,8 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SH
 def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
     """docs with the lines that line_classes doesn't keep removed from text; all rows and columns stay.
 
-    A text all of whose lines go becomes empty. n_chars, if docs has it, is counted anew. Rows with a null
-    doc_id or text stay as they are.
+    Lines of fewer than shortest characters are spared, copies included. A text all of whose lines go becomes empty.
+    n_chars, if docs has it, is counted anew. Rows with a null doc_id or text stay as they are.
     """
     gone = line_classes(docs, threshold, shortest).where("not kept").groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "line_hash")).alias("__gone"))
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", F.struct(i.alias("line_no"), F.xxhash64(x).alias("line_hash"))))

@@ -18,7 +18,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from scoreloom.llm import bpe, components, decontamination, embeddings, lines, minhash, pages, secrets, sharding, shingles, substrings, toxicity  # noqa: E402
+from scoreloom.llm import bpe, components, decontamination, embeddings, lines, minhash, pages, queries, secrets, sharding, shingles, substrings, toxicity  # noqa: E402
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, key string, spans string, band int, id long, hash long, score double, component string"
 
@@ -274,6 +274,15 @@ def test_lines_against_brute_force(spark, odd):
     assert lines.deduplicate(docs).columns == docs.columns and lines.deduplicate(docs).count() == docs.count()
 
 
+def test_short_lines_have_rows_and_classes_by_equality(spark, tmp_path):
+    """Short lines link to nothing, not even to near ones; blank lines give no row."""
+    long = "a line that is long enough"
+    texts = {1: f"short\n\n \t\nshort\n{long}", 2: "shore\nshort", 3: f"{long}!\n short"}
+    docs_of(spark, list(texts.values()), list(texts)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(x) for x in queries.op7_lines(spark, str(tmp_path)).collect()}
+    assert got == {(1, 0, 1, 0, 0, True), (1, 3, 1, 0, 0, False), (1, 4, 1, 4, 1, True), (2, 0, 2, 0, 0, True), (2, 1, 1, 0, 0, False), (3, 0, 1, 4, 1, False), (3, 1, 3, 1, 0, True)}
+
+
 # MinHash near-dedup
 
 
