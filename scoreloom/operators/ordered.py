@@ -22,9 +22,18 @@ def first_of(rows: DataFrame, keys: list[str], position: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(position).alias(position))
 
 
-def queue_positions(rows: DataFrame, queue: list[str], order: list[Column | str]) -> DataFrame:
-    """rows with fifo_position from 1 within each queue."""
-    return rows.withColumn("fifo_position", F.row_number().over(Window.partitionBy(*queue).orderBy(*order)))
+def queue_positions(rows: DataFrame, queue: list[str], order: list[str], parts: int = 64) -> DataFrame:
+    """rows with fifo_position from 1 within each queue; the first column of order is numeric or a time.
+
+    Rows are numbered within a queue's ranges of that column and start from the count of the queue's ranges before.
+    """
+    parted = rows.withColumn("__part", range_of(rows, order[0], parts))
+    within = parted.withColumn("__i", F.row_number().over(Window.partitionBy(*queue, "__part").orderBy(*order)))
+    counts = parted.groupBy(*queue, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*queue).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    both = within.alias("a").join(offsets.alias("b"), _same("a", "b", [*queue, "__part"]))
+    return both.select(*[f"a.{c}" for c in rows.columns], (F.col("b.__offset") + F.col("a.__i")).alias("fifo_position"))
 
 
 def range_of(df: DataFrame, order: str, parts: int = 64) -> Column:

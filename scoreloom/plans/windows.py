@@ -37,11 +37,12 @@ def w03(spark: SparkSession, d: str) -> DataFrame:
 @query("w04_round_robin", """WITH w AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier WHERE s_acctbal > 3000), t AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS i FROM orders)
 SELECT o_orderkey, s_suppkey AS worker FROM t JOIN w ON t.i % n = w.i""")
 def w04(spark: SparkSession, d: str) -> DataFrame:
-    """Each queue's tasks go to the live workers in turn; the workers are few, their list is one row."""
-    live = table(spark, d, "supplier").where("s_acctbal > 3000").agg(F.array_sort(F.collect_list("s_suppkey")).alias("workers"))
+    """Each queue's tasks go to the live workers in turn, by the position of either."""
+    live = joins.numbered(table(spark, d, "supplier").where("s_acctbal > 3000").select("s_suppkey"), "s_suppkey")
     tasks = ordered.queue_positions(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderpriority"], ["o_orderkey"])
-    at = F.pmod(F.col("fifo_position") - 1, F.size("workers")).cast("int")
-    return tasks.join(F.broadcast(live)).where(F.size("workers") > 0).select("o_orderkey", F.get("workers", at).alias("worker"))
+    n = live.agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+    turns = tasks.join(F.broadcast(n)).withColumn("position", F.pmod(F.col("fifo_position") - 1, F.col("n")) + 1)
+    return turns.join(live, "position").select("o_orderkey", F.col("s_suppkey").alias("worker"))
 
 
 @query("w05_latest_state", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
