@@ -53,11 +53,11 @@ def worker_log(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(part(1).alias("worker_id"), part(2).alias("task_id"), part(3).try_cast("double").alias("seconds"), "path", "line_no")
 
 
-def log_search(spark: SparkSession, path: str, wanted: DataFrame, pattern: str | None = None) -> DataFrame:
-    """(task_id, worker): for each task_id of wanted, the first worker named in a line that holds it as a word."""
+def log_search(spark: SparkSession, path: str, wanted: DataFrame, pattern: str | None = None, ids: str = r"\bt[0-9][\w-]*") -> DataFrame:
+    """(task_id, worker): for each task_id of wanted, the first worker named in a line that holds it; ids is the shape of task ids."""
     shape = r"Worker (\S+)"
     lines = numbered_lines(spark, path, pattern).where(F.col("line").rlike(shape))
-    words = lines.select("path", "line_no", F.regexp_extract("line", shape, 1).alias("worker"), F.explode(F.array_distinct(F.split("line", r"[^\w-]+"))).alias("task_id"))
+    words = lines.select("path", "line_no", F.regexp_extract("line", shape, 1).alias("worker"), F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(ids), F.lit(0)))).alias("task_id"))
     found = words.join(wanted.select("task_id").distinct(), "task_id")
     return found.groupBy("task_id").agg(F.min_by("worker", F.struct("path", "line_no")).alias("worker"))
 
