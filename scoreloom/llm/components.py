@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from scoreloom.llm.common import cut
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for each node of an edge, component being the least id reachable.
 
     Alternating stars: each round links a node's larger neighbours, then its smaller ones, to the least
     id next to it. Minima are aggregated before the shuffle, so that a hub's edges aren't gathered, and each
-    round's edges are checkpointed. The rounds grow with the logarithm of the number of nodes.
+    round's edges are checkpointed. The rounds grow with the logarithm of the number of nodes and
+    end when nothing changes.
     """
     now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
 
@@ -21,7 +22,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         return both.groupBy("u").agg(F.min("v").alias("m"))
 
     last = None
-    for _ in range(rounds):
+    while True:
         # large star: neighbours above u go to the least of u and its neighbours
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = least(both).select("u", F.least("u", "m").alias("m"))

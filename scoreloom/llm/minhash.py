@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import cut
+from scoreloom.llm.common import cut, likely, slices
 from scoreloom.llm.components import components
 from scoreloom.llm.shingles import mix, shingles
 
 #: 24 bands of 4 registers: documents of similarity 0.8 meet in a band but for 4 in a million.
 BANDS, ROWS = 24, 4
-#: So many texts are sketched together.
-CHUNK = 256
+#: Texts held against one hub in a task; a hub of more has several blocks.
+BLOCK = 512
 
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -64,12 +64,22 @@ def weighted(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, np.n
     return t[new], h[new], np.diff(np.append(new, len(t))).astype(np.float64)
 
 
+def node(text: str = "text"):
+    """The name of a text: all documents of equal texts are one node of the graph."""
+    return F.unhex(F.md5(text))
+
+
+def _once(batch: pa.RecordBatch) -> tuple[pa.Array, list[str]]:
+    """The nodes of a batch and their texts, equal texts once."""
+    found = dict(zip(batch.column("node").to_pylist(), batch.column("text"), strict=True))
+    return pa.array(list(found), pa.binary()), [t.as_py() or "" for t in found.values()]
+
+
 def _bands(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, max(whole.num_rows, 1), CHUNK):
-                batch = whole.slice(at, CHUNK)
-                texts = [t.as_py() or "" for t in batch.column("text")]
+            for batch in slices(whole, "text"):
+                nodes, texts = _once(batch)
                 t, h, w = weighted(texts, words)
                 got = sketch(t, h, w, len(texts), bands * rows).reshape(len(texts), bands, rows)
                 key = np.zeros((len(texts), bands), np.uint64)
@@ -78,7 +88,7 @@ def _bands(words: int, bands: int, rows: int):
                 some = np.flatnonzero(np.bincount(t, minlength=len(texts)))
                 flat = pa.array(key[some].reshape(-1).view(np.int64))
                 offsets = pa.array(np.arange(0, len(some) * bands + 1, bands), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(some)), pa.ListArray.from_arrays(offsets, flat)], names=["id", "bands"])
+                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(some)), pa.ListArray.from_arrays(offsets, flat)], names=["node", "bands"])
 
     return run
 
@@ -99,83 +109,99 @@ def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> fl
     return float((1.0 / (below / p + above / q)).sum())
 
 
-def _similar(words: int, threshold: float):
+def _held(threshold: float):
+    """Rows come by hub and block, the hub's own shingles first: only these stay in memory while its texts pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, max(whole.num_rows, 1), CHUNK):
-                batch = whole.slice(at, CHUNK)
-                n = batch.num_rows
-                texts = [t.as_py() or "" for c in ("text_a", "text_b") for t in batch.column(c)]
-                t, h, w = weighted(texts, words)
-                edges = np.searchsorted(t, np.arange(2 * n + 1))
-                part = lambda k: slice(edges[k], edges[k + 1])  # noqa: E731, B023
-                found = np.array([similarity(h[part(k)], w[part(k)], h[part(n + k)], w[part(n + k)]) for k in range(n)])  # noqa: B023
-                keep = np.flatnonzero(found >= threshold - 1e-9)
-                cells = batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*cells.columns, pa.array(found[keep] if len(keep) else [], pa.float64())], names=["a", "b", "similarity"])
+        hub, h, x = None, None, None
+        for batch in batches:
+            tokens, counts = batch.column("tokens"), batch.column("counts")
+            edges = tokens.offsets.to_numpy()
+            flat, weight = tokens.values.to_numpy().view(np.uint64), counts.values.to_numpy().astype(np.float64)
+            pairs, found = [], []
+            for k, (of, other) in enumerate(zip(batch.column("hub").to_pylist(), batch.column("spoke").to_pylist(), strict=True)):
+                part = slice(edges[k], edges[k + 1])
+                if other is None:
+                    hub, h, x = of, flat[part].copy(), weight[part].copy()
+                    continue
+                if of != hub:
+                    raise RuntimeError("a hub's shingles come before its texts")
+                s = similarity(h, x, flat[part], weight[part])
+                if s >= threshold - 1e-9:
+                    pairs.append((min(of, other), max(of, other)))
+                    found.append(s)
+            columns = [pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
     return run
 
 
-def verify(pairs: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """(a, b, similarity) of those pairs (a, b) of ids whose texts are similar enough."""
-    kind = dict(pairs.dtypes)["a"]
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
-    left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar(words, threshold), f"a {kind}, b {kind}, similarity double")
+def verify(pairs: DataFrame, bags: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(a, b, similarity) of those pairs (hub, spoke) of nodes whose shingles are similar enough.
+
+    Each text's shingles move once a pair and those of a hub once a block of its spokes, so that a hub of many is
+    dealt over many tasks and none holds more than one hub and a batch.
+    """
+    blocks = cut(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
+    own = bags.select(F.col("node").alias("hub"), "tokens", "counts").join(blocks, "hub")
+    own = own.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("binary").alias("spoke"), "tokens", "counts")
+    dealt = pairs.join(blocks, "hub").select("hub", F.pmod(F.xxhash64("spoke"), "blocks").cast("int").alias("block"), "spoke")
+    others = dealt.join(bags.select(F.col("node").alias("spoke"), "tokens", "counts"), "spoke").select(own.columns)
+    rows = own.unionByName(others).repartition("hub", "block").sortWithinPartitions("hub", "block", F.col("spoke").asc_nulls_first())
+    return rows.select("hub", "spoke", "tokens", "counts").mapInArrow(_held(threshold), "a binary, b binary, similarity double")
 
 
 def links(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(a, b, similarity): verified links between documents that are enough for their components.
+    """(a, b, similarity): verified links between nodes, the digests of different texts, that are enough for their components.
 
-    Copies are known by a digest and only their least doc_id takes part. In a bucket of a band all
-    documents are compared with two of them: the one that meets the most documents in all bands, and one by
-    a hash, another in each band. The documents of buckets that still hold several components
+    In a bucket of a band all texts are compared with two of them: the one that meets the most texts in all
+    bands, and one by a hash, another in each band. The texts of buckets that still hold several components
     are held against each other by prefix filters, so that no bucket's pairs are all compared.
     """
-    # the documents of a digest, by their least doc_id
-    ids = docs.where("doc_id is not null").groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("id"))
-    firsts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").withColumn("digest", F.md5("text"))
-    kind = dict(docs.dtypes)["doc_id"]
-    every = firsts.drop("digest").mapInArrow(_bands(words, bands, rows), f"id {kind}, bands array<long>")
-    sketches = cut(every.join(ids.select("id").distinct(), "id", "left_semi"))
-    cells = sketches.select("id", F.posexplode("bands").alias("band", "hash"))
+    texts = docs.where("doc_id is not null and text is not null").select(node().alias("node"), "text")
+    # copies are sketched once a slice and one sketch of them is left on the way to the shuffle
+    sketches = cut(texts.mapInArrow(_bands(words, bands, rows), "node binary, bands array<long>").groupBy("node").agg(F.first("bands").alias("bands")))
+    cells = sketches.select("node", F.posexplode("bands").alias("band", "hash"))
     sizes = cells.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = cells.join(sizes, ["band", "hash"])
     # the hub of a group of near copies meets the others in more bands than they meet each other
-    met = cut(met.join(met.groupBy("id").agg(F.sum("n").alias("meets")), "id"))
-    stars = met.groupBy("band", "hash").agg(F.max_by("id", F.struct("meets", "id")).alias("hub"), F.min_by("id", F.xxhash64("band", "id")).alias("star"))
-    spokes = met.join(stars, ["band", "hash"]).select("id", F.explode(F.array_distinct(F.array("hub", "star"))).alias("to")).where("id <> to")
-    pairs = cut(spokes.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct())
-    chosen = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    found = cut(verify(pairs, chosen, words, threshold))
+    met = cut(met.join(met.groupBy("node").agg(F.sum("n").alias("meets")), "node"))
+    stars = met.groupBy("band", "hash").agg(F.max_by("node", F.struct("meets", "node")).alias("hub"), F.min_by("node", F.xxhash64("band", "node")).alias("star"))
+    spokes = met.join(stars, ["band", "hash"]).select("node", F.explode(F.array_distinct(F.array("hub", "star"))).alias("to")).where("node <> to")
+    pairs = spokes.groupBy(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).agg(F.min("to").alias("hub"))
+    pairs = cut(pairs.select("a", "b", "hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("spoke")))
+    bags = cut(shingled(texts, met.select("node").distinct(), words))
+    found = cut(verify(pairs.select("hub", "spoke"), bags, threshold))
     known = components(found)
 
-    placed = met.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = met.join(known.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("band", "hash").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "hash")
-    rest = cut(placed.join(mixed, ["band", "hash"], "left_semi"))
-    members = rest.select("id", "component").distinct()
-    texts = chosen.withColumnRenamed("doc_id", "id").join(members, "id").select("id", "component", "text")
-    tokens = cut(texts.mapInArrow(_tokens(words), f"id {kind}, component {kind}, tokens array<long>, counts array<double>, repeats boolean"))
-    last = prefix_pairs(tokens.where("not repeats"), threshold).unionByName(weighted_prefix_pairs(tokens, threshold))
-    last = cut(last.distinct().join(pairs, ["a", "b"], "left_anti"))
-    return found if last.isEmpty() else found.unionByName(verify(last, chosen, words, threshold))
+    rest = placed.join(mixed, ["band", "hash"], "left_semi")
+    members = cut(rest.select(F.col("node").alias("id"), "component").distinct())
+    sets = cut(bags.withColumnRenamed("node", "id").join(members, "id").select("id", "component", "tokens", "counts", "total", "repeats"))
+    last = prefix_pairs(sets.where("not repeats"), threshold).unionByName(weighted_prefix_pairs(sets, threshold))
+    last = cut(last.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    return found if last.isEmpty() else found.unionByName(verify(last.select(F.col("a").alias("hub"), F.col("b").alias("spoke")), bags, threshold))
 
 
-def _tokens(words: int):
-    """Each document's shingles, how often each occurs, and whether one occurs again."""
+def shingled(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, tokens, counts, total, repeats) of the wanted nodes, each once: shingles, how often each occurs, the sum, whether one occurs again."""
+    schema = "node binary, tokens array<long>, counts array<int>, total double, repeats boolean"
+    some = likely(texts, "node", wanted).mapInArrow(_bags(words), schema).join(wanted, "node", "left_semi")
+    return some.groupBy("node").agg(F.first(F.struct("tokens", "counts", "total", "repeats")).alias("x")).select("node", "x.*")
 
+
+def _bags(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, max(whole.num_rows, 1), CHUNK):
-                batch = whole.slice(at, CHUNK)
-                t, h, w = weighted([x.as_py() or "" for x in batch.column("text")], words)
-                edges = np.searchsorted(t, np.arange(batch.num_rows + 1))
-                twice = np.bincount(t, w > 1, minlength=batch.num_rows) > 0
-                offsets = pa.array(edges, pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(w)), pa.array(twice)]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("component"), *lists], names=["id", "component", "tokens", "counts", "repeats"])
+            for batch in slices(whole, "text"):
+                nodes, texts = _once(batch)
+                t, h, w = weighted(texts, words)
+                edges = pa.array(np.searchsorted(t, np.arange(len(texts) + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(edges, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(edges, pa.array(w.astype(np.int32)))]
+                totals = np.bincount(t, w, minlength=len(texts))
+                twice = np.bincount(t, w > 1, minlength=len(texts)) > 0
+                yield pa.RecordBatch.from_arrays([nodes, *lists, pa.array(totals.astype(np.float64)), pa.array(twice)], names=["node", "tokens", "counts", "total", "repeats"])
 
     return run
 
@@ -221,8 +247,7 @@ def weighted_prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """
     if sets.where("repeats").isEmpty():
         return sets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    total = F.aggregate("counts", F.lit(0.0), lambda x, y: x + y)
-    cells = sets.select("id", "component", "repeats", total.alias("total"), F.inline(F.arrays_zip("tokens", "counts"))).select("id", "component", "repeats", F.col("tokens").alias("token"), (F.col("counts") / F.col("total")).alias("weight"))
+    cells = sets.select("id", "component", "repeats", "total", F.inline(F.arrays_zip("tokens", "counts"))).select("id", "component", "repeats", F.col("tokens").alias("token"), (F.col("counts") / F.col("total")).alias("weight"))
     often = cells.groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.max("repeats").alias("some")).where("sets > 1")
     mine = Window.partitionBy("id")
     here = F.coalesce(F.sum("weight").over(mine.orderBy("sets", "token").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -242,22 +267,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
     class_id is the least doc_id with the same text, component_id the least doc_id reachable by links of
     similarity threshold or more, kept whether the row's doc_id is that. Words are runs between ASCII white
     space, lower-cased; a text of fewer words than a shingle has one shingle of all its words; texts
-    without words link with exact copies only. Rows that share a doc_id count as one document. Rows with a
+    without words link with exact copies only. Rows that share a doc_id count as one document: all their texts are linked. Rows with a
     null doc_id or a null text link with nothing and are kept; their ids are their doc_id. No rows give no rows.
     """
-    edges = links(docs, threshold, words).select("a", "b")
-    some = docs.where("doc_id is not null and text is not null").select("doc_id", F.md5("text").alias("digest"))
-    classes = some.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    members = cut(some.join(classes, "digest").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("class_id").alias("other")))
-    twice = members.where("class_id <> other").select(F.col("class_id").alias("a"), F.col("other").alias("b"))
-    known = components(edges.unionByName(twice))
-    rows = docs.select("doc_id").join(members.select("doc_id", "class_id"), "doc_id", "left").join(known.withColumnRenamed("id", "class_id"), "class_id", "left")
-    class_id = F.coalesce("class_id", "doc_id")
-    component = F.coalesce("component", class_id)
-    return rows.select("doc_id", class_id.alias("class_id"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    some = cut(docs.where("doc_id is not null and text is not null").select("doc_id", node().alias("node")))
+    classes = some.groupBy("node").agg(F.min("doc_id").alias("class_id"))
+    several = some.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b <> most").select("doc_id", "b")
+    shared = some.join(several, "doc_id").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
+    known = components(links(docs, threshold, words).select("a", "b").unionByName(shared)).withColumnRenamed("id", "node")
+    named = classes.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    told = cut(named.join(least, "component").select("node", "class_id", "component_id"))
+    members = some.join(told, "node").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("component_id").alias("component_id"))
+    rows = docs.select("doc_id").join(members, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> DataFrame:
     """The rows of docs that near_duplicates keeps, one of each group, all columns; of repeated rows all stay."""
-    kept = near_duplicates(docs, threshold, words).where("not kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_anti").select(*docs.columns)
+    gone = near_duplicates(docs, threshold, words).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

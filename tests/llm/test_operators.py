@@ -349,6 +349,21 @@ def test_near_duplicates_against_brute_force(spark, odd):
     assert {x["doc_id"] for x in left.collect()} == {x["doc_id"] for x in out if x["kept"]}
 
 
+def test_texts_of_one_doc_id_are_linked(spark):
+    """Three texts a doc_id, each with copies elsewhere: all are one component; a hub of many texts is dealt in blocks."""
+    r = random.Random(15)
+    a, b, c = (words(r, 30, 5000) for _ in range(3))
+    docs = docs_of(spark, [a, b, c, a, b, c, "other words here"], [9, 9, 9, 1, 2, 3, 7])
+    out = {(x["doc_id"], x["component_id"], x["kept"]) for x in minhash.near_duplicates(docs).collect()}
+    assert out == {(9, 1, False), (1, 1, True), (2, 1, False), (3, 1, False), (7, 7, True)}
+    texts = docs.select(minhash.node().alias("node"), "text")
+    bags = minhash.shingled(texts, texts.select("node").distinct(), 5)
+    nodes = [x["node"] for x in bags.select("node").orderBy("node").collect()]
+    pairs = spark.createDataFrame([(nodes[0], n) for n in nodes[1:]], "hub binary, spoke binary")
+    for block in (1, 512):
+        assert minhash.verify(pairs, bags, 0.0, block).count() == len(nodes) - 1
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(300, 299), (299, 300), (7, 7)]
     out = {x["id"]: x["component"] for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
