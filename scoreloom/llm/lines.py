@@ -3,22 +3,25 @@
 A line of l characters is split into THRESHOLD + 1 even segments, which are indexed by l, their number and
 their hash. A line within THRESHOLD edits of it holds one of these segments unchanged, shifted by no more than
 the edits on either side can shift it; so each line probes, for each length up to THRESHOLD shorter, only the
-substrings at those places. Candidates are verified by the edit distance within a band around the diagonal
-(Spark's levenshtein with a threshold).
+substrings at those places. Candidates are verified by a bit-parallel edit distance, of which only the band
+around the diagonal is computed.
+
+What is asked for are classes, not pairs: a key's lines are compared with one of its indexed lines, then with
+another, and only lines of keys that still hold several classes are compared across these.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import cut
+from scoreloom.llm.common import cut, likely
 from scoreloom.llm.components import components
 
-#: Edits between linked lines, and the characters of the shortest lines that may be linked.
+#: Edits between linked lines, and the characters of the shortest lines that may be linked to different ones.
 THRESHOLD, SHORTEST = 2, 20
-#: The filter that precedes the fetch of candidate lines has at most so many rows, whatever the input.
-BUCKETS = 1 << 20
 
 
 def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -42,8 +45,8 @@ def index_keys(line: Column, size: Column, threshold: int = THRESHOLD) -> Column
 
 
 def probe_keys(line: Column, size: Column, threshold: int = THRESHOLD) -> Column:
-    """The keys of the substrings that may be a segment of a line as long or up to threshold shorter."""
-    keys = []
+    """The keys of the substrings that may be a segment of a line as long or up to threshold shorter; the line's own segments come first."""
+    own, other = [], []
     for shorter in range(threshold + 1):
         length = size - shorter
         for i in range(threshold + 1):
@@ -51,71 +54,164 @@ def probe_keys(line: Column, size: Column, threshold: int = THRESHOLD) -> Column
             # edits before the segment shift it by i at most, edits after it by what is left of the threshold
             for shift in range(max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i)) + 1):
                 at = start + shift
-                keys.append(F.when((at >= 1) & (at + n - 1 <= size), _key(length, i, F.substring(line, at, n))))
-    return F.array_compact(F.array(*keys))
+                key = _key(length, i, F.substring(line, at, n))
+                if shorter or shift:
+                    other.append(F.when((at >= 1) & (at + n - 1 <= size), key))
+                else:
+                    own.append(key)
+    return F.array_compact(F.array(*own, *other))
+
+
+def _let(x: Column, then: Callable[[Column], Column]) -> Column:
+    """then(x), with x computed once."""
+    return F.transform(F.array(x), then)[0]
+
+
+def edit_distance(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
+    """The edit distance of a and b, -1 if it exceeds threshold; both are longer than threshold.
+
+    Bit-parallel along the band: bit k of a column of the matrix stands for the diagonal k - threshold. vp and vn
+    hold where values grow and fall down the column; dist follows the lowest diagonal to the last row, and that
+    row to its end.
+    """
+    width, chars_a, chars_b = 2 * threshold + 1, F.split(a, ""), F.split(b, "")
+    full, top = (1 << width) - 1, 2 * threshold
+    state = lambda i, vp, vn, dist: F.struct(i.alias("i"), vp.alias("vp"), vn.alias("vn"), dist.alias("dist"))
+    start = state(F.lit(0), F.lit(((1 << (threshold + 1)) - 1) << threshold), F.lit(0), F.lit(threshold))
+    bit = lambda x, k: F.shiftright(x, k).bitwiseAND(F.lit(1))
+    flip = lambda x: F.bitwise_not(x).bitwiseAND(F.lit(full))
+
+    def next_column(pattern: Column, steep: Column) -> Callable[[Column, Column], Column]:
+        def step(now: Column, char: Column) -> Column:
+            i, vp, vn = now["i"], now["vp"], now["vn"]
+            same = F.lit(0)
+            for k in range(width):
+                same = same + F.when(F.get(pattern, i + F.lit(k - threshold)) == char, 1 << k).otherwise(0)
+
+            def with_diagonals(d0: Column) -> Column:
+                def with_rows(rows: Column) -> Column:
+                    right, left, down = rows["right"], rows["left"], F.shiftright(d0, 1)
+                    below = F.lit(0)
+                    for k in range(top):  # the last row is at bit top - 1 first, and one lower each column
+                        below = F.when(i - steep == top - 1 - k, bit(right, k) - bit(left, k)).otherwise(below)
+                    dist = now["dist"] + F.when(i < steep, 1 - bit(d0, top)).otherwise(below)
+                    return state(i + 1, left.bitwiseOR(flip(down.bitwiseOR(right))), down.bitwiseAND(right), dist)
+
+                rows = F.struct(vn.bitwiseOR(flip(d0.bitwiseOR(vp))).alias("right"), d0.bitwiseAND(vp).alias("left"))
+                return _let(rows, with_rows)
+
+            return _let(same, lambda x: _let((x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(F.lit(full)), with_diagonals))
+
+        return step
+
+    # the pattern's characters are split once a pair, not once a column
+    whole = _let(F.struct(chars_a.alias("p"), chars_b.alias("t")), lambda x: F.aggregate(x["t"], start, next_column(x["p"], F.size(x["p"]) - threshold), lambda s: s["dist"]))
+    near = F.abs(F.char_length(a) - F.char_length(b)) <= threshold
+    return F.when(near, _let(whole, lambda d: F.when(d <= threshold, d).otherwise(-1))).otherwise(-1)
+
+
+def parities(line: Column) -> Column:
+    """64 bits, each the parity of the count of some characters: an edit changes two of them at most."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64)))
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda x, c: x.bitwiseXOR(bit(c)))
 
 
 def long_enough(line: Column, shortest: int = SHORTEST) -> Column:
     return F.char_length(F.trim(line)) >= shortest
 
 
-def occurrences(docs: DataFrame, shortest: int = SHORTEST, every: bool = False) -> DataFrame:
-    """(doc_id, line_no from 0, line) of the lines that are long enough, or of every line that isn't blank."""
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    wanted = long_enough(F.col("line"), shortest)
-    return rows.where(wanted | F.col("line").rlike(r"\S") if every else wanted)
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, line_no from 0, line) of every line that isn't blank."""
+    rows = docs.where("doc_id is not null and text is not null")
+    return rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"\S"))
+
+
+def verify(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): the digests k of the lines of those pairs (h1, h2) of hashes that are within threshold edits."""
+    one, two = (lines.select(F.col("h").alias(f"h{i}"), F.col("line").alias(f"line{i}"), F.col("k").alias(f"k{i}")) for i in (1, 2))
+    both = pairs.join(one, "h1").join(two, "h2").where(edit_distance(F.col("line1"), F.col("line2"), threshold) >= 0)
+    return both.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")).distinct()
 
 
 def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b, distance): MD5 digests of different lines within threshold edits, a below b, each pair once."""
+    """(a, b): digests of different lines within threshold edits, enough of them for all classes.
+
+    lines has a row or more for each line, with more than threshold characters. A key's rows are those of the lines that
+    probe it, of which the first, and later the last, of its indexed lines is compared with all. What a key holds in several classes after that is compared
+    across them, unless the parities of the characters already differ too much.
+    """
     size = F.char_length("line")
     distinct = lines.select("line").distinct().select(F.xxhash64("line").alias("h"), "line", size.alias("size"))
     index = distinct.select("h", F.explode(index_keys(F.col("line"), F.col("size"), threshold)).alias("key"))
-    probes = distinct.select(F.col("h").alias("h2"), F.explode(probe_keys(F.col("line"), F.col("size"), threshold)).alias("key"))
-    pairs = cut(index.join(probes, "key").where("h <> h2").select(F.least("h", "h2").alias("h1"), F.greatest("h", "h2").alias("h2")).distinct())
-    bucket = lambda c: F.pmod(c, F.lit(BUCKETS)).cast("int")
-    wanted = pairs.select(F.explode(F.array("h1", "h2")).alias("h")).select(bucket(F.col("h")).alias("bucket")).distinct()
-    hashed = lines.select("line", F.xxhash64("line").alias("h"))
-    few = hashed.withColumn("bucket", bucket(F.col("h"))).join(F.broadcast(wanted), "bucket", "left_semi").select("h", "line").distinct()
-    left, right = few.select(F.col("h").alias("h1"), F.col("line").alias("one")), few.select(F.col("h").alias("h2"), F.col("line").alias("two"))
-    both = pairs.join(left, "h1").join(right, "h2").withColumn("distance", F.levenshtein("one", "two", threshold)).where(F.col("distance") >= 0)
-    a, b = F.md5("one"), F.md5("two")
-    return both.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "distance").distinct()
-
-
-def line_classes(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST, every: bool = False) -> DataFrame:
-    """Per occurrence of a line: doc_id, line_no, line_hash, class_doc, class_line, n_links, kept.
-
-    Lines are what lies between newlines, counted from 0; those of fewer than shortest characters, without
-    spaces at the ends, give no row, or with every, unless they are blank, a row each, their class being the lines
-    equal to them. Equal lines are one line; different lines within
-    threshold edits are linked, n_links being the number of different lines linked directly. A class is what
-    links reach; it is named by its first occurrence by doc_id and line_no, which alone is kept. Rows with a
-    null doc_id or text give no row. Rows that share a doc_id share its occurrences. Other columns play no part.
+    first = index.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    probes = distinct.select("h", F.posexplode(probe_keys(F.col("line"), F.col("size"), threshold)).alias("at", "key")).select("h", "key", (F.col("at") <= threshold).alias("own"))
+    met = cut(probes.join(first, "key").where((F.col("h") != F.col("lo")) | (F.col("lo") != F.col("hi"))))
+    wanted = met.select(F.explode(F.array("h", "lo", "hi")).alias("h")).distinct()
+    known = cut(likely(lines.select(F.xxhash64("line").alias("h"), "line"), "h", wanted).distinct().join(wanted, "h", "left_semi").withColumn("k", F.unhex(F.md5("line"))))
+
+    def pairs(of: DataFrame, hub: str) -> DataFrame:
+        return cut(of.where(F.col("h") != F.col(hub)).select(F.least("h", hub).alias("h1"), F.greatest("h", hub).alias("h2")).distinct())
+
+    asked = pairs(met, "lo")
+    found = cut(verify(asked, known, threshold))
+    many = met.where("lo <> hi")
+    if many.isEmpty():
+        return found
+
+    def mixed() -> DataFrame:
+        """The rows of keys that hold several classes; a hash of several lines stands for all of them."""
+        named = known.select("h", "k").join(components(found).withColumnRenamed("id", "k"), "k", "left").groupBy("h").agg(F.min(F.coalesce("component", "k")).alias("class"))
+        placed = many.join(cut(named), "h")
+        keys = placed.groupBy("key").agg(F.min("class").alias("lo_class"), F.max("class").alias("hi_class")).where("lo_class <> hi_class").select("key")
+        return cut(placed.join(keys, "key", "left_semi"))
+
+    more = pairs(mixed(), "hi").join(asked, ["h1", "h2"], "left_anti")
+    found = cut(found.unionByName(verify(more, known, threshold)).distinct())
+    rest = mixed()
+    if rest.isEmpty():
+        return found
+    signs = known.join(rest.select("h").distinct(), "h", "left_semi").select("h", parities(F.col("line")).alias("sign"), F.char_length("line").alias("size"))
+    rest = cut(rest.join(signs, "h").select("key", "h", "own", "class", "sign", "size"))
+    other = rest.select("key", *[F.col(c).alias(f"{c}2") for c in ("h", "class", "sign", "size")])
+    near = (F.bit_count(F.col("sign").bitwiseXOR(F.col("sign2"))) <= 2 * threshold) & (F.abs(F.col("size") - F.col("size2")) <= threshold)
+    last = rest.where("own").join(other, "key").where((F.col("class") != F.col("class2")) & near)
+    last = last.select(F.least("h", "h2").alias("h1"), F.greatest("h", "h2").alias("h2")).distinct().join(asked.unionByName(more), ["h1", "h2"], "left_anti")
+    return found.unionByName(verify(cut(last), known, threshold)).distinct()
+
+
+def line_classes(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
+    """Per occurrence of a line that isn't blank: doc_id, text_key, line_no, class_doc, class_line, kept.
+
+    Lines are what lies between newlines, counted from 0. Equal lines are one; different lines of shortest
+    characters or more, without spaces at the ends, are linked if they are within threshold edits; shorter ones are linked to none.
+    A class is what links reach; it is named by its first occurrence by doc_id and line_no, which alone
+    is kept. Rows with a null doc_id or text give no row. Rows that share a doc_id share its occurrences, repeated rows each with rows of their own; text_key
+    tells different texts apart. Other columns play no part.
     """
-    lines = occurrences(docs, shortest, every)
-    found = cut(links(lines.where(long_enough(F.col("line"), shortest)), threshold))
-    known = components(found).withColumnRenamed("id", "k")
-    both = found.select(F.col("a").alias("k")).unionByName(found.select(F.col("b").alias("k"))).groupBy("k").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = cut(known.join(both, "k"))
-    keyed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("line_hash"), F.md5("line").alias("k"))
-    placed = keyed.join(linked, "k", "left").select("doc_id", "line_no", "line_hash", F.coalesce("component", "k").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    first = placed.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    return placed.join(first, "class").select(
-        "doc_id", "line_no", "line_hash", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"), "n_links",
-        ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))).alias("kept"),
-    )
+    if shortest <= threshold:
+        raise ValueError("linked lines have more characters than threshold")
+    lines = occurrences(docs)
+    known = cut(components(cut(links(lines.where(long_enough(F.col("line"), shortest)).select("line"), threshold))).withColumnRenamed("id", "k"))
+    placed = lines.select("doc_id", "text_key", "line_no", F.unhex(F.md5("line")).alias("k")).join(known, "k", "left")
+    placed = placed.select("doc_id", "text_key", "line_no", F.coalesce("component", "k").alias("class"))
+    # lines without a second occurrence need no partner; the others' classes are joined where a hot one can be split
+    first = placed.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    named = placed.join(cut(first.select("class", "first")), "class", "left")
+    class_doc, class_line = F.coalesce("first.doc_id", "doc_id"), F.coalesce("first.line_no", "line_no")
+    kept = (F.col("doc_id") == class_doc) & (F.col("line_no") == class_line)
+    return named.select("doc_id", "text_key", "line_no", class_doc.alias("class_doc"), class_line.alias("class_line"), kept.alias("kept"))
 
 
 def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
     """docs with the lines that line_classes doesn't keep removed from text; all rows and columns stay.
 
-    Lines of fewer than shortest characters are spared, copies included. A text all of whose lines go becomes empty.
-    n_chars, if docs has it, is counted anew. Rows with a null doc_id or text stay as they are.
+    A text all of whose lines go becomes empty; blank lines stay. n_chars, if docs has it, is counted anew.
+    Rows with a null doc_id or text stay as they are.
     """
-    gone = line_classes(docs, threshold, shortest).where("not kept").groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "line_hash")).alias("__gone"))
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", F.struct(i.alias("line_no"), F.xxhash64(x).alias("line_hash"))))
-    out = docs.join(gone, "doc_id", "left").withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    gone = line_classes(docs, threshold, shortest).where("not kept").groupBy(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).agg(F.collect_set("line_no").alias("__gone"))
+    lines = F.split("text", "\n")
+    left = _let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone")), lambda i: F.get(x, i)), "\n"))
+    out = docs.join(gone, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__key")), "left").withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*docs.columns)

@@ -45,8 +45,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.line_classes(table(spark, sf_dir, "documents"), every=True)
-    return out.select("doc_id", "line_no", "class_doc", "class_line", "n_links", "kept")
+    return lines.line_classes(table(spark, sf_dir, "documents")).select("doc_id", "line_no", "class_doc", "class_line", "kept")
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

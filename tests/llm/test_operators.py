@@ -233,18 +233,27 @@ def edits(a, b):
     return row[-1]
 
 
-def test_lines_against_brute_force(spark, odd):
-    r = random.Random(8)
-    pool = ["".join(r.choice("abcdef ") for _ in range(r.randint(18, 40))).strip() + "zz" for _ in range(60)]
-    for _ in range(120):
-        s = list(r.choice(pool))
-        for _ in range(r.randint(1, 3)):
-            k, what = r.randrange(len(s)), r.randrange(3)
-            s[k : k + (what != 0)] = [] if what == 1 else [r.choice("xyé")]
-        pool.append("".join(s))
-    texts = ["\n".join(r.choice(pool) for _ in range(r.randint(1, 8))) for _ in range(80)] + [pool[0]] * 30 + ["short\n\nshort"]
-    docs = docs_of(spark, texts, range(10, 10 + len(texts))).unionByName(odd)
-    seen = [(d["doc_id"], k, x) for d in docs.distinct().collect() if d["doc_id"] is not None for k, x in enumerate((d["text"] or "").split("\n")) if len(x.strip(" ")) >= 20]
+def test_edit_distance_against_brute_force(spark):
+    r = random.Random(16)
+    pairs = []
+    while len(pairs) < 600:
+        a = [r.choice("abcé🎉") for _ in range(r.randint(4, 25))]
+        b = list(a)
+        for _ in range(r.randint(0, 5)):
+            k, what = r.randrange(len(b) + 1), r.randrange(3)
+            b[k : k + (what != 0)] = [] if what == 1 else [r.choice("abc")]
+        if len(b) > 3:
+            pairs.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for threshold in (1, 2, 3):
+        for x in df.withColumn("d", lines.edit_distance(F.col("a"), F.col("b"), threshold)).collect():
+            d = edits(x["a"], x["b"])
+            assert x["d"] == (d if d <= threshold else -1)
+
+
+def line_classes_by_force(docs):
+    """(doc_id, line_no, class_doc, class_line, kept) of each line that isn't blank; repeated rows repeat theirs."""
+    seen = [(d["doc_id"], k, x) for d in docs.collect() if d["doc_id"] is not None for k, x in enumerate((d["text"] or "").split("\n")) if x.strip()]
     different = sorted({x for _, _, x in seen})
     root = {x: x for x in different}
 
@@ -253,23 +262,38 @@ def test_lines_against_brute_force(spark, odd):
             x = root[x]
         return x
 
-    degree = Counter()
-    for i, a in enumerate(different):
-        for b in different[i + 1 :]:
+    long = [x for x in different if len(x.strip(" ")) >= 20]
+    for i, a in enumerate(long):
+        for b in long[i + 1 :]:
             if abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2:
-                degree[a] += 1
-                degree[b] += 1
                 root[find(a)] = find(b)
     first = {}
     for d, k, x in seen:
         first[find(x)] = min(first.get(find(x), (d, k)), (d, k))
-    want = Counter((d, k, *first[find(x)], degree[x], first[find(x)] == (d, k)) for d, k, x in seen)
-    out = lines.line_classes(docs).select("doc_id", "line_no", "class_doc", "class_line", "n_links", "kept").collect()
-    assert sum(degree.values()) > 50 and Counter(tuple(x) for x in out) == want
+    return Counter((d, k, *first[find(x)], first[find(x)] == (d, k)) for d, k, x in seen), len(different) - len({find(x) for x in different})
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_lines_against_brute_force(spark, odd, hot):
+    """Random lines with near copies; and hot: chains and stars of one line, so that a key's first lines don't link them all."""
+    r = random.Random(8)
+    pool = ["".join(r.choice("abcdef ") for _ in range(r.randint(18, 40))).strip() + "zz" for _ in range(4 if hot else 60)]
+    for _ in range(120):
+        s = list(r.choice(pool[:4] if hot and r.random() < 0.5 else pool))
+        for _ in range(r.randint(1, 3)):
+            k, what = r.randrange(len(s)), r.randrange(3)
+            s[k : k + (what != 0)] = [] if what == 1 else [r.choice("xyé")]
+        pool.append("".join(s))
+    texts = ["\n".join(r.choice(pool) for _ in range(r.randint(1, 8))) for _ in range(80)] + [pool[0]] * 30 + ["short\n\n \t\nshort", " short\nshore"]
+    docs = docs_of(spark, texts, range(10, 10 + len(texts))).unionByName(odd)
+    want, merged = line_classes_by_force(docs)
+    out = lines.line_classes(docs).select("doc_id", "line_no", "class_doc", "class_line", "kept").collect()
+    assert merged > 30 and Counter(tuple(x) for x in out) == want
     after = {x["doc_id"]: x for x in lines.deduplicate(docs).collect()}
+    gone = {(w[0], w[1]) for w in want if not w[4]}
     for d in docs.collect():
         if d["doc_id"] is not None and d["text"] is not None:
-            kept = "\n".join(x for k, x in enumerate(d["text"].split("\n")) if not any((d["doc_id"], k) == (w[0], w[1]) and not w[5] for w in want))
+            kept = "\n".join(x for k, x in enumerate(d["text"].split("\n")) if (d["doc_id"], k) not in gone)
             assert after[d["doc_id"]]["text"] == kept and after[d["doc_id"]]["n_chars"] == len(kept)
     assert lines.deduplicate(docs).columns == docs.columns and lines.deduplicate(docs).count() == docs.count()
 
@@ -280,7 +304,7 @@ def test_short_lines_have_rows_and_classes_by_equality(spark, tmp_path):
     texts = {1: f"short\n\n \t\nshort\n{long}", 2: "shore\nshort", 3: f"{long}!\n short"}
     docs_of(spark, list(texts.values()), list(texts)).write.parquet(f"{tmp_path}/documents.parquet")
     got = {tuple(x) for x in queries.op7_lines(spark, str(tmp_path)).collect()}
-    assert got == {(1, 0, 1, 0, 0, True), (1, 3, 1, 0, 0, False), (1, 4, 1, 4, 1, True), (2, 0, 2, 0, 0, True), (2, 1, 1, 0, 0, False), (3, 0, 1, 4, 1, False), (3, 1, 3, 1, 0, True)}
+    assert got == {(1, 0, 1, 0, True), (1, 3, 1, 0, False), (1, 4, 1, 4, True), (2, 0, 2, 0, True), (2, 1, 1, 0, False), (3, 0, 1, 4, False), (3, 1, 3, 1, True)}
 
 
 # MinHash near-dedup
