@@ -14,20 +14,23 @@ import base64
 import re
 import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Encoded pieces and byte strings kept by each Python worker; the memory stays bounded.
-WORDS, STRINGS = 400_000, 250_000
+#: Bytes that a task may keep of encoded words, of byte strings and of seams; a full store is emptied, and all are at the task's end.
+WORD_BYTES, STRING_BYTES, SEAM_BYTES = 64 << 20, 32 << 20, 24 << 20
+#: What an entry of a store takes besides its contents, about.
+ENTRY = 200
 #: Longer texts are halved; ids of which there are more are decoded in halves.
 LEAF_CHARS, LEAF_IDS = 1 << 16, 1 << 14
 #: Rows leave a task in batches of about so many bytes.
 BATCH_BYTES = 8 << 20
 
-_SAFE = re.compile(r"\S(?=\s)")
+#: A visible character before white space; the signs between U+001C and U+001F are white space to re alone, and so stand on neither side.
+_SAFE = re.compile(r"\S(?=[ \t\n\r])")
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
@@ -41,9 +44,14 @@ class Codec:
             self.ranks = {base64.b64decode(t): int(n) for t, n in (line.split() for line in f if line.strip())}
         self.tokens: dict[int, bytes] = {n: t for t, n in self.ranks.items()}
         self.split = regex.compile(pattern).findall
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the stores."""
         self.words: dict[str, bytes] = {}
         self.strings: dict[bytes, tuple[int, ...]] = {}
         self.seams: dict[tuple[int, int], bool] = {}
+        self.word_bytes = self.string_bytes = 0
 
     def merge(self, s: bytes) -> tuple[int, ...]:
         """s encoded at once, merging the leftmost pair of least rank again and again: the tree's leaves and windows."""
@@ -65,7 +73,7 @@ class Codec:
     def stable(self, x: int, y: int) -> bool:
         known = self.seams.get((x, y))
         if known is None:
-            if len(self.seams) >= STRINGS * 4:
+            if len(self.seams) * ENTRY >= SEAM_BYTES:
                 self.seams.clear()
             known = self.seams[x, y] = self.merge(self.tokens[x] + self.tokens[y]) == (x, y)
         return known
@@ -90,28 +98,33 @@ class Codec:
         half = len(s) // 2
         out = self.join(self.encode_piece(s[:half]), self.encode_piece(s[half:]))
         if len(s) <= 16:
-            if len(self.strings) >= STRINGS:
+            self.string_bytes += ENTRY + len(s) + 8 * len(out)
+            if self.string_bytes >= STRING_BYTES:
                 self.strings.clear()
+                self.string_bytes = 0
             self.strings[s] = out
         return out
 
     def encode_word(self, word: str) -> bytes:
-        if len(self.words) >= WORDS:
-            self.words.clear()
         ids = array("I", self.encode_piece(word.encode()))
         if ids.itemsize != 4:
             raise RuntimeError("an unsigned int has four bytes here")
         if sys.byteorder == "big":
             ids.byteswap()
-        out = self.words[word] = ids.tobytes()
+        out = ids.tobytes()
+        self.word_bytes += ENTRY + len(word) + len(out)
+        if self.word_bytes >= WORD_BYTES:
+            self.words.clear()
+            self.word_bytes = 0
+        self.words[word] = out
         return out
 
     def encode(self, text: str) -> bytes:
         """The ids of text as little-endian unsigned 32-bit integers."""
         if len(text) > LEAF_CHARS and (cut := self.cut(text)):
             return self.encode(text[:cut]) + self.encode(text[cut:])
-        known, fresh = self.words.get, self.encode_word
-        return b"".join([known(w) or fresh(w) for w in self.split(text)])
+        words, fresh = self.words, self.encode_word
+        return b"".join([words.get(w) or fresh(w) for w in self.split(text)])
 
     @staticmethod
     def cut(text: str) -> int:
@@ -137,8 +150,8 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def _mapped(column: str, out: str, kind: pa.DataType, do):
-    """mapInArrow function that replaces column by out = do(value), in batches of bounded size."""
+def _mapped(column: str, out: str, kind: pa.DataType, of: Callable[[], Callable], end: Callable[[], None]):
+    """mapInArrow function that replaces column by out = of()(value), in batches of bounded size; end() comes last."""
 
     def flush(batch: pa.RecordBatch, start: int, values: list) -> pa.RecordBatch:
         part, at = batch.slice(start, len(values)), batch.schema.get_field_index(column)
@@ -147,16 +160,20 @@ def _mapped(column: str, out: str, kind: pa.DataType, do):
         return pa.RecordBatch.from_arrays([*columns, pa.array(values, kind)], names=[*names, out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            start, size, values = 0, 0, []
-            for x in batch.column(column):
-                values.append(do(x.as_py()))
-                size += len(values[-1])
-                if size >= BATCH_BYTES:
+        do = of()
+        try:
+            for batch in batches:
+                start, size, values = 0, 0, []
+                for x in batch.column(column):
+                    values.append(do(x.as_py()))
+                    size += len(values[-1])
+                    if size >= BATCH_BYTES:
+                        yield flush(batch, start, values)
+                        start, size, values = start + len(values), 0, []
+                if values or not batch.num_rows:
                     yield flush(batch, start, values)
-                    start, size, values = start + len(values), 0, []
-            if values or not batch.num_rows:
-                yield flush(batch, start, values)
+        finally:
+            end()
 
     return run
 
@@ -169,15 +186,25 @@ def encode(docs: DataFrame, path: str, pattern: str, column: str = "text") -> Da
     """
     others = docs.drop(column)
     schema = ", ".join([*(f"`{n}` {t}" for n, t in others.dtypes), "ids binary"])
-    do = lambda text: codec(path, pattern).encode(text or "")
-    return docs.select(*[F.col(f"`{c}`") for c in others.columns], F.col(column)).mapInArrow(_mapped(column, "ids", pa.binary(), do), schema)
+
+    def start() -> Callable[[str | None], bytes]:
+        encode_ = codec(path, pattern).encode
+        return lambda text: encode_(text or "")
+
+    # a worker serves other tasks after this one, so that what it learnt of words doesn't stay
+    mapped = _mapped(column, "ids", pa.binary(), start, lambda: codec(path, pattern).forget())
+    return docs.select(*[F.col(f"`{c}`") for c in others.columns], F.col(column)).mapInArrow(mapped, schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, column: str = "ids") -> DataFrame:
     """df with the column of ids kept and decoded beside it, the bytes they stand for; null ids are none."""
     schema = ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), "decoded binary"])
-    do = lambda ids: codec(path, pattern).decode(memoryview(ids or b"").cast("I"))
-    return df.withColumn("__ids", F.col(column)).mapInArrow(_mapped("__ids", "decoded", pa.binary(), do), schema)
+
+    def start() -> Callable[[bytes | None], bytes]:
+        decode_ = codec(path, pattern).decode
+        return lambda ids: decode_(memoryview(ids or b"").cast("I"))
+
+    return df.withColumn("__ids", F.col(column)).mapInArrow(_mapped("__ids", "decoded", pa.binary(), start, lambda: None), schema)
 
 
 def n_tokens(ids: Column) -> Column:

@@ -22,6 +22,8 @@ from scoreloom.llm.components import components
 
 #: Edits between linked lines, and the characters of the shortest lines that may be linked to different ones.
 THRESHOLD, SHORTEST = 2, 20
+#: Candidates are first told apart by how often these occur in them.
+COUNTED = ("e", "a", "t", "o", "i", "n", "s", "r", " ", "0123456789")
 
 
 def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -59,7 +61,7 @@ def probe_keys(line: Column, size: Column, threshold: int = THRESHOLD) -> Column
                     other.append(F.when((at >= 1) & (at + n - 1 <= size), key))
                 else:
                     own.append(key)
-    return F.array_compact(F.array(*own, *other))
+    return F.array_compact(F.array(*own, *other))  # faster than null keys that are filtered later: those make one huge method
 
 
 def _let(x: Column, then: Callable[[Column], Column]) -> Column:
@@ -67,14 +69,33 @@ def _let(x: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(x), then)[0]
 
 
+def trimmed(a: Column, b: Column, spare: int) -> Column:
+    """struct(a, b) without most of the beginning and the end that they share, which takes no edits; spare characters stay."""
+
+    def drop(x: Column, same: Callable[[Column, Column], Column], rest: Callable[[Column, Column], Column]) -> Column:
+        n = F.least(F.char_length(x["a"]), F.char_length(x["b"])) - spare
+        now = F.struct(x["a"].alias("a"), x["b"].alias("b"), F.greatest(F.lit(0), F.shiftright(n, 1)).alias("k"))
+        for _ in range(6):  # a half of what may go, then a quarter, and so on
+            now = _let(now, lambda y: F.struct(
+                F.when(same(y["a"], y["k"]) == same(y["b"], y["k"]), rest(y["a"], y["k"])).otherwise(y["a"]).alias("a"),
+                F.when(same(y["a"], y["k"]) == same(y["b"], y["k"]), rest(y["b"], y["k"])).otherwise(y["b"]).alias("b"),
+                F.shiftright(y["k"], 1).alias("k"),
+            ))
+        return now
+
+    size = F.char_length
+    head = _let(F.struct(a.alias("a"), b.alias("b")), lambda x: drop(x, lambda s, k: F.substring(s, F.lit(1), k), lambda s, k: F.substring(s, k + 1, size(s))))
+    return _let(head, lambda x: drop(x, lambda s, k: F.substring(s, size(s) - k + 1, k), lambda s, k: F.substring(s, F.lit(1), size(s) - k)))
+
+
 def edit_distance(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
     """The edit distance of a and b, -1 if it exceeds threshold; both are longer than threshold.
 
-    Bit-parallel along the band: bit k of a column of the matrix stands for the diagonal k - threshold. vp and vn
+    What both begin and end with is left out. Bit-parallel along the band: bit k of a column of the matrix stands for the diagonal k - threshold. vp and vn
     hold where values grow and fall down the column; dist follows the lowest diagonal to the last row, and that
     row to its end.
     """
-    width, chars_a, chars_b = 2 * threshold + 1, F.split(a, ""), F.split(b, "")
+    width = 2 * threshold + 1
     full, top = (1 << width) - 1, 2 * threshold
     state = lambda i, vp, vn, dist: F.struct(i.alias("i"), vp.alias("vp"), vn.alias("vn"), dist.alias("dist"))
     start = state(F.lit(0), F.lit(((1 << (threshold + 1)) - 1) << threshold), F.lit(0), F.lit(threshold))
@@ -105,11 +126,24 @@ def edit_distance(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
         return step
 
     # the pattern's characters are split once a pair, not once a column
-    whole = _let(F.struct(chars_a.alias("p"), chars_b.alias("t")), lambda x: F.aggregate(x["t"], start, next_column(x["p"], F.size(x["p"]) - threshold), lambda s: s["dist"]))
+    split = lambda x: F.struct(F.split(x["a"], "").alias("p"), F.split(x["b"], "").alias("t"))
+    whole = _let(_let(trimmed(a, b, width + 1), split), lambda x: F.aggregate(x["t"], start, next_column(x["p"], F.size(x["p"]) - threshold), lambda s: s["dist"]))
     near = F.abs(F.char_length(a) - F.char_length(b)) <= threshold
     return F.when(near, _let(whole, lambda d: F.when(d <= threshold, d).otherwise(-1))).otherwise(-1)
 
 
+def counts(line: Column) -> Column:
+    """How often some letters, spaces and digits occur: an edit changes two of these numbers by one at most."""
+    size = F.char_length(line)
+    return F.struct(*[(size - F.char_length(F.translate(line, group, ""))).alias(f"n{i}") for i, group in enumerate(COUNTED)])
+
+
+def may_be_near(x: Column, y: Column, threshold: int) -> Column:
+    """Whether the counts of two lines allow threshold edits."""
+    away = [F.abs(x[f"n{i}"] - y[f"n{i}"]) for i in range(len(COUNTED))]
+    return sum(away[1:], away[0]) <= 2 * threshold
+
+
 def parities(line: Column) -> Column:
     """64 bits, each the parity of the count of some characters: an edit changes two of them at most."""
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64)))
@@ -128,8 +162,9 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def verify(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
     """(a, b): the digests k of the lines of those pairs (h1, h2) of hashes that are within threshold edits."""
-    one, two = (lines.select(F.col("h").alias(f"h{i}"), F.col("line").alias(f"line{i}"), F.col("k").alias(f"k{i}")) for i in (1, 2))
-    both = pairs.join(one, "h1").join(two, "h2").where(edit_distance(F.col("line1"), F.col("line2"), threshold) >= 0)
+    one, two = (lines.select(F.col("h").alias(f"h{i}"), F.col("line").alias(f"line{i}"), F.col("k").alias(f"k{i}"), F.col("counts").alias(f"counts{i}")) for i in (1, 2))
+    near = may_be_near(F.col("counts1"), F.col("counts2"), threshold)
+    both = pairs.join(one, "h1").join(two, "h2").where(near & (edit_distance(F.col("line1"), F.col("line2"), threshold) >= 0))
     return both.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")).distinct()
 
 
@@ -138,7 +173,7 @@ def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     lines has a row or more for each line, with more than threshold characters. A key's rows are those of the lines that
     probe it, of which the first, and later the last, of its indexed lines is compared with all. What a key holds in several classes after that is compared
-    across them, unless the parities of the characters already differ too much.
+    across them, unless the counts of their characters already differ too much.
     """
     size = F.char_length("line")
     distinct = lines.select("line").distinct().select(F.xxhash64("line").alias("h"), "line", size.alias("size"))
@@ -147,7 +182,7 @@ def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     probes = distinct.select("h", F.posexplode(probe_keys(F.col("line"), F.col("size"), threshold)).alias("at", "key")).select("h", "key", (F.col("at") <= threshold).alias("own"))
     met = cut(probes.join(first, "key").where((F.col("h") != F.col("lo")) | (F.col("lo") != F.col("hi"))))
     wanted = met.select(F.explode(F.array("h", "lo", "hi")).alias("h")).distinct()
-    known = cut(likely(lines.select(F.xxhash64("line").alias("h"), "line"), "h", wanted).distinct().join(wanted, "h", "left_semi").withColumn("k", F.unhex(F.md5("line"))))
+    known = cut(likely(lines.select(F.xxhash64("line").alias("h"), "line"), "h", wanted).distinct().join(wanted, "h", "left_semi").withColumn("k", F.unhex(F.md5("line"))).withColumn("counts", counts(F.col("line"))))
 
     def pairs(of: DataFrame, hub: str) -> DataFrame:
         return cut(of.where(F.col("h") != F.col(hub)).select(F.least("h", hub).alias("h1"), F.greatest("h", hub).alias("h2")).distinct())
@@ -170,11 +205,14 @@ def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     rest = mixed()
     if rest.isEmpty():
         return found
-    signs = known.join(rest.select("h").distinct(), "h", "left_semi").select("h", parities(F.col("line")).alias("sign"), F.char_length("line").alias("size"))
-    rest = cut(rest.join(signs, "h").select("key", "h", "own", "class", "sign", "size"))
-    other = rest.select("key", *[F.col(c).alias(f"{c}2") for c in ("h", "class", "sign", "size")])
-    near = (F.bit_count(F.col("sign").bitwiseXOR(F.col("sign2"))) <= 2 * threshold) & (F.abs(F.col("size") - F.col("size2")) <= threshold)
-    last = rest.where("own").join(other, "key").where((F.col("class") != F.col("class2")) & near)
+    # a pair meets in one of the keys it shares: the first of the indexed line's own, and one way if both have the other's
+    keys = many.groupBy("h").agg(F.collect_set("key").alias("keys"), F.sort_array(F.collect_set(F.when(F.col("own"), F.col("key")))).alias("own_keys"))
+    signs = known.join(rest.select("h").distinct(), "h", "left_semi").select("h", "counts", parities(F.col("line")).alias("sign"))
+    rest = cut(rest.join(signs, "h").join(keys, "h").select("key", "h", "own", "class", "counts", "sign", "keys", "own_keys"))
+    other = rest.select("key", *[F.col(c).alias(f"{c}2") for c in ("h", "own", "class", "counts", "sign", "keys", "own_keys")])
+    near = (F.bit_count(F.col("sign").bitwiseXOR(F.col("sign2"))) <= 2 * threshold) & may_be_near(F.col("counts"), F.col("counts2"), threshold)
+    once = (F.array_min(F.array_intersect("own_keys", "keys2")) == F.col("key")) & (~F.col("own2") | (F.col("h") < F.col("h2")) | (F.array_min(F.array_intersect("own_keys2", "keys")) != F.col("key")))
+    last = rest.where("own").join(other, "key").where((F.col("class") != F.col("class2")) & near & once)
     last = last.select(F.least("h", "h2").alias("h1"), F.greatest("h", "h2").alias("h2")).distinct().join(asked.unionByName(more), ["h1", "h2"], "left_anti")
     return found.unionByName(verify(cut(last), known, threshold)).distinct()
 

@@ -154,9 +154,9 @@ def verify(pairs: DataFrame, bags: DataFrame, threshold: float, block: int = BLO
 def links(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(a, b, similarity): verified links between nodes, the digests of different texts, that are enough for their components.
 
-    In a bucket of a band all texts are compared with two of them: the one that meets the most texts in all
-    bands, and one by a hash, another in each band. The texts of buckets that still hold several components
-    are held against each other by prefix filters, so that no bucket's pairs are all compared.
+    In a bucket of a band all texts are compared with the one of them that meets the most texts in all bands.
+    The texts of buckets that still hold several components are held against each other by prefix filters,
+    so that no bucket's pairs are all compared.
     """
     texts = docs.where("doc_id is not null and text is not null").select(node().alias("node"), "text")
     # copies are sketched once a slice and one sketch of them is left on the way to the shuffle
@@ -166,8 +166,8 @@ def links(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int =
     met = cells.join(sizes, ["band", "hash"])
     # the hub of a group of near copies meets the others in more bands than they meet each other
     met = cut(met.join(met.groupBy("node").agg(F.sum("n").alias("meets")), "node"))
-    stars = met.groupBy("band", "hash").agg(F.max_by("node", F.struct("meets", "node")).alias("hub"), F.min_by("node", F.xxhash64("band", "node")).alias("star"))
-    spokes = met.join(stars, ["band", "hash"]).select("node", F.explode(F.array_distinct(F.array("hub", "star"))).alias("to")).where("node <> to")
+    hubs = met.groupBy("band", "hash").agg(F.max_by("node", F.struct("meets", "node")).alias("to"))
+    spokes = met.join(hubs, ["band", "hash"]).select("node", "to").where("node <> to")
     pairs = spokes.groupBy(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).agg(F.min("to").alias("hub"))
     pairs = cut(pairs.select("a", "b", "hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("spoke")))
     bags = cut(shingled(texts, met.select("node").distinct(), words))
@@ -248,11 +248,13 @@ def weighted_prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     if sets.where("repeats").isEmpty():
         return sets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     cells = sets.select("id", "component", "repeats", "total", F.inline(F.arrays_zip("tokens", "counts"))).select("id", "component", "repeats", F.col("tokens").alias("token"), (F.col("counts") / F.col("total")).alias("weight"))
-    often = cells.groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.max("repeats").alias("some")).where("sets > 1")
+    # tokens that no set which repeats one has come first in the order, whatever sets have them
+    cells = likely(cells, "token", sets.where("repeats").select(F.explode("tokens").alias("token")))
+    often = cells.groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.max("repeats").alias("some")).where("sets > 1 and some").drop("some")
     mine = Window.partitionBy("id")
     here = F.coalesce(F.sum("weight").over(mine.orderBy("sets", "token").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     ranked = cells.join(often, "token").withColumn("before", 1 - F.sum("weight").over(mine) + here)
-    ranked = cut(ranked.where(F.col("some") & (F.col("before") <= 1 - threshold + 1e-9)).select("id", "component", "repeats", "token", "before"))
+    ranked = cut(ranked.where(F.col("before") <= 1 - threshold + 1e-9).select("id", "component", "repeats", "token", "before"))
     one = ranked.where(F.col("before") <= (1 - threshold) / (1 + threshold) + 1e-9)
     two = ranked.select(F.col("id").alias("id2"), F.col("component").alias("component2"), F.col("repeats").alias("repeats2"), "token", F.col("before").alias("before2"))
     u, v = F.col("before"), F.col("before2")

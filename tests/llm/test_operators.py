@@ -100,8 +100,9 @@ def test_bpe_against_the_library(spark, odd):
     ref = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
     r = random.Random(4)
     texts = ["".join(r.choice(r.choice(["abcdefgh", "ab", " \n\t", "éüñß", "漢🎉", "0189", ".,!'"])) for _ in range(n)) for n in (1, 5, 50, 300) * 30]
-    texts += ["a" * 700, " " * 300, "ab" * 300, "x" * 70_000, "<|endoftext|>"]
+    texts += ["a" * 700, " " * 300, "ab" * 300, "x" * 70_000, "<|endoftext|>", "x!" + "\x1c\x1dy z " * 9_000]
     docs = docs_of(spark, texts).unionByName(odd)
+    assert bpe.decode(bpe.encode(docs.limit(0), path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN).count() == 0
     out = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN).select("doc_id", "ids", "decoded", "key").collect()
     want = Counter((x["doc_id"], array("I", ref.encode_ordinary(x["text"] or "")).tobytes(), (x["text"] or "").encode(), "k") for x in docs.collect())
     assert Counter((x["doc_id"], bytes(x["ids"]), bytes(x["decoded"]), x["key"]) for x in out) == want
