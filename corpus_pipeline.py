@@ -6,13 +6,12 @@ one's docs. All stages but the last return the columns of docs.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from scoreloom.llm import decontamination, lines, minhash, queries, toxicity
-from scoreloom.llm.common import table
+from scoreloom.llm.common import shared_folder, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,14 +48,13 @@ STAGES = [
     ("byte-level BPE", encoding_stage),
 ]
 
-#: The toxicity stage learns a lexicon, which SQL can't express; tests hold run() against a brute-force version.
+#: The toxicity stage learns a lexicon, which SQL can't express; tests hold the stages and run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what lies between two of them is written below spark.checkpoint.dir."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scoreloom-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

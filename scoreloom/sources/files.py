@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,8 +11,15 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir, which all executors share; where unset, a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scoreloom-")
+    """A new folder name below spark.checkpoint.dir, which all executors share.
+
+    Where that is unset, one local process, as in tests, takes a temporary folder; a cluster gets an error.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="scoreloom-")
     return f"{shared.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
@@ -31,7 +39,7 @@ def numbered_lines(spark: SparkSession, path: str, pattern: str | None = None) -
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy("path", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     offsets = blocks.select("path", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
-    return rows.join(F.broadcast(offsets), ["path", "block"]).select("path", (F.col("at") + F.col("shift")).alias("line_no"), "line")
+    return rows.join(offsets, ["path", "block"]).select("path", (F.col("at") + F.col("shift")).alias("line_no"), "line")
 
 
 def jsonl(spark: SparkSession, path: str, schema: str, tolerant: bool = False) -> DataFrame:
