@@ -1,10 +1,10 @@
 """Benchmark decontamination: short test items are searched inside long documents.
 
-A size-partitioned MinHash containment search. The items are partitioned by the number of their shingles, and
-an item of q shingles keeps the q - ceil(t q) + 1 least of its shingles' hashes, as many as its partition
-needs: a document that contains the share t of an item has at least one of them, so that no item is missed.
-Documents are partitioned by size as well: too short ones skip an item. Candidates are verified by their
-exact share of common shingles, as text.
+A size-partitioned MinHash containment search. The items are partitioned by the number of their shingles, by
+powers of two, and each class has an index of its own. An item of q shingles keeps the q - ceil(t q) + 1 least
+of its shingles' hashes: a document that contains the share t of an item has at least one of them, so that no
+item is missed. A document probes the classes whose items it is long enough to contain, each with that class's
+filter. Candidates are verified by their exact share of common shingles, as text.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreloom.llm.common import slices
 from scoreloom.llm.shingles import shingles, text_of
 
 #: Bits of the filters that documents are held against: a power of two by the number of item shingles, within these bounds.
@@ -45,17 +46,36 @@ def _bits(df: DataFrame, column: str, size: int) -> np.ndarray:
     return np.unpackbits(out, bitorder="little")
 
 
-def _probe(every: bytes, least: bytes, words: int):
-    """Per document that holds one of the least hashes: which, and all of its shingles that pass the filter of every item shingle."""
+def _filters(index: DataFrame, threshold: float) -> dict[int, tuple[int, np.ndarray]]:
+    """Per size class, of which there are as many as powers of two: the fewest shingles of a document that contains
+    an item of it, and the bits of its hashes. The driver gets MOST_BITS / 8 bytes for 32 classes at most."""
+    rows = index.groupBy("size_class").agg(F.count(F.lit(1)).alias("n"), F.min("q").alias("q")).collect()
+    sizes = {r["size_class"]: min(MOST_BITS // 32, max(LEAST_BITS // 32, 1 << math.ceil(math.log2(64 * r["n"])))) for r in rows}
+    if not rows:
+        return {}
+    size = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])[F.col("size_class")]
+    at = index.select("size_class", (F.pmod("hash", size) + 1).alias("at"))
+    out = {k: np.zeros(n // 8, np.uint8) for k, n in sizes.items()}
+    for r in at.groupBy("size_class", F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toLocalIterator():
+        raw, mine = np.frombuffer(bytes(r["bits"]), np.uint8), out[r["size_class"]]
+        start = (r["b"] - 1) * 4096
+        mine[start : start + len(raw)] = raw[: len(mine) - start]
+    return {r["size_class"]: (math.ceil(r["q"] * threshold - 1e-9), out[r["size_class"]]) for r in rows}
+
+
+_PROBES = pa.list_(pa.struct([("size_class", pa.int64()), ("hash", pa.int64())]))
+
+
+def _probe(every: bytes, filters: dict[int, tuple[int, np.ndarray]], words: int):
+    """Per document that holds one of the least hashes of a class: which, and all of its shingles that pass the filter of every item shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = [np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little") for x in (every, least)]
-        masks = [np.uint64(len(b) - 1) for b in bits]
+        bits = np.unpackbits(np.frombuffer(every, np.uint8), bitorder="little")
+        mask = np.uint64(len(bits) - 1)
         for whole in batches:
-            for at in range(0, max(whole.num_rows, 1), 512):
-                batch = whole.slice(at, 512)
+            for batch in slices(whole, "text"):
                 s = shingles([t.as_py() or "" for t in batch.column("text")], words, True)
-                passed = np.flatnonzero(bits[0][s.hash & masks[0]])
+                passed = np.flatnonzero(bits[s.hash & mask])
                 rows: dict[int, dict[int, str]] = {}
                 for i in passed.tolist():
                     mine = rows.setdefault(int(s.text[i]), {})
@@ -65,13 +85,18 @@ def _probe(every: bytes, least: bytes, words: int):
                 out: dict[str, list] = {"row": [], "n": [], "probes": [], "shingles": []}
                 for row, mine in rows.items():
                     h = np.fromiter(mine, np.uint64, len(mine))
-                    hit = h[bits[1][h & masks[1]] > 0]
-                    if len(hit):
-                        for k, v in zip(out, (row, int(sizes[row]), hit.view(np.int64).tolist(), list(mine.values())), strict=True):
+                    probes = []
+                    for size_class, (least, table) in filters.items():
+                        if sizes[row] >= least:
+                            at = (h & np.uint64(len(table) * 8 - 1)).astype(np.int64)
+                            hit = h[(table[at >> 3] >> (at & 7).astype(np.uint8) & 1) > 0]
+                            probes += [{"size_class": size_class, "hash": x} for x in hit.view(np.int64).tolist()]
+                    if probes:
+                        for k, v in zip(out, (row, int(sizes[row]), probes, list(mine.values())), strict=True):
                             out[k].append(v)
                 ids = batch.column("doc_id").take(pa.array(out["row"], pa.int64()))
-                arrays = [pa.array(out["row"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["probes"], pa.list_(pa.int64())), pa.array(out["shingles"], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([ids, *arrays[1:]], names=["doc_id", "n_shingles", "probes", "shingles"])
+                arrays = [pa.array(out["n"], pa.int64()), pa.array(out["probes"], _PROBES), pa.array(out["shingles"], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([ids, *arrays], names=["doc_id", "n_shingles", "probes", "shingles"])
 
     return run
 
@@ -91,20 +116,20 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = 0.8, words: int
     """
     kinds = dict(items.dtypes)["item_id"], dict(docs.dtypes)["doc_id"]
     cells = items.where("item_id is not null").select("item_id", "text").mapInArrow(_item_shingles(words), f"item_id {kinds[0]}, hash long, shingle string").distinct()
-    by_size = F.floor(F.log2("q"))
     order = Window.partitionBy("item_id").orderBy("hash")
-    sizes = cells.groupBy("item_id").agg(F.count(F.lit(1)).alias("q"), F.collect_list("shingle").alias("of_item")).withColumn("size_class", by_size)
+    sizes = cells.groupBy("item_id").agg(F.count(F.lit(1)).alias("q"), F.collect_list("shingle").alias("of_item"))
     ranked = cells.withColumn("rank", F.row_number().over(order)).withColumn("q", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
-    index = ranked.where(F.col("rank") <= least_hashes(F.col("q"), threshold)).select("item_id", "q", by_size.alias("size_class"), "hash")
+    index = ranked.where(F.col("rank") <= least_hashes(F.col("q"), threshold)).select("item_id", "q", F.floor(F.log2("q")).alias("size_class"), "hash")
     n = cells.count()
     size = min(MOST_BITS, max(LEAST_BITS, 1 << math.ceil(math.log2(64 * max(n, 1)))))
-    every, least = (np.packbits(_bits(x, "hash", size), bitorder="little").tobytes() for x in (cells, index))
-    hits = docs.select("doc_id", "text").mapInArrow(_probe(every, least, words), f"doc_id {kinds[1]}, n_shingles long, probes array<long>, shingles array<string>")
-    found = hits.withColumn("probe", F.explode("probes")).join(index.withColumnRenamed("hash", "probe"), "probe").where(F.col("n_shingles") >= F.ceil(F.col("q") * threshold - 1e-9))
-    pairs = found.groupBy("doc_id", "n_shingles", "shingles", "item_id", "size_class").agg(F.count(F.lit(1)).alias("n_least"))
+    every = np.packbits(_bits(cells, "hash", size), bitorder="little").tobytes()
+    probe = _probe(every, _filters(index, threshold), words)
+    hits = docs.select("doc_id", "text").mapInArrow(probe, f"doc_id {kinds[1]}, n_shingles long, probes array<struct<size_class:long,hash:long>>, shingles array<string>")
+    found = hits.select("doc_id", "n_shingles", "shingles", F.inline("probes")).join(index, ["size_class", "hash"]).where(F.col("n_shingles") >= F.ceil(F.col("q") * threshold - 1e-9))
+    pairs = found.select("doc_id", "n_shingles", "shingles", "item_id").distinct()
     shared = F.size(F.array_intersect("shingles", "of_item"))
     return (
-        pairs.join(sizes.drop("size_class"), "item_id").withColumn("n_shared", shared)
+        pairs.join(sizes, "item_id").withColumn("n_shared", shared)
         .where(F.col("n_shared") >= F.col("q") * threshold - 1e-9)
         .select("doc_id", "item_id", F.col("n_shared").cast("long").alias("n_shared"), F.col("q").alias("n_item"), (F.col("n_shared") / F.col("q")).alias("containment"))
         .distinct()
@@ -112,6 +137,7 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = 0.8, words: int
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of docs whose doc_id contains no item, all columns kept. A null doc_id is judged by no id and stays."""
-    bad = search(docs, items, threshold).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs whose text contains no item, all columns kept. Rows are judged by their text alone, so that a null doc_id is like any other; a null text stays."""
+    text = F.md5("text")
+    bad = search(docs.where("text is not null").select(text.alias("doc_id"), "text"), items, threshold).select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, text == F.col("__bad"), "left_anti").select(*docs.columns)

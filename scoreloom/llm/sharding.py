@@ -1,17 +1,18 @@
 """Sharding by a hierarchical weighted hash tree: regions hold racks, racks hold shards.
 
-Every shard has a weight. For a row, each shard draws an exponential arrival time with its weight as the
-rate, -ln(u) / weight, from a hash of the row's key and the shard's number. A rack's draw is the least
-of its shards' draws and a region's the least of its racks', so that a subtree's draw is exponential with
-its total weight. The row descends from the root into the child with the least draw at each level.
-
-A subtree whose weights stay draws as before, so changed weights move rows only into subtrees that grew
-or out of subtrees that shrank; one more shard takes rows only into itself.
+Every shard has a weight, and a subtree the sum of its shards'. A row descends from the root: at each level every
+child draws an exponential arrival time with its weight as the rate, -ln(u) / weight, from a hash of the row's key, the
+level and the child's number, and the row goes into the child that draws least. So a row takes as many
+draws as its path has children beside it, not as many as there are shards.
+
+A child whose weight stays draws as before, and below it nothing changes: changed weights move rows only into
+subtrees that grew or out of subtrees that shrank, at each level. A shard that is added as a region of its own takes rows
+only into itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,8 +31,13 @@ def even_tree(shards: int, per_rack: int = 4, racks_per_region: int = 2) -> list
     return [Leaf(s // (per_rack * racks_per_region), s // per_rack, s, 1.0) for s in range(shards)]
 
 
+def grown(tree: list[Leaf], weight: float = 1.0) -> list[Leaf]:
+    """tree with one more shard, in a region and a rack of its own."""
+    return [*tree, Leaf(max(x.region for x in tree) + 1, max(x.rack for x in tree) + 1, max(x.shard for x in tree) + 1, weight)]
+
+
 def place(key: Column, tree: Iterable[Leaf], seed: int = 17) -> Column:
-    """struct(draw, region, rack, shard) of the leaf that the key descends to. Null keys hash alike.
+    """struct(region, rack, shard) of the leaf that the key descends to. Null keys hash alike.
 
     The tree is one literal, nested as regions, racks and shards, whatever its size.
     """
@@ -41,25 +47,30 @@ def place(key: Column, tree: Iterable[Leaf], seed: int = 17) -> Column:
             nested.setdefault(leaf.region, {}).setdefault(leaf.rack, []).append(leaf)
     if not nested:
         raise ValueError("the tree has no shard of positive weight")
-    shard = lambda x: F.struct(F.lit(x.shard).alias("shard"), F.lit(float(x.weight)).alias("weight"))
-    regions = F.array(*[
-        F.struct(F.lit(r).alias("region"), F.array(*[
-            F.struct(F.lit(k).alias("rack"), F.array(*map(shard, leaves)).alias("shards")) for k, leaves in sorted(racks.items())
-        ]).alias("racks"))
-        for r, racks in sorted(nested.items())
-    ])
 
-    def draw(x: Column) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(key, x["shard"], F.lit(seed)), 11)
-        return -F.log((bits + F.lit(1.0)) / F.lit(2.0**53)) / x["weight"]
+    def node(number: int, leaves: list[Leaf], below: Column | None = None) -> Column:
+        fields = [F.lit(number).alias("number"), F.lit(float(sum(x.weight for x in leaves))).alias("weight")]
+        return F.struct(*fields, *([] if below is None else [below.alias("below")]))
+
+    racks = lambda of: F.array(*[node(k, leaves, F.array(*[node(x.shard, [x]) for x in leaves])) for k, leaves in sorted(of.items())])
+    regions = F.array(*[node(r, [x for leaves in of.values() for x in leaves], racks(of)) for r, of in sorted(nested.items())])
+
+    def least(children: Column, level: int) -> Column:
+        """struct(draw, child) of the child that draws least."""
+
+        def draw(x: Column) -> Column:
+            bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(level), x["number"], F.lit(seed)), 11)
+            return F.struct((-F.log((bits + F.lit(1.0)) / F.lit(2.0**53)) / x["weight"]).alias("draw"), x.alias("child"))
+
+        return F.array_min(F.transform(children, draw))["child"]
 
-    def in_rack(region: Column, rack: Column) -> Column:
-        return F.array_min(F.transform(rack["shards"], lambda s: F.struct(draw(s).alias("draw"), region["region"].alias("region"), rack["rack"].alias("rack"), s["shard"].alias("shard"))))
+    def then(x: Column, go: Callable[[Column], Column]) -> Column:
+        return F.transform(F.array(x), go)[0]  # x is computed once
 
     def in_region(region: Column) -> Column:
-        return F.array_min(F.transform(region["racks"], lambda rack: in_rack(region, rack)))
+        return then(least(region["below"], 1), lambda rack: F.struct(region["number"].alias("region"), rack["number"].alias("rack"), least(rack["below"], 2)["number"].alias("shard")))
 
-    return F.array_min(F.transform(regions, in_region))
+    return then(least(regions, 0), in_region)
 
 
 def slots(df: DataFrame, shard: str, key: str, out: str = "slot", parts: int = 1024) -> DataFrame:
@@ -91,14 +102,14 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     """Per document: doc_id, size, text_crc32, law 'key', region, rack, shard, slot, grown_shard.
 
     size is the text's UTF-8 bytes (null: none) plus 8; text_crc32 is unsigned (null: that of no bytes).
-    doc_id and the number of shards alone decide. grown_shard is the shard with one more. Repeated rows
+    doc_id and the number of shards alone decide. grown_shard is the shard with one more, which is a region of its own. Repeated rows
     and rows with a null doc_id go where their doc_id goes; every row has a slot of its own. No rows give
     no rows; other columns of docs play no part.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(
         "doc_id", (F.octet_length(raw) + F.lit(8)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
-        place(F.col("doc_id"), even_tree(shards)).alias("home"), place(F.col("doc_id"), even_tree(shards + 1)).alias("grown"),
+        place(F.col("doc_id"), even_tree(shards)).alias("home"), place(F.col("doc_id"), grown(even_tree(shards))).alias("grown"),
     ).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("home.region").alias("region"), F.col("home.rack").alias("rack"),
         F.col("home.shard").alias("shard"), F.col("grown.shard").alias("grown_shard"),

@@ -63,14 +63,39 @@ def test_sharding_is_whole_and_stable(spark, odd):
         assert (x["size"], x["text_crc32"]) == (len(raw) + 8, zlib.crc32(raw))
 
 
+def descend(spark, keys, tree):
+    return [tuple(x["p"]) for x in keys.select(sharding.place(F.col("id"), tree).alias("p")).collect()]
+
+
 def test_sharding_moves_only_into_what_grows(spark):
-    ids = spark.range(4000)
-    a = [sharding.Leaf(0, 0, 0, 1.0), sharding.Leaf(0, 1, 1, 2.0), sharding.Leaf(1, 2, 2, 3.0)]
-    b = [*a[:1], sharding.Leaf(0, 1, 1, 4.0), a[2]]
-    both = ids.select(sharding.place(F.col("id"), a)["shard"].alias("a"), sharding.place(F.col("id"), b)["shard"].alias("b")).collect()
-    assert all(x["a"] == x["b"] or x["b"] == 1 for x in both)
-    n = Counter(x["a"] for x in both)
-    assert [round(n[k] / 4000 * 6) for k in range(3)] == [1, 2, 3]
+    keys = spark.range(6000).coalesce(1)
+    a = [sharding.Leaf(0, 0, 0, 1.0), sharding.Leaf(0, 1, 1, 2.0), sharding.Leaf(0, 1, 2, 1.0), sharding.Leaf(1, 2, 3, 3.0), sharding.Leaf(1, 3, 4, 1.0)]
+    was = descend(spark, keys, a)
+    n = Counter(x[2] for x in was)
+    assert [round(n[k] / 6000 * 8) for k in range(5)] == [1, 2, 1, 3, 1]
+    more = descend(spark, keys, [*a[:1], sharding.Leaf(0, 1, 1, 6.0), *a[2:]])
+    moved = [(x, y) for x, y in zip(was, more, strict=True) if x != y]
+    # rows move into the region that grew only, those of that region into its rack that grew, and those of that rack to its shard that grew
+    assert len(moved) > 500 and all(y[0] == 0 for _, y in moved)
+    assert all(y[1] == 1 for x, y in moved if x[0] == 0) and all(y[2] == 1 for x, y in moved if x[1] == 1)
+    less = descend(spark, keys, [*a[:4], sharding.Leaf(1, 3, 4, 0.25)])
+    assert all(x == y or x[0] == 1 for x, y in zip(was, less, strict=True))
+    one = descend(spark, keys, sharding.grown(a))
+    assert all(x == y or y == (2, 4, 5) for x, y in zip(was, one, strict=True)) and 400 < sum(y[2] == 5 for y in one) < 900
+
+
+def test_shards_against_plain_python(spark):
+    """The descent computed anew, level by level, from Spark's hash of the key and each child."""
+    tree = sharding.even_tree(12, 2, 2)
+    numbers = [(0, r) for r in sorted({x.region for x in tree})] + [(1, k) for k in sorted({x.rack for x in tree})] + [(2, x.shard) for x in tree]
+    keys = spark.range(300).coalesce(1)
+    hashes = keys.select("id", *[F.xxhash64(F.col("id"), F.lit(level), F.lit(k), F.lit(17)).alias(f"h{level}_{k}") for level, k in numbers])
+    got_ = {x["id"]: tuple(x["p"]) for x in keys.select("id", sharding.place(F.col("id"), tree).alias("p")).collect()}
+    for x in hashes.collect():
+        pick = lambda level, of: min(of, key=lambda k: -math.log((((x[f"h{level}_{k}"] % 2**64) >> 11) + 1) / 2.0**53) / of[k])  # noqa: B023, E731
+        region = pick(0, Counter(t.region for t in tree))
+        rack = pick(1, Counter(t.rack for t in tree if t.region == region))
+        assert got_[x["id"]] == (region, rack, pick(2, Counter(t.shard for t in tree if t.rack == rack)))
 
 
 def test_empty_tables(spark):
@@ -139,6 +164,9 @@ def test_decontamination_against_brute_force(spark, odd):
                 want.add((d["doc_id"], i, n))
     out = decontamination.search(docs, table).collect()
     assert len(want) > 20 and {(x["doc_id"], x["item_id"], x["n_shared"]) for x in out} == want and len(out) == len(want)
+    assert decontamination.decontaminate(docs.limit(0), table).count() == 0
+    clean = decontamination.decontaminate(docs_of(spark, [items[0], items[0], None, "other"], [None, 1, 2, None]), table)
+    assert sorted(((x["doc_id"], x["text"]) for x in clean.collect()), key=str) == [(2, None), (None, "other")]
     bad = {x[0] for x in want}
     assert {x["doc_id"] for x in decontamination.decontaminate(docs, table).collect()} == {x["doc_id"] for x in docs.collect()} - bad
 
