@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.llm.common import slices
+
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     "the of and to in a is that for it as was with be by on not he his but at are this have from or an they which you one we all her there their been if so would "
@@ -23,12 +26,21 @@ STOP_WORDS = frozenset(
     "le la les de des du et un une que qui dans en pour pas sur par au avec ce il plus est sont ou se "
     "el los las del y por con para una su al lo como más o pero sus ha sin sobre".split()
 )
+# Frequent signs of Japanese and Chinese.
+STOP_SIGNS = frozenset("のはをにがともでたしるすな的是不了在有我他这中大来上个们和地到时")
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = frozenset("article aside body details dialog div dl fieldset figure footer form header html main menu nav ol section table td ul blockquote".split())
 SKIPPED = "script style noscript template svg iframe object canvas textarea select button title math audio video".split()
+#: Whose content isn't text even if they are never closed.
+RAW = frozenset("script style noscript template iframe textarea title".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that end where the next of their kind begins.
+ENDED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+#: So many open elements are looked at for the one that an end tag means.
+REACH = 64
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog".split())
 BOILERPLATE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion sidebar sidebars side widget widgets rail menu menus nav navbar "
@@ -36,6 +48,9 @@ BOILERPLATE_NAMES = frozenset(
     "notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager copyright legal "
     "skip search complementary contentinfo tags".split()
 )
+#: First words of names that tell of a layout or a subject, and last words that deny what stands before.
+MODIFIERS = frozenset("has with without no not is category tag tags page".split())
+DENIALS = frozenset("none no off hidden".split())
 COMMENT_NAMES = frozenset("comment comments commentlist respond reply replies disqus".split())
 MAIN_NAMES = frozenset("article main content post entry story articlebody bodytext".split())
 HEADER_NAMES = frozenset("header head".split())
@@ -45,14 +60,13 @@ SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.2, 0.3, 0.33
 #: Within the main container only blocks that are nearly all links are bad.
 LINKS_IN_MAIN = 0.8
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(SKIPPED) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.IGNORECASE | re.DOTALL,
-)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+# A tag begins with its name; attributes follow. A quote counts only after an equals sign.
+_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+_ATTRIBUTE = re.compile(r"""[\s/]*(?:([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?|=)""")
+_CLOSE = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in SKIPPED}
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+_SENTENCE = re.compile(r"[.!?](?=\s|$)|[。！？]")
 _COPYRIGHT = re.compile(r"^\s*(?:©|\(c\)\s|copyright\b)", re.IGNORECASE)
 
 GOOD, BAD, AMBIGUOUS = "good", "bad", "ambiguous"
@@ -64,85 +78,166 @@ class Block(NamedTuple):
     place: str  # main, boilerplate or open
 
 
-def _kind(name: str, attrs: str, outer: str) -> str:
-    """The place inside a container of this tag and these attributes."""
-    if outer in ("boilerplate", "hidden"):
+def _attributes(page: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes from at on, the first of each name, and the place after the tag's end."""
+    found: dict[str, str] = {}
+    while m := _ATTRIBUTE.match(page, at):
+        at = m.end()
+        if m[1]:
+            found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    end = page.find(">", at)
+    return found, len(page) if end < 0 else end + 1
+
+
+def _names(attributes: dict[str, str]) -> tuple[set[str], set[str]]:
+    """Whole names in class and id, and first and last words of the names that are several; modifiers speak for nothing."""
+    whole, parts = set(), set()
+    for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        words = [w.lower() for w in _NAME.findall(token)]
+        if words:
+            whole.add("".join(words))
+        if len(words) > 1 and words[0] not in MODIFIERS and words[-1] not in DENIALS:
+            parts |= {words[0], words[-1]}
+    return whole, parts
+
+
+def _kind(name: str, attributes: dict[str, str], outer: str) -> str:
+    """The place inside an element: main, boilerplate, open, hidden, or muted for hidden text inside a block."""
+    if outer in ("boilerplate", "hidden", "muted") or not attributes and name not in BLOCKS:
+        return outer
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(attributes.get("style", "")):
+        return "hidden" if name in BLOCKS else "muted"
+    if name not in BLOCKS:
         return outer
-    words: set[str] = set()
-    role = ""
-    for key, *values in _ATTR.findall(attrs) if attrs else ():
-        value, key = "".join(values), key.lower()
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
-            return "hidden"
-        if key == "role":
-            role = value.lower()
-        elif key in ("class", "id"):
-            words.update(w.lower() for w in _NAME.findall(value))
+    role = attributes.get("role", "").lower()
+    whole, parts = _names(attributes)
     if name in ("html", "body", "article", "main"):  # their names tell of the layout, but comments may be articles
-        words &= COMMENT_NAMES
-    if name in BOILERPLATE_TAGS or role in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "dialog", "alert") or words & BOILERPLATE_NAMES:
+        whole, parts = whole & COMMENT_NAMES, parts & COMMENT_NAMES
+    if name in BOILERPLATE_TAGS or role in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "dialog", "alert") or whole & BOILERPLATE_NAMES:
+        return "boilerplate"
+    if name not in CONTAINERS:
+        return outer
+    if name in ("article", "main") and not parts & BOILERPLATE_NAMES or role in ("main", "article") or whole & MAIN_NAMES:
+        return "main"
+    if parts & BOILERPLATE_NAMES:
         return "boilerplate"
-    if name in ("article", "main") or role in ("main", "article") or words & MAIN_NAMES:
+    if parts & MAIN_NAMES:
         return "main"
-    if outer != "main" and (name == "header" or words & HEADER_NAMES):
+    if outer != "main" and (name == "header" or (whole | parts) & HEADER_NAMES):
         return "boilerplate"
     return outer
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page with any text, in order: white space made single, character references decoded."""
+    """The blocks of a page with any text, in order: white space made single, character references decoded.
+
+    The page is read once from left to right, however broken it is. A page without any tag is one block of its main text.
+    """
     out: list[Block] = []
     texts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, str]] = []  # open containers and the place inside each
-    place, links, at, head = "open", 0, 0, False
+    stack: list[tuple[str, str]] = []  # open elements and the place inside each
+    opened: Counter[str] = Counter()
+    unclosed: set[str] = set()
+    place, links, at, head, tags, size = "open", 0, 0, False, 0, len(page)
 
     def flush() -> None:
         if texts:
             text = " ".join(html.unescape("".join(texts)).split())
             if text and place != "hidden" and not head:
-                out.append(Block(text, len(" ".join(html.unescape("".join(linked)).split())) if linked else 0, place))
+                out.append(Block(text, len(" ".join(html.unescape("".join(linked)).split())) if linked else 0, place if tags else "main"))
             texts.clear()
             linked.clear()
 
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    def add(piece: str) -> None:
+        if piece and place != "muted":
             texts.append(piece)
             if links:
                 linked.append(piece)
-        at = m.end()
-        name = m["name"]
-        if name is None:
+
+    def close(names: tuple[str, ...], through: bool) -> None:
+        """Ends the innermost element of these names; not one outside of the container, unless through."""
+        if not any(opened[x] for x in names):
+            return
+        for k in range(len(stack) - 1, -1 if through else max(-1, len(stack) - 1 - REACH), -1):
+            if stack[k][0] in names:
+                for x, _ in stack[k:]:
+                    opened[x] -= 1
+                del stack[k:]
+                return
+            if not through and stack[k][0] in CONTAINERS:
+                return
+
+    while at < size:
+        lt = page.find("<", at)
+        if lt < 0:
+            break
+        m = _TAG.match(page, lt)
+        if m is None:
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 2)
+                stop = size if end < 0 else end + 3
+            elif page[lt + 1 : lt + 2] in ("!", "?", "/"):
+                end = page.find(">", lt)
+                stop = size if end < 0 else end + 1
+            else:  # a sign, no tag
+                add(page[at : lt + 1])
+                at = lt + 1
+                continue
+            add(page[at:lt])
+            at, tags = stop, tags + 1
+            continue
+        add(page[at:lt])
+        tags += 1
+        attributes, at = _attributes(page, m.end())
+        name, closing = m[1].lower(), page[lt + 1] == "/"
+        if name in _CLOSE and not closing and name not in unclosed:
+            if end := _CLOSE[name].search(page, at):
+                at = page.find(">", end.end())
+                at = size if at < 0 else at + 1
+            elif name in RAW:
+                at = size
+            else:
+                unclosed.add(name)
             continue
-        name, closing = name.lower(), bool(m["end"])
         if name == "a":
             links = 0 if closing else 1
-        elif name in ("br", "wbr"):
-            texts.append(" " if name == "br" else "")
+        if name == "br":
+            add(" ")
         elif name == "head":
             flush()
             head = not closing
+        elif name not in VOID:
+            if name in BLOCKS:
+                flush()
+                links = 0
+                head = head and name != "body"
+            if closing:
+                close((name,), name in BLOCKS)
+            else:
+                if name in BLOCKS:
+                    close(("p",), False)
+                if name in ENDED:
+                    close(ENDED[name], False)
+                kind = _kind(name, attributes, stack[-1][1] if stack else "open")
+                stack.append((name, kind))
+                opened[name] += 1
+            place = stack[-1][1] if stack else "open"
         elif name in BLOCKS:
             flush()
-            links = 0
-            if name == "body":
-                head = False
-            if name in CONTAINERS:
-                if closing:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == name:
-                            del stack[k:]
-                            break
-                else:
-                    stack.append((name, _kind(name, m["attrs"], place)))
-                place = stack[-1][1] if stack else "open"
-    if at < len(page):
-        texts.append(page[at:])
+    add(page[at:])
     flush()
     return out
 
 
+def density(text: str) -> float:
+    """The share of stop words, or in scripts without spaces of four times that of their frequent signs."""
+    words = text.lower().split()
+    if sum(c >= "\u2e80" for c in text) > 0.3 * len(text):
+        return min(1.0, 4 * sum(c in STOP_SIGNS for c in text) / len(text))
+    return sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / max(1, len(words))
+
+
 def first_pass(block: Block) -> str:
     """good, bad or ambiguous by place, link density, length and stop-word density."""
     if block.place == "boilerplate":
@@ -153,17 +248,18 @@ def first_pass(block: Block) -> str:
         return GOOD
     if share > (LINKS_IN_MAIN if block.place == "main" else LINKS):
         return BAD
-    words = block.text.lower().split()
-    density = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
+    stop = density(block.text)
     if block.place == "main":
-        return GOOD if size >= SHORT and density >= STOP_LOW else AMBIGUOUS
+        return GOOD if size >= SHORT and stop >= STOP_LOW else AMBIGUOUS
     if _COPYRIGHT.match(block.text):
         return BAD
     if size < SHORT:
         return BAD if block.links else AMBIGUOUS
-    if density >= STOP_HIGH or density >= STOP_LOW and size > LONG:
+    if stop >= STOP_HIGH or stop >= STOP_LOW and size > LONG:
         return GOOD
-    return AMBIGUOUS if density >= STOP_LOW else BAD
+    if size > LONG and not block.links and len(_SENTENCE.findall(block.text)) * LONG >= size:
+        return GOOD  # sentences in a language whose words aren't known
+    return AMBIGUOUS if stop >= STOP_LOW else BAD
 
 
 def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
@@ -209,8 +305,7 @@ def main_text(page: str | None) -> str:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for at in range(0, max(whole.num_rows, 1), 512):
-            batch = whole.slice(at, 512)
+        for batch in slices(whole, "html"):
             texts = pa.array([main_text(x.as_py()) for x in batch.column("html")], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), texts], names=["page_id", "url", "text"])
 

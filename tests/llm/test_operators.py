@@ -6,9 +6,11 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from array import array
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -480,6 +482,63 @@ def test_pages_keep_the_article(spark):
     assert pages.extract(df).count() == len(rows)
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>A<ul><li class='comment'>c<li>B</ul><p class=\"advert\">x<p>C</article>", "A\n\nB\n\nC"),
+        ("<article><p>A <span hidden>x <span>y</span> z</span>B</p></article>", "A B"),
+        ("<article><p title=don't>A</p><p>it's</p></article>", "A\n\nit's"),
+        ("<div id='page-side-by-side'><article><p>A</p></article></div>", "A"),
+        ("<div class='post tags-none category-ad'><p>A</p></div><div class='ad-box'><p>B</p></div>", "A"),
+        ("<p>" + "今日は天気がよいので、公園を歩いて、友達と話をした。" * 5 + "</p>", "今日は天気がよいので、公園を歩いて、友達と話をした。" * 5),
+        ("  a page of\nplain   text &lt; 3 ", "a page of plain text < 3"),
+        ("<article><p>1 < 2 and <b>3</b> > 2<button>x<p>B</article>", "1 < 2 and 3 > 2x\n\nB"),
+        ("<article><p>A<!-- never closed <p>B</article>", "A"),
+        ("<article><p>A<script>never closed <p>B</article>", "A"),
+        ("<article><pre>x <span class='comment'># y</span></pre></article>", "x # y"),
+    ],
+)
+def test_pages_case_by_case(page, text):
+    assert pages.main_text(page) == text
+
+
+@pytest.mark.parametrize("unit", ["<a '", '<a b="', "<p>", "<b>", "<b></i>", "<button>", "<!--", "</p>", "<a =", "<svg x", "<a " + " " * 50, "<li><p>"])
+def test_broken_pages_take_linear_time(unit):
+    began = time.process_time()
+    pages.main_text("<article><i><p>A " + unit * (1_000_000 // len(unit)))
+    assert time.process_time() - began < 20
+
+
+class Plain(HTMLParser):
+    """The blocks of the article of pages made as those of the tables are, by another parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.out = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        self.out += [""] if tag in ("p", "h1", "li", "ul", "div", "article") else []
+        self.out[-1] += " " if tag == "br" else ""
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+        self.out += [""] if tag in ("p", "h1", "li", "ul", "div", "article") else []
+
+    def handle_data(self, data):
+        self.out[-1] += data if self.inside else ""
+
+
+def test_pages_against_another_parser(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    texts = {x["page_id"]: x["text"] for x in pages.extract(rows).collect()}
+    for x in rows.collect():
+        plain = Plain()
+        plain.feed(x["html"] or "")
+        plain.close()
+        assert texts[x["page_id"]] == "\n\n".join(t for t in (" ".join(b.split()) for b in plain.out) if t)
+
+
 # toxicity
 
 
