@@ -76,6 +76,22 @@ def open_call(source: Column, name: str) -> Column:
     return run(source)
 
 
+def open_call_in(sources: Column, name: str) -> Column:
+    """file:line of the first such call in a JSON object of file contents; else null."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        def one(v: str | None) -> str | None:
+            for file, source in json.loads(v or "{}").items():
+                if (line := _open_call(source, name)) is not None:
+                    return f"{file}:{line}"
+            return None
+
+        return pd.Series([one(v) for v in x], dtype=object)
+
+    return run(sources)
+
+
 def without_keys(document: Column, keys: tuple[str, ...] = ARTIFACT_KEYS) -> Column:
     """A JSON document without these keys at any depth; null if it is none."""
     drop = frozenset(keys)

@@ -28,6 +28,9 @@ LOCK_MARKS = ("filebaton", "baton", "lock file", "lockfile", "file lock", "cache
 FRAMEWORK_PREFIXES = ("aten::", "cudaLaunch", "cudaMemcpy", "cudaMemset", "cudaDeviceSynchronize", "Activity Buffer Request", "Runtime Triggered Module Loading", "Lazy Function Loading", "[memory]", "nccl::")
 IGNORED_ATEN = ("empty", "zeros", "ones", "clone", "contiguous", "tensor", "as_strided", "view", "reshape", "to", "cast", "full", "copy", "arange", "randn")
 
+# How sources name their kernels.
+KERNEL_PATTERNS = (r"__global__\s+void\s+([A-Za-z_]\w*)\s*\(", r"__global__\s+[\w:<>]+\s+([A-Za-z_]\w*)\s*\(")
+
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
@@ -82,9 +85,7 @@ def bare_kernel_name(name: Column) -> Column:
 
 def kernel_names(source: Column) -> Column:
     """The distinct names of __global__ functions in source, sorted."""
-    one = F.regexp_extract_all(source, F.lit(r"__global__\s+void\s+([A-Za-z_]\w*)\s*\("))
-    two = F.regexp_extract_all(source, F.lit(r"__global__\s+[\w:<>]+\s+([A-Za-z_]\w*)\s*\("))
-    return F.array_sort(F.array_distinct(F.concat(one, two)))
+    return F.array_sort(F.array_distinct(F.concat(*[F.regexp_extract_all(source, F.lit(p)) for p in KERNEL_PATTERNS])))
 
 
 def compiled_flag(text: Column) -> Column:
@@ -149,6 +150,11 @@ def content_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\0", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
+def appended(before: Column, after: Column) -> Column:
+    """What a log has got since it read before; all of it if it doesn't begin so."""
+    return F.when(F.startswith(after, before), F.substring(after, F.char_length(before) + 1, F.char_length(after))).otherwise(after)
+
+
 def first_text(*columns: Column) -> Column:
     """The first column that is neither null nor blank, unstripped."""
     return F.coalesce(*[F.when(~F.coalesce(c, F.lit("")).rlike(r"^\s*$"), c) for c in columns])

@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from scoreloom.plans import aggregates, joins, sets, sources, streams, text, windows  # noqa: E402, F401
+from scoreloom.plans import aggregates, joins, records, sets, sources, streams, text, windows  # noqa: E402, F401

@@ -42,6 +42,19 @@ def numbered_lines(spark: SparkSession, path: str, pattern: str | None = None) -
     return rows.join(offsets, ["path", "block"]).select("path", (F.col("at") + F.col("shift")).alias("line_no"), "line")
 
 
+def log_paths(listing: DataFrame) -> DataFrame:
+    """(path, position from 1) of the worker logs in a listing of (folder, path), folders in order.
+
+    In a folder logs come by name and workers.log last; of a file listed again, also under a path with ./ or //,
+    the first place counts.
+    """
+    plain = F.regexp_replace(F.regexp_replace("path", r"/(\./)+", "/"), "/{2,}", "/")
+    logs = listing.select("folder", plain.alias("path")).where(F.col("path").rlike(r"/worker[^/]*\.log$"))
+    first = logs.groupBy("path").agg(F.min("folder").alias("folder"))
+    order = Window.orderBy("folder", F.endswith("path", F.lit("/workers.log")), "path")  # as many rows as there are log files
+    return first.select("path", F.row_number().over(order).cast("long").alias("position"))
+
+
 def jsonl(spark: SparkSession, path: str, schema: str, tolerant: bool = False) -> DataFrame:
     """Records of JSON lines. Blank lines are skipped; malformed ones fail, or are dropped if tolerant."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").json(path)
