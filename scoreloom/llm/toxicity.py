@@ -2,9 +2,10 @@
 
 Folding lowers the case, undoes compatibility forms and accents, and maps look-alike letters and digits
 used as letters, so that `l0ser` and `lоser` with a Cyrillic letter read as `loser`. The lexicon is
-learned: terms are folded words and word beginnings, weighted by the log odds that a labelled document
-with the term is toxic. Exception phrases are two-word phrases around a term which occur only in documents
-that are not toxic; a match inside one counts nothing.
+learned: terms are folded words and word beginnings that labelled toxic documents hold more densely than others. A
+match adds the log of the ratio of the two rates, and every word of the text takes the difference of the rates away: the
+log likelihood ratio of two Poisson rates, so that a chance likeness in a long text weighs little. Exception phrases are
+two-word phrases around a term which occur only in documents that are not toxic; a match inside one counts nothing.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -29,15 +31,21 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 #: Insults known beforehand; each has PRIOR as its weight until the labels teach another, and goes if they speak against it.
 SEEDS = ("clown", "disgusting", "dumb", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "scumbag", "stupid", "trash", "worthless")
 PRIOR = 3.0
+#: What a word takes away where no rate was learnt, and the occurrences and words that every rate starts from.
+TOLL, START, START_WORDS = 0.002, 0.5, 5000.0
 #: A term must be in so many toxic training documents at least, as a count and as a share, and have these log odds.
-MIN_TOXIC, MIN_SHARE, MIN_LOG_ODDS = 6, 0.01, 2.5
+MIN_TOXIC, MIN_SHARE, MIN_LOG_ODDS = 4, 0.01, 2.5
 #: Lengths of word beginnings that may become terms.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
+#: A term counts for a document that holds it once in so many words at least; a chance likeness in a long text teaches nothing.
+SPARSE = 60
 #: Bias and slope of the score before any label.
-UNFITTED = (7.0, 1.0)
+UNFITTED = (-1.5, 1.0)
 #: At most so many labelled documents, the first by a hash of doc_id, teach the lexicon.
 MAX_LABELLED = 20_000
 MAX_TERMS = 5_000
+#: Evidence counts within these bounds.
+LIMIT = 30.0
 
 PLAIN = re.compile(r"[a-z]+")
 _FOLD = str.maketrans(HOMOGLYPHS)
@@ -71,23 +79,32 @@ def fold(text: str) -> str:
 
 
 class Lexicon(NamedTuple):
-    """terms: folded term to weight; exceptions: folded phrases; bias and slope turn a density into a score."""
+    """terms: folded term to weight; exceptions: folded phrases; bias and slope turn evidence into a score; tolls: what a
+    word of a text with the term takes away, TOLL for terms without one."""
 
     terms: dict[str, float]
     exceptions: tuple[str, ...]
     bias: float
     slope: float
+    tolls: dict[str, float] = {}  # noqa: RUF012
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's words and beginnings: how many, of how many words, and whether densely."""
     for batch in batches:
-        docs, terms = [], []
+        rows: list[list] = [[], [], [], [], []]
         for i, text in enumerate(batch.column("text")):
-            words = set(PLAIN.findall(fold(text.as_py() or "")))
-            found = {f"{w} " for w in words if len(w) >= 3} | {w[:n] for w in words for n in STEMS if len(w) >= n}
-            docs += [i] * len(found)
-            terms += found
-        yield pa.RecordBatch.from_arrays([batch.column("toxic").take(pa.array(docs, pa.int64())), pa.array(terms, pa.string())], names=["toxic", "term"])
+            words = Counter(PLAIN.findall(fold(text.as_py() or "")))
+            seen = Counter({f"{w} ": k for w, k in words.items() if len(w) >= 3})
+            for w, k in words.items():
+                for n in STEMS:
+                    if len(w) >= n:
+                        seen[w[:n]] += k
+            total = words.total()
+            for column, values in zip(rows, ([i] * len(seen), seen.keys(), seen.values(), [total] * len(seen), [k * SPARSE >= total for k in seen.values()]), strict=True):
+                column.extend(values)
+        arrays = [pa.array(x, t) for x, t in zip(rows[1:], (pa.string(), pa.int64(), pa.int64(), pa.bool_()), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("toxic").take(pa.array(rows[0], pa.int64())), *arrays], names=["toxic", "term", "k", "words", "dense"])
 
 
 def _phrases(terms: dict[str, float]):
@@ -98,7 +115,7 @@ def _phrases(terms: dict[str, float]):
             for i, text in enumerate(batch.column("text")):
                 folded = fold(text.as_py() or "")
                 found = set()
-                for start, end, _ in match.hits(folded):
+                for start, end, *_ in match.hits(folded):
                     left = PLAIN.findall(folded[max(0, start - 24) : start])
                     right = PLAIN.findall(folded[end : end + 24])
                     word = folded[start:end].strip()
@@ -119,27 +136,27 @@ class automaton:  # noqa: N801
 
         self.tree = ahocorasick.Automaton()
         for term, weight in lexicon.terms.items():
-            self.tree.add_word(term.strip(), (len(term.strip()), weight, term.endswith(" ")))
+            self.tree.add_word(term.strip(), (len(term.strip()), weight, term.endswith(" "), term))
         for phrase in lexicon.exceptions:
-            self.tree.add_word(phrase, (len(phrase), None, True))
+            self.tree.add_word(phrase, (len(phrase), None, True, ""))
         if len(self.tree):
             self.tree.make_automaton()
 
-    def hits(self, folded: str) -> list[tuple[int, int, float]]:
-        """(start, end, weight) of the best term of each word that begins or is a term, exceptions left out."""
+    def hits(self, folded: str) -> list[tuple[int, int, float, str]]:
+        """(start, end, weight, term) of the best term of each word that begins or is a term, exceptions left out."""
         if not len(self.tree):
             return []
-        best: dict[int, tuple[int, float]] = {}
+        best: dict[int, tuple[int, float, str]] = {}
         skip: list[tuple[int, int]] = []
-        for last, (n, weight, whole) in self.tree.iter(folded):
+        for last, (n, weight, whole, term) in self.tree.iter(folded):
             start, end = last + 1 - n, last + 1
             if start and folded[start - 1].isalpha() or whole and end < len(folded) and folded[end].isalpha():
                 continue
             if weight is None:
                 skip.append((start, end))
             elif start not in best or weight > best[start][1]:
-                best[start] = (end, weight)
-        return [(s, e, w) for s, (e, w) in sorted(best.items()) if not any(a <= s and e <= b for a, b in skip)]
+                best[start] = (end, weight, term)
+        return [(s, *found) for s, found in sorted(best.items()) if not any(a <= s and found[0] <= b for a, b in skip)]
 
 
 def held_out(docs: DataFrame) -> DataFrame:
@@ -151,7 +168,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
     A document with several labels is toxic if one of them says so, and equal texts count once; labels without a document, or null,
     teach nothing. Without toxic examples the lexicon is SEEDS and the score's curve UNFITTED. What reaches the
-    driver is at most MAX_TERMS terms, phrases and densities' moments.
+    driver is at most MAX_TERMS terms with their counts, phrases, and the numbers of documents by bin of evidence.
     """
     marks = held_out(labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic")).where("not held_out")
     marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -163,25 +180,31 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         pos, neg = totals.get(1, 0), totals.get(0, 0)
         if not pos:
             return Lexicon({f"{w} ": PRIOR for w in SEEDS}, (), *UNFITTED)
-        seen = sample.mapInArrow(_features, "toxic int, term string")
+        seen = sample.mapInArrow(_features, "toxic int, term string, k long, words long, dense boolean")
         odds = F.log(((F.col("p") + 0.1) / (pos + 0.2)) / ((F.col("q") + 0.1) / (neg + 0.2)))
-        rows = (
-            seen.groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("p"), F.count_if(F.col("toxic") == 0).alias("q")).withColumn("w", odds)
-        )
-        sure = rows.where((F.col("p") >= max(MIN_TOXIC, MIN_SHARE * pos)) & (F.col("w") >= MIN_LOG_ODDS)).orderBy(F.desc("w"), "term").limit(MAX_TERMS).collect()
-        keep = choose({r["term"]: (r["p"], r["q"], r["w"]) for r in sure})
+        bad, good = F.col("toxic") == 1, F.col("toxic") == 0
+        sums = [F.coalesce(F.sum(F.when(of, F.col(c))), F.lit(0)).alias(n) for n, of, c in (("k1", bad, "k"), ("words1", bad, "words"), ("k0", good, "k"), ("words0", good, "words"))]
+        rows = seen.groupBy("term").agg(F.count_if(bad & F.col("dense")).alias("p"), F.count_if(good & F.col("dense")).alias("q"), F.count_if(bad).alias("any_p"), F.count_if(good).alias("any_q"), *sums).withColumn("w", odds)
+        dense = (F.col("p") >= max(MIN_TOXIC, MIN_SHARE * pos)) & (F.col("w") >= MIN_LOG_ODDS)
+        # words that hardly any other document holds need not be dense
+        told = F.col("term").endswith(" ") & (F.col("any_p") >= 2 * max(MIN_TOXIC, MIN_SHARE * pos)) & (F.col("any_q") == 0)
+        sure = rows.where(dense | told).orderBy(F.desc("w"), "term").limit(MAX_TERMS).collect()
+        chosen = choose({r["term"]: (r["p"], r["q"], r["w"]) for r in sure})
+        rates = {r["term"]: ((r["k1"] + START) / (r["words1"] + START_WORDS), (r["k0"] + START) / (r["words0"] + START_WORDS)) for r in sure if r["term"] in chosen}
+        keep = {t: math.log(a / b) for t, (a, b) in rates.items() if a > b}
         against = {r["term"] for r in rows.where(F.col("term").isin([f"{w} " for w in SEEDS]) & (F.col("w") < 1)).collect()}
         keep = {f"{w} ": PRIOR for w in SEEDS if f"{w} " not in against} | keep
-        bad = sample.mapInArrow(_phrases(keep), "toxic int, term string")
         phrases = (
-            bad.groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("p"), F.count_if(F.col("toxic") == 0).alias("q"))
+            sample.mapInArrow(_phrases(keep), "toxic int, term string").groupBy("term").agg(F.count_if(bad).alias("p"), F.count_if(good).alias("q"))
             .where((F.col("p") == 0) & (F.col("q") >= 3)).orderBy(F.desc("q"), "term").limit(MAX_TERMS).collect()
         )
-        lexicon = Lexicon(keep, tuple(r["term"] for r in phrases), 0.0, 1.0)
-        densities = sample.mapInArrow(_densities(lexicon), "toxic int, x double")
-        bins = densities.groupBy("toxic", F.floor(F.log(F.col("x") + 1e-4) * 8).alias("b")).count().collect()
-        bias, slope = _fit([(r["b"] / 8, r["toxic"], r["count"]) for r in bins])
-        return lexicon._replace(bias=bias, slope=slope)
+        lexicon = Lexicon(keep, tuple(r["term"] for r in phrases), 0.0, 1.0, {t: rates[t][0] - rates[t][1] for t in keep if t in rates})
+        found = sample.mapInArrow(_evidence(lexicon), "toxic int, x double").where("x is not null")
+        bins = found.groupBy("toxic", F.floor(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), "x")) * 4).alias("b")).count().collect()
+        if not bins:
+            return lexicon._replace(bias=UNFITTED[0], slope=UNFITTED[1])
+        bias, slope = _fit([((r["b"] + 0.5) / 4, r["toxic"], r["count"]) for r in bins])
+        return lexicon._replace(bias=bias, slope=max(slope, 0.0))
     finally:
         sample.unpersist()
 
@@ -203,23 +226,26 @@ def choose(found: dict[str, tuple[int, int, float]]) -> dict[str, float]:
     return {t: v[2] for t, v in left.items() if not told(t, v)}
 
 
-def density(hits: list[tuple[int, int, float]], chars: int) -> float:
-    """The matches' weights over the length, in words of about six characters; short texts count as ten words."""
-    return sum(w for _, _, w in hits) / max(10.0, chars / 6) if hits else 0.0
+def evidence(lexicon: Lexicon, hits: list[tuple[int, int, float, str]], chars: int) -> float:
+    """The matches' weights less the toll of the text's words, of about six characters each, at the highest of the terms found."""
+    return sum(h[2] for h in hits) - chars / 6 * max(lexicon.tolls.get(h[3], TOLL) for h in hits)
+
 
+def _evidence(lexicon: Lexicon):
+    """Of documents with a match; others have none."""
 
-def _densities(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = automaton(lexicon)
         for batch in batches:
-            x = [density(match.hits(f), len(f)) for f in (fold(t.as_py() or "") for t in batch.column("text"))]
+            folded = [fold(t.as_py() or "") for t in batch.column("text")]
+            x = [evidence(lexicon, hits, len(f)) if (hits := match.hits(f)) else None for f in folded]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.float64())], names=["toxic", "x"])
 
     return run
 
 
 def _fit(points: list[tuple[float, int, int]], steps: int = 60) -> tuple[float, float]:
-    """Logistic regression of the label on the log density, from counts by bin, with a little shrinkage."""
+    """Logistic regression of the label on the evidence, from counts by bin, with a little shrinkage."""
     a, b = 0.0, 1.0
     for _ in range(steps):
         g0 = g1 = 0.0
@@ -247,9 +273,8 @@ def _score(lexicon: Lexicon, out_names: tuple[str, str] = ("score", "n_hits")):
             for text in batch.column("text"):
                 folded = fold(text.as_py() or "")
                 hits = match.hits(folded)
-                x = density(hits, len(folded))
-                z = max(-60.0, min(60.0, lexicon.bias + lexicon.slope * math.log(x + 1e-4)))
-                out.append(1 / (1 + math.exp(-z)) if hits else 0.0)
+                z = lexicon.bias + lexicon.slope * max(-LIMIT, min(LIMIT, evidence(lexicon, hits, len(folded)))) if hits else -LIMIT
+                out.append(1 / (1 + math.exp(-max(-60.0, min(60.0, z)))) if hits else 0.0)
                 n.append(len(hits))
             columns = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] != "text"]
             names = [c for c in batch.schema.names if c != "text"]

@@ -575,3 +575,35 @@ def test_exception_phrases():
     match = toxicity.automaton(lexicon)
     assert [x[2] for x in match.hits("the trash can is trash, grumbok and trashy")] == [3.0, 2.0]
     assert toxicity.automaton(toxicity.Lexicon({}, (), 0, 1)).hits("x") == []
+
+
+def plain_score(lexicon, text):
+    """The score by trying every term and phrase at every place."""
+    s = toxicity.fold(text or "")
+    edge = lambda i: i < 0 or i >= len(s) or not s[i].isalpha()
+    skip = [(i, i + len(p)) for p in lexicon.exceptions for i in range(len(s)) if s.startswith(p, i) and edge(i - 1) and edge(i + len(p))]
+    total, toll = 0.0, None
+    for i in range(len(s)):
+        found = [(w, t) for t, w in lexicon.terms.items() if edge(i - 1) and s.startswith(t.strip(), i) and (not t.endswith(" ") or edge(i + len(t) - 1))]
+        if found:
+            w, t = max(found)
+            if not any(a <= i and i + len(t.strip()) <= b for a, b in skip):
+                total, toll = total + w, max(toll or 0.0, lexicon.tolls.get(t, toxicity.TOLL))
+    if toll is None:
+        return 0.0
+    x = max(-toxicity.LIMIT, min(toxicity.LIMIT, total - len(s) / 6 * toll))
+    return 1 / (1 + math.exp(-(lexicon.bias + lexicon.slope * x)))
+
+
+def test_scores_against_a_plain_scorer(spark, odd):
+    r = random.Random(17)
+    parts = ["trash", "trash can", "grum", "grumbok", "Grüm", "tr4sh", "loser", "closer", "loser!", "w", "x1", "\n", "l0sers"]
+    texts = [" ".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(200)]
+    lexicon = toxicity.Lexicon({"trash ": 3.0, "grum": 2.0, "grumbok ": 2.5, "loser": 1.5}, ("trash can",), -2.0, 0.7, {"grum": 0.1, "loser": 0.01})
+    docs = docs_of(spark, texts).unionByName(odd.withColumn("doc_id", F.col("doc_id") + 1000))
+    want = sorted((x["doc_id"] or -1, plain_score(lexicon, x["text"])) for x in docs.collect())
+    out = sorted((x["doc_id"] or -1, x["score"]) for x in toxicity.score(docs, lexicon).collect())
+    assert [x[0] for x in want] == [x[0] for x in out] and all(a[1] == pytest.approx(b[1]) for a, b in zip(want, out, strict=True))
+    left = [x["doc_id"] or -1 for x in toxicity.clean(docs, lexicon).collect()]
+    assert Counter(left) == Counter(i for i, s in want if s < 0.3) and len(left) < len(want)
+    assert toxicity.clean(docs.limit(0), lexicon).count() == 0
