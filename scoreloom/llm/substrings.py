@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import cut
+from scoreloom.llm.common import cut, slices
 from scoreloom.llm.decontamination import LEAST_BITS, MOST_BITS, _bits
 from scoreloom.llm.shingles import mix, powers, prefix
 
@@ -31,8 +31,10 @@ LENGTH, GRAM = 400, 64
 MOST_RUNS, SEEDS = 400, 8
 #: Suffixes sorted together.
 BLOCK = 1 << 17
-#: Bytes of texts whose hashes are held at once, and texts that are read together.
-PIECE, CHUNK = 1 << 18, 512
+#: Bytes of texts whose hashes are held at once.
+PIECE = 1 << 18
+#: Windows of a run; a periodic text, whose anchor never changes, has several runs, most of them equal.
+LONGEST = 4096
 
 
 def slide(x: np.ndarray, width: int) -> np.ndarray:
@@ -128,8 +130,8 @@ def _text(x) -> bytes:
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every run's anchor; twice if the run may repeat within itself."""
     for batch in batches:
-        for at in range(0, max(batch.num_rows, 1), CHUNK):
-            found = runs([_text(x) for x in batch.column("text").slice(at, CHUNK)])
+        for part in slices(batch, "text"):
+            found = runs([_text(x) for x in part.column("text")])
             out = np.concatenate((found.anchor, found.anchor[found.twice]))
             yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], names=["anchor"])
 
@@ -141,15 +143,15 @@ def _segments(bits: bytes, content: bool) -> Callable:
         table = np.frombuffer(bits, np.uint8)
         mask = len(table) * 8 - 1
         for whole in batches:
-            for at in range(0, max(whole.num_rows, 1), CHUNK):
-                batch = whole.slice(at, CHUNK)
+            for batch in slices(whole, "text"):
                 rows: list[tuple] = []
                 seen: set[tuple] = set()
                 texts = [_text(x) for x in batch.column("text")]
                 found = runs(texts)
                 at_bit = (found.anchor & np.uint64(mask)).astype(np.int64)
                 passed = np.flatnonzero(table[at_bit >> 3] >> (at_bit & 7).astype(np.uint8) & 1)
-                for i, anchor, start, windows, twice in zip(*(c[passed].tolist() for c in found), strict=True):
+                whole_runs = zip(*(c[passed].tolist() for c in found), strict=True)
+                for i, anchor, start, windows, twice in ((i, a, s + k, min(LONGEST, n - k), t) for i, a, s, n, t in whole_runs for k in range(0, n, LONGEST)):
                     part = texts[i][start : start + windows + LENGTH - 1]
                     d = _digest(part)
                     if not content:
@@ -349,8 +351,7 @@ def refined(runs_: DataFrame) -> DataFrame:
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for at in range(0, max(whole.num_rows, 1), 512):
-            batch = whole.slice(at, 512)
+        for batch in slices(whole, "text"):
             out: list[list] = [[], [], [], []]
             for x, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
                 raw, kept, end, n, merged = _text(x), [], 0, 0, 0

@@ -443,7 +443,7 @@ def test_substrings_against_brute_force(spark, odd, monkeypatch, most_runs):
     passage = raw(700)
     texts = [raw(r.randint(0, 900)) for _ in range(30)]
     texts += [raw(r.randint(0, 200)) + passage[r.randint(0, 200) : 700 - r.randint(0, 100)] + raw(r.randint(0, 200)) for _ in range(25)]
-    texts += ["a" * 900, "ab" * 450, "abc" * 100 + raw(450) * 2, texts[0], texts[0], raw(399), passage[:400]]
+    texts += ["a" * 900, "ab" * 450, "abcde" * 2500 + raw(80), "abc" * 100 + raw(450) * 2, texts[0], texts[0], raw(399), passage[:400]]
     docs = docs_of(spark, texts, range(10, 10 + len(texts))).unionByName(odd.where("doc_id is null or doc_id < 4 or doc_id > 5"))
     rows = [(d["doc_id"], (d["text"] or "").encode()) for d in docs.collect()]
     seen = Counter(t[i : i + 400] for _, t in rows for i in range(len(t) - 399))
