@@ -59,3 +59,51 @@ def r02(spark: SparkSession, d: str) -> DataFrame:
 @query("r10_result_log", "SELECT event_id, event_type FROM events WHERE value > 50")
 def r10(spark: SparkSession, d: str) -> DataFrame:
     return drained(replay(spark, d).where("value > 50"), "append", EVENT).select("event_id", "event_type")
+
+
+def replay_in_order(spark: SparkSession, d: str, files: int = 3) -> DataFrame:
+    """events as a stream of files that were written one after the other, each later in time than those before."""
+    path = scratch(spark)
+    rows = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    ends = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    step = (ends["hi"] - ends["lo"]) / files
+    for k in range(files):
+        lo, hi = ends["lo"] + k * step, ends["lo"] + (k + 1) * step
+        inside = (F.col("ts") >= lo) & ((F.col("ts") < hi) if k < files - 1 else F.lit(True))
+        rows.where(inside).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("r03_silences", "WITH l AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events) SELECT user_id, epoch_us(ts) + 86400000000 AS silent_us FROM l WHERE n - ts > INTERVAL 1 DAY OR n IS NULL AND ts + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+def r03_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Workers silent for a day; the last silence of each is told by a timer."""
+    return drained(states.silences(replay_in_order(spark, d), 86_400_000, "1 hour"), "append", states.SILENCE).select("user_id", "silent_us")
+
+
+@query(
+    "r05_retries",
+    """WITH e AS (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 1 DAY THEN 1 ELSE 0 END AS fresh FROM events WHERE event_type = 'error' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, session ORDER BY ts, event_id) AS attempt FROM s)
+    SELECT user_id, event_id, epoch_us(ts) + 30000000 AS due_us, attempt FROM r WHERE attempt <= 2""",
+)
+def r05_stream(spark: SparkSession, d: str) -> DataFrame:
+    errors = replay_in_order(spark, d).where("event_type = 'error'")
+    return drained(states.retries(errors, counter_ms=86_400_000), "append", states.RETRY).select("user_id", "event_id", "due_us", "attempt")
+
+
+@query("r07_trailing", "WITH w AS (SELECT user_id, date_trunc('minute', ts) - i * INTERVAL 1 MINUTE AS start FROM events, (SELECT unnest(range(0, 5)) AS i) WHERE event_type = 'error') SELECT user_id, start, count(*) AS n FROM w GROUP BY 1, 2")
+def r07_trailing(spark: SparkSession, d: str) -> DataFrame:
+    """Errors of each worker in the five minutes from every minute on."""
+    errors = replay_in_order(spark, d).where("event_type = 'error'").withWatermark("ts", "10 minutes")
+    counts = errors.groupBy("user_id", F.window("ts", "5 minutes", "1 minute")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("window.start").alias("start"), "n")
+    last = ordered.latest(drained(counts, "update", "user_id long, start timestamp, n long"), ["user_id", "start"], "batch")
+    return last.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query(
+    "r09_locks",
+    """WITH RECURSIVE g(user_id, ts) AS (SELECT user_id, min(ts) FROM events GROUP BY 1 UNION ALL SELECT e.user_id, min(e.ts) FROM g JOIN events e ON e.user_id = g.user_id AND e.ts >= g.ts + INTERVAL 1 DAY GROUP BY e.user_id)
+    SELECT user_id, epoch_us(ts) AS us FROM g""",
+)
+def r09_stream(spark: SparkSession, d: str) -> DataFrame:
+    return drained(states.locks(replay_in_order(spark, d), 86_400_000), "append", states.GRANT).select("user_id", "us")

@@ -39,3 +39,85 @@ def heartbeats(events: DataFrame, ttl_ms: int = 120_000, late: str = "10 minutes
 
     rows = events.withWatermark("ts", late).select("user_id", F.unix_micros("ts").alias("us"), "ts")
     return rows.groupBy("user_id").applyInPandasWithState(step, BEAT, "beats long, last_us long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def _by_time(frames: Iterator[pd.DataFrame]) -> list[tuple[int, int]]:
+    """(microseconds, event_id) of a key's rows in one batch, in order."""
+    rows = [x for f in frames for x in zip(f["us"].tolist(), f["event_id"].tolist(), strict=True)]
+    return sorted((int(us), int(i)) for us, i in rows)
+
+
+def _keyed(events: DataFrame, late: str) -> DataFrame:
+    return events.withWatermark("ts", late).select("user_id", "event_id", F.unix_micros("ts").alias("us"), "ts").groupBy("user_id")
+
+
+SILENCE = "user_id long, silent_us long"
+
+
+def silences(events: DataFrame, ttl_ms: int, late: str) -> DataFrame:
+    """Per worker each moment at which its last beat was ttl_ms old: seen at the next beat, or by a timer once the watermark passes it."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, told = state.get if state.exists else (None, True)
+        found = []
+        if state.hasTimedOut:
+            found = [] if told else [last + ttl_ms * 1000]
+            state.remove()  # a worker that comes back begins anew
+        else:
+            for us, _ in _by_time(frames):
+                if last is not None and us - last > ttl_ms * 1000 and not told:
+                    found.append(last + ttl_ms * 1000)
+                last, told = us, False
+            state.update((last, told))
+            state.setTimeoutTimestamp(max(last // 1000 + ttl_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user_id": [key[0]] * len(found), "silent_us": pd.Series(found, dtype="int64")})
+
+    return _keyed(events, late).applyInPandasWithState(step, SILENCE, "last long, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+RETRY = "user_id long, event_id long, due_us long, attempt long"
+
+
+def retries(errors: DataFrame, delay_ms: int = 30_000, most: int = 2, counter_ms: int = 3_600_000, late: str = "10 minutes") -> DataFrame:
+    """Failed tasks that are tried again after delay_ms, each key most times; a timer drops its counter once it is counter_ms old."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        attempts, last = state.get if state.exists else (0, None)
+        out = []
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            for us, event in _by_time(frames):
+                attempts = 0 if last is not None and us - last > counter_ms * 1000 else attempts
+                last = us
+                if attempts < most:
+                    attempts += 1
+                    out.append((key[0], event, us + delay_ms * 1000, attempts))
+            state.update((attempts, last))
+            state.setTimeoutTimestamp(max(last // 1000 + counter_ms + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "due_us", "attempt"]).astype("int64")
+
+    return _keyed(errors, late).applyInPandasWithState(step, RETRY, "attempts long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+GRANT = "user_id long, us long"
+
+
+def locks(events: DataFrame, life_ms: int = 600_000, late: str = "10 minutes") -> DataFrame:
+    """The requests that get a key's lock: the first, and later ones once the lock is life_ms old; a timer drops old locks."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        until = state.get[0] if state.exists else None
+        out = []
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            for us, _ in _by_time(frames):
+                if until is None or us >= until:
+                    until = us + life_ms * 1000
+                    out.append(us)
+            state.update((until,))
+            state.setTimeoutTimestamp(max(until // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user_id": [key[0]] * len(out), "us": pd.Series(out, dtype="int64")})
+
+    return _keyed(events, late).applyInPandasWithState(step, GRANT, "until long", "append", GroupStateTimeout.EventTimeTimeout)
