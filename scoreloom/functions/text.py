@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -40,16 +41,28 @@ def contains_any(x: Column, marks: tuple[str, ...]) -> Column:
     return any_of([F.contains(x, F.lit(m)) for m in marks])
 
 
+def _holds(low: Column, pattern: str) -> Column:
+    """Whether low has a match of pattern, whose fixed words are looked for first; a dot is any character but a newline."""
+    words = pattern.split(".*")
+    if any(re.escape(w).replace("\\ ", " ").replace("\\-", "-") != w for w in words):
+        return low.rlike(f"(?d){pattern}")
+    there = reduce(lambda a, b: a & b, [F.contains(low, F.lit(w)) for w in words])
+    return there & low.rlike(f"(?d){pattern}") if len(words) > 1 else there
+
+
 def classify_error(message: Column, context: Column | None = None) -> Column:
     """The first class one of whose patterns is in the lower-cased message; else by the context; else unknown."""
-    low = F.lower(message)
-    out = F.when(F.coalesce(message, F.lit("")) == "", "UNKNOWN_ERROR")
-    for code, patterns in ERROR_PATTERNS.items():
-        out = out.when(low.rlike("|".join(patterns)), code)
-    if context is not None:
-        for word, code in CONTEXTS:
-            out = out.when(F.contains(F.lower(context), F.lit(word)), code)
-    return out.otherwise("UNKNOWN_ERROR")
+
+    def by_pattern(low: Column) -> Column:
+        out = F.when(F.coalesce(low, F.lit("")) == "", "UNKNOWN_ERROR")
+        for code, patterns in ERROR_PATTERNS.items():
+            out = out.when(any_of([_holds(low, p) for p in patterns]), code)
+        if context is not None:
+            for word, code in CONTEXTS:
+                out = out.when(F.contains(F.lower(context), F.lit(word)), code)
+        return out.otherwise("UNKNOWN_ERROR")
+
+    return F.transform(F.array(F.lower(message)), by_pattern)[0]  # the message is lowered once
 
 
 def error_category(code: Column) -> Column:

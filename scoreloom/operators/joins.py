@@ -57,6 +57,30 @@ def fuzzy_match(a: Column, b: Column) -> Column:
     return F.contains(x, y) | F.contains(y, x)
 
 
+def fuzzy_semi(rows: DataFrame, name: str, words: DataFrame, word: str, gram: int = 3) -> DataFrame:
+    """The rows whose name is a word, holds one or is held by one, whatever the case; null names match nothing.
+
+    Nothing is compared with everything: what is held begins with a few characters that its holder has somewhere, so that
+    holders are joined by all their runs of up to gram characters, and candidates are verified.
+    """
+    n = rows.select(F.lower(name).alias("n")).where("n is not null").distinct()
+    w = words.select(F.lower(word).alias("w")).where("w is not null").distinct()
+
+    def runs(x: str) -> Column:
+        size = F.char_length(x)
+        of = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - k + 1)), lambda i: F.substring(x, i, F.lit(k)))
+        some = [of(k) for k in range(1, gram + 1)]
+        return F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *some))).alias("run")
+
+    def start(x: str) -> Column:
+        return F.substring(x, 1, gram).alias("run")
+
+    one = n.select("n", runs("n")).join(w.select("w", start("w")), "run").where(F.contains("n", "w"))
+    two = w.select("w", runs("w")).join(n.select("n", start("n")), "run").where(F.contains("w", "n"))
+    found = one.select("n").unionByName(two.select("n")).distinct()
+    return rows.join(found, F.lower(name) == F.col("n"), "left_semi")
+
+
 def positional_compare(left: DataFrame, right: DataFrame, order: str, columns: list[str]) -> DataFrame:
     """Rows of two tables by their position in `order`: whether each of columns is equal, nulls alike.
 

@@ -97,10 +97,9 @@ def j09(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j10_fuzzy", """SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT split_part(p_type, ' ', 1) AS w FROM part) t WHERE contains(lower(p_name), lower(w)) OR contains(lower(w), lower(p_name)))""")
 def j10(spark: SparkSession, d: str) -> DataFrame:
-    """Names that match one of a few expected words, either way: the words are grouped and tested as one array."""
+    """Names that match one of the expected words, either way."""
     part = table(spark, d, "part")
-    words = part.select(F.substring_index("p_type", " ", 1).alias("w")).distinct().agg(F.collect_set("w").alias("words"))
-    return part.join(F.broadcast(words)).where(F.exists("words", lambda w: joins.fuzzy_match(F.col("p_name"), w))).select("p_partkey")
+    return joins.fuzzy_semi(part, "p_name", part.select(F.substring_index("p_type", " ", 1).alias("w")), "w").select("p_partkey")
 
 
 @query("j11_clean_names", """WITH n AS (SELECT p_partkey, 'ns::' || replace(p_brand, '#', '_') || '<int>(float*)' AS name FROM part) SELECT p_partkey, replace(split_part(split_part(name, '(', 1), '<', 1), 'ns::', '') AS bare FROM n WHERE contains(name, 'Brand_1')""")
