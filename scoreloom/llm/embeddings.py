@@ -8,6 +8,7 @@ decides, and the links of all trees are united.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,31 +22,35 @@ from scoreloom.llm.components import components
 
 #: Trees, vectors a leaf should hold, and the half width of the overlap as a share of the largest distance of linked vectors.
 TREES, LEAF, SPILL = 5, 256, 0.15
-#: The thresholds are medians of at most so many vectors, the first by a hash; every vector is indexed.
-SAMPLE = 40_000
+#: The thresholds are medians of at most so many vectors, the first by a hash, and so many bytes; every vector is indexed.
+SAMPLE, SAMPLE_BYTES = 40_000, 64 << 20
 #: A leaf of more vectors is compared in blocks of so many, each pair of blocks apart.
 BLOCK = 2048
 
 
 class Forest(NamedTuple):
-    """depth by (label, dimension); thresholds by (label, dimension, tree) and node; margin of the spill."""
+    """thresholds by (label, dimension, tree) and node, 0 where the sample has none; vectors a leaf should hold; margin of the spill."""
 
-    depth: dict[tuple, int]
     thresholds: dict[tuple, dict[int, float]]
     trees: int
+    leaf: int
     margin: float
 
+    def depth(self, n: int) -> int:
+        """Levels of a tree of n vectors."""
+        return max(0, math.ceil(math.log2(max(n, 1) / self.leaf)))
+
 
 def direction(dimension: int, tree: int, level: int) -> np.ndarray:
     v = np.random.default_rng([dimension, tree, level]).standard_normal(dimension)
     return v / np.linalg.norm(v)
 
 
-def route(v: np.ndarray, forest: Forest, key: tuple, tree: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, leaf) of unit vectors v in one tree; a leaf is numbered as in a heap, with the root 1."""
+def route(v: np.ndarray, forest: Forest, key: tuple, n: int, tree: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf) of unit vectors v, some of a group of n, in one tree; a leaf is numbered as in a heap, with the root 1."""
     rows, nodes = np.arange(len(v)), np.ones(len(v), np.int64)
     known = forest.thresholds.get((*key, tree), {})
-    for level in range(forest.depth.get(key, 0)):
+    for level in range(forest.depth(n)):
         x = (v @ direction(key[1], tree, level))[rows]
         unique, inverse = np.unique(nodes, return_inverse=True)
         cut_at = np.array([known.get(int(n), known.get(-level - 1, 0.0)) for n in unique])[inverse]
@@ -56,13 +61,13 @@ def route(v: np.ndarray, forest: Forest, key: tuple, tree: int) -> tuple[np.ndar
 
 def grow(sample: dict[tuple, np.ndarray], counts: dict[tuple, int], trees: int, leaf: int, margin: float) -> Forest:
     """A forest whose thresholds are medians of the sample at each node, or at the level where a node has few."""
-    depth = {k: max(0, int(np.ceil(np.log2(n / leaf)))) for k, n in counts.items()}
     thresholds: dict[tuple, dict[int, float]] = {}
+    forest = Forest(thresholds, trees, leaf, margin)
     for key, v in sample.items():
         for tree in range(trees):
             known: dict[int, float] = {}
             nodes = np.ones(len(v), np.int64)
-            for level in range(depth.get(key, 0)):
+            for level in range(forest.depth(counts[key])):
                 x = v @ direction(key[1], tree, level)
                 known[-level - 1] = float(np.median(x))
                 if level < 16:
@@ -73,7 +78,7 @@ def grow(sample: dict[tuple, np.ndarray], counts: dict[tuple, int], trees: int,
                 at = np.array([known.get(int(n), known[-level - 1]) for n in nodes])
                 nodes = 2 * nodes + (x > at)
             thresholds[(*key, tree)] = known
-    return Forest(depth, thresholds, trees, margin)
+    return forest
 
 
 def _unit(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
@@ -87,13 +92,15 @@ def _unit(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
 def _leaves(forest: Forest):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = list(zip(batch.column("label").to_pylist(), batch.column("dimension").to_pylist(), strict=True))
-            for key in sorted(set(keys)):
-                at = np.array([i for i, k in enumerate(keys) if k == key])
+            keys: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("label", "dimension", "n")), strict=True)):
+                keys.setdefault(key, []).append(i)
+            batch = batch.drop_columns(["n"])
+            for (*key, n), at in keys.items():
                 part = batch.take(pa.array(at))
                 v = _unit(part)
                 for tree in range(forest.trees):
-                    rows, nodes = route(v, forest, key, tree)
+                    rows, nodes = route(v, forest, tuple(key), n, tree)
                     out = part.take(pa.array(rows))
                     yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.full(len(rows), tree, np.int32)), pa.array(nodes)], names=[*out.schema.names, "tree", "leaf"])
 
@@ -120,10 +127,13 @@ def _compare(threshold: float):
 
 def links(classes: DataFrame, threshold: float, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """(a, b): pairs of ids of (id, label, dimension, vector) rows whose cosine reaches threshold."""
-    counts = {(r["label"], r["dimension"]): r["n"] for r in classes.groupBy("label", "dimension").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf).orderBy(F.desc("n")).limit(sample // 16).collect()}
-    total = max(1, sum(counts.values()))
-    share = min(1.0, 0.9 * sample / total)
-    picked = classes.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("label", "dimension", "vector").limit(sample).toArrow()
+    sizes = cut(classes.groupBy("label", "dimension").agg(F.count(F.lit(1)).alias("n")))
+    # thresholds are learnt for the largest groups, as many as the sample can serve; other groups split at 0
+    top = sizes.where(F.col("n") > leaf).orderBy(F.desc("n"), "label", "dimension").limit(sample // 16).collect()
+    counts = {(r["label"], r["dimension"]): r["n"] for r in top}
+    rows = min(sample, SAMPLE_BYTES // (8 * max([1, *(k[1] for k in counts)])))
+    share = min(1.0, 0.9 * rows / max(1, sum(counts.values())))
+    picked = classes.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("label", "dimension", "vector").limit(rows).toArrow()
     by: dict[tuple, list[int]] = {}
     for i, key in enumerate(zip(picked.column("label").to_pylist(), picked.column("dimension").to_pylist(), strict=True)):
         if key in counts:
@@ -133,10 +143,9 @@ def links(classes: DataFrame, threshold: float, trees: int = TREES, leaf: int =
     forest = grow(vectors, counts, trees, leaf, margin)
     kinds = dict(classes.dtypes)
     schema = f"id {kinds['id']}, label {kinds['label']}, dimension int, vector {kinds['vector']}, tree int, leaf long"
-    placed = classes.select("id", "label", "dimension", "vector").mapInArrow(_leaves(forest), schema)
+    placed = classes.join(sizes, ["label", "dimension"]).select("id", "label", "dimension", "vector", "n").mapInArrow(_leaves(forest), schema)
     key = ["label", "dimension", "tree", "leaf"]
-    sizes = classes.select("id", "label", "dimension", "vector").mapInArrow(_leaves(forest), schema).groupBy(*key).count()
-    large = sizes.where(F.col("count") > block).select(*key, F.ceil(F.col("count") / block).cast("int").alias("n"))
+    large = placed.groupBy(*key).count().where(F.col("count") > block).select(*key, F.ceil(F.col("count") / block).cast("int").alias("n"))
     blocks = F.coalesce("n", F.lit(1))
     cells = placed.join(large, key, "left").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     against = F.when(blocks == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1))

@@ -76,12 +76,12 @@ def place(key: Column, tree: Iterable[Leaf], seed: int = 17) -> Column:
 def slots(df: DataFrame, shard: str, key: str, out: str = "slot", parts: int = 1024) -> DataFrame:
     """df with out: numbers from 0 without gaps within each shard.
 
-    No shard is sorted as a whole: rows fall by a hash of the key into parts of each shard, are numbered
+    No shard is sorted as a whole: rows fall by a hash of their columns into parts of each shard, so that a hot key is dealt over many, are numbered
     within their part, and start from the count of the parts before. The counts, broadcast, are at most
     shards x parts rows. Rows with equal keys are told apart by their other columns; entirely equal rows
     may take each other's numbers.
     """
-    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    part = F.pmod(F.xxhash64(*[c for c in df.columns if c != shard]), F.lit(parts)).cast("int")
     rows = df.withColumn("__part", part)
     before = Window.partitionBy(shard).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
