@@ -107,3 +107,20 @@ def r07_trailing(spark: SparkSession, d: str) -> DataFrame:
 )
 def r09_stream(spark: SparkSession, d: str) -> DataFrame:
     return drained(states.locks(replay_in_order(spark, d), 86_400_000), "append", states.GRANT).select("user_id", "us")
+
+
+@query("r01_consumed", "SELECT event_id, CASE WHEN user_id % 10 = 0 THEN 'worker:' || user_id WHEN value > 50 THEN 'gpu' ELSE 'cpu' END AS queue FROM events WHERE event_type = 'purchase'")
+def r01_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Every task is put in twice and taken once."""
+    tasks = replay_in_order(spark, d).where("event_type = 'purchase'")
+    twice = tasks.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    return drained(states.consumed(twice), "append", f"{EVENT}, queue string").select("event_id", "queue")
+
+
+@query(
+    "r04_overdue",
+    """WITH e AS (SELECT user_id, ts, event_type FROM events WHERE event_type IN ('view', 'purchase')), s AS (SELECT user_id, ts, (SELECT min(a.ts) FROM e a WHERE a.user_id = s.user_id AND a.event_type = 'purchase' AND a.ts >= s.ts) AS next FROM e s WHERE event_type = 'view')
+    SELECT user_id, epoch_us(ts) AS submitted_us FROM s WHERE next - ts > INTERVAL 1 DAY OR next IS NULL AND ts + INTERVAL 1 DAY < (SELECT max(ts) FROM e) - INTERVAL 1 HOUR""",
+)
+def r04_stream(spark: SparkSession, d: str) -> DataFrame:
+    return drained(states.overdue(replay_in_order(spark, d), "view", "purchase", 86_400_000, "1 hour"), "append", states.WAITED).select("user_id", "submitted_us")
