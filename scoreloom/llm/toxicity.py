@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.llm.common import slices
+
 # Letters of other scripts that look like Latin ones, and digits or signs written for letters.
 HOMOGLYPHS = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "к": "k", "м": "m", "т": "t",
@@ -91,7 +93,7 @@ class Lexicon(NamedTuple):
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's words and beginnings: how many, of how many words, and whether densely."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "text")):
         rows: list[list] = [[], [], [], [], []]
         for i, text in enumerate(batch.column("text")):
             words = Counter(PLAIN.findall(fold(text.as_py() or "")))
@@ -110,7 +112,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _phrases(terms: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = automaton(Lexicon(terms, (), 0, 1))
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             docs, out = [], []
             for i, text in enumerate(batch.column("text")):
                 folded = fold(text.as_py() or "")
@@ -236,7 +238,7 @@ def _evidence(lexicon: Lexicon):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = automaton(lexicon)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             folded = [fold(t.as_py() or "") for t in batch.column("text")]
             x = [evidence(lexicon, hits, len(f)) if (hits := match.hits(f)) else None for f in folded]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.float64())], names=["toxic", "x"])
@@ -268,7 +270,7 @@ def _fit(points: list[tuple[float, int, int]], steps: int = 60) -> tuple[float,
 def _score(lexicon: Lexicon, out_names: tuple[str, str] = ("score", "n_hits")):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = automaton(lexicon)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             out, n = [], []
             for text in batch.column("text"):
                 folded = fold(text.as_py() or "")
