@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import bpe, decontamination, embeddings, lines, minhash, pages, secrets, sharding, substrings, toxicity
+from scoreloom.llm import bpe, decontamination, divergence, embeddings, interactions, lines, minhash, pages, quality, secrets, sharding, substrings, toxicity
 from scoreloom.llm.common import table
 
 
@@ -62,6 +62,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_byte_bpe": op2_byte_bpe,
@@ -73,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_substrings": op9_substrings,
     "op10_toxicity": op10_toxicity,
+    "op11_quality": op11_quality,
+    "op12_interactions": op12_interactions,
+    "op13_divergence": op13_divergence,
 }
 
 OP3_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL),
@@ -90,4 +105,6 @@ SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM
 ORACLE_SQL: dict[str, str] = {
     "op3_embeddings": OP3_SQL,
     "op4_decontamination": OP4_SQL,
+    "op12_interactions": interactions.SQL,
+    "op13_divergence": divergence.SQL,
 }
