@@ -215,13 +215,6 @@ def k03_whole(spark: SparkSession, d: str) -> DataFrame:
     return document.select(F.explode(F.from_json(column, "rows array<struct<o_orderstatus:string,n:long>>")["rows"]).alias("r")).select("r.*")
 
 
-@query("r03_restarts", "SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 4 THEN NULL WHEN s_suppkey % 5 = 0 THEN 'cuda_error' WHEN s_suppkey % 5 = 1 THEN 'heartbeat' WHEN s_suppkey % 5 = 2 THEN 'offline' END AS reason FROM supplier")
-def r03(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("s_suppkey") % 5
-    reason = rules.restart_reason(k.isin(0, 4), F.when(k == 1, 121).otherwise(5), F.when(k == 2, 61).otherwise(0), F.lit(True), k == 4, F.lit(200))
-    return table(spark, d, "supplier").select("s_suppkey", reason.alias("reason"))
-
-
 @query("s07_log_paths", """WITH l AS (SELECT n_nationkey AS k, n_regionkey AS dir, '/logs/n' || n_regionkey || '/worker' || CASE WHEN n_nationkey % 5 = 0 THEN 's' ELSE '_' || n_nationkey END || '.log' AS path FROM nation),
 d AS (SELECT path, min(dir) AS dir FROM l GROUP BY path) SELECT path, row_number() OVER (ORDER BY dir, CASE WHEN path LIKE '%/workers.log' THEN path END NULLS FIRST, path) AS position FROM d""")
 def s07(spark: SparkSession, d: str) -> DataFrame:

@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-BEAT = "user_id long, beats long, last_us long, online boolean"
-
 
 def first_only(events: DataFrame, keys: list[str], late: str = "40 days") -> DataFrame:
     """At most one row of each key, told apart as long as the watermark keeps its state."""
@@ -22,25 +20,6 @@ def window_counts(events: DataFrame, width: str, late: str, slide: str | None =
     return events.withWatermark("ts", late).groupBy(F.window("ts", width, slide) if slide else F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-def heartbeats(events: DataFrame, ttl_ms: int = 120_000, late: str = "10 minutes") -> DataFrame:
-    """A row whenever a worker's state changes: beats so far, the last one, and offline once ttl_ms of event time went by."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        beats, last = state.get if state.exists else (0, 0)
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"user_id": [key[0]], "beats": [beats], "last_us": [last], "online": [False]})
-            return
-        for f in frames:
-            beats, last = beats + len(f), max(last, int(f["us"].max()))
-        state.update((beats, last))
-        state.setTimeoutTimestamp(max(last // 1000 + ttl_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"user_id": [key[0]], "beats": [beats], "last_us": [last], "online": [True]})
-
-    rows = events.withWatermark("ts", late).select("user_id", F.unix_micros("ts").alias("us"), "ts")
-    return rows.groupBy("user_id").applyInPandasWithState(step, BEAT, "beats long, last_us long", "update", GroupStateTimeout.EventTimeTimeout)
-
-
 def _by_time(frames: Iterator[pd.DataFrame]) -> list[tuple[int, int]]:
     """(microseconds, event_id) of a key's rows in one batch, in order."""
     rows = [x for f in frames for x in zip(f["us"].tolist(), f["event_id"].tolist(), strict=True)]
@@ -121,41 +100,3 @@ def locks(events: DataFrame, life_ms: int = 600_000, late: str = "10 minutes") -
         yield pd.DataFrame({"user_id": [key[0]] * len(out), "us": pd.Series(out, dtype="int64")})
 
     return _keyed(events, late).applyInPandasWithState(step, GRANT, "until long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def consumed(tasks: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Each queued task once, however often it was put in, with the queue that it is taken from: its own worker's first, else by resource."""
-    once = tasks.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
-    return once.withColumn("queue", F.when(F.col("user_id") % 10 == 0, F.concat(F.lit("worker:"), F.col("user_id").cast("string"))).when(F.col("value") > 50, "gpu").otherwise("cpu"))
-
-
-WAITED = "user_id long, submitted_us long"
-
-
-def overdue(events: DataFrame, submit: str, assign: str, limit_ms: int, late: str) -> DataFrame:
-    """Submissions that no assignment of their key followed within limit_ms: told by a later assignment, or by a timer."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        limit = limit_ms * 1000
-        waiting = [int(x) for x in state.get[0].split(",") if x] if state.exists else []
-        out: list[int] = []
-        rows = [] if state.hasTimedOut else sorted((int(us), int(kind == assign)) for f in frames for us, kind in zip(f["us"], f["event_type"], strict=True))
-        for us, assigned in rows:
-            if assigned:
-                out += [x for x in waiting if us - x > limit]
-                waiting = []
-            else:
-                waiting.append(us)
-        passed = state.getCurrentWatermarkMs() * 1000
-        out += [x for x in waiting if x + limit < passed]
-        waiting = [x for x in waiting if x + limit >= passed]
-        if waiting:
-            state.update((",".join(map(str, waiting)),))
-            state.setTimeoutTimestamp(max((waiting[0] + limit) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame({"user_id": [key[0]] * len(out), "submitted_us": pd.Series(out, dtype="int64")})
-
-    wanted = events.where(F.col("event_type").isin(submit, assign)).withWatermark("ts", late)
-    keyed = wanted.select("user_id", "event_type", F.unix_micros("ts").alias("us"), "ts").groupBy("user_id")
-    return keyed.applyInPandasWithState(step, WAITED, "waiting string", "append", GroupStateTimeout.EventTimeTimeout)
