@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding by a monoid tree reduction.
 
 Encoding a piece of bytes splits it in half, encodes the halves recursively and joins them: the tokens at
-the boundary are encoded anew in a window which grows until the tokens outside provably stay. They do once
-each seam is stable, that is, once the two tokens at the seam, encoded alone side by side, come out as
+the boundary are encoded anew, and the window of new tokens grows by a neighbour at a time on the side where its seam isn't
+stable, until the tokens outside provably stay. They do once each seam is stable, that is, once the two tokens at the seam, encoded alone side by side, come out as
 themselves: a sequence is the encoding of its bytes exactly when each two neighbours are that of theirs.
 Texts are a tree above the pieces: the halves of a long text, cut where no piece can reach across, are
 encoded on their own and concatenated. Decoding concatenates up the same kind of tree.
@@ -11,6 +11,7 @@ encoded on their own and concatenated. Decoding concatenates up the same kind of
 from __future__ import annotations
 
 import base64
+import heapq
 import re
 import sys
 from array import array
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 WORD_BYTES, STRING_BYTES, SEAM_BYTES = 64 << 20, 32 << 20, 24 << 20
 #: What an entry of a store takes besides its contents, about.
 ENTRY = 200
+#: Encodings of parts of words of so many bytes at most are kept.
+STRING = 64
 #: Longer texts are halved; ids of which there are more are decoded in halves.
 LEAF_CHARS, LEAF_IDS = 1 << 16, 1 << 14
 #: Rows leave a task in batches of about so many bytes.
@@ -50,45 +53,66 @@ class Codec:
         """Empties the stores."""
         self.words: dict[str, bytes] = {}
         self.strings: dict[bytes, tuple[int, ...]] = {}
-        self.seams: dict[tuple[int, int], bool] = {}
+        self.seams: dict[tuple[int, int], tuple[int, ...] | None] = {}
         self.word_bytes = self.string_bytes = 0
 
     def merge(self, s: bytes) -> tuple[int, ...]:
-        """s encoded at once, merging the leftmost pair of least rank again and again: the tree's leaves and windows."""
+        """s encoded at once, merging the leftmost pair of least rank again and again: the tree's leaves and the pairs at its seams."""
         if (n := self.ranks.get(s)) is not None:
             return (n,)
-        parts = [s[i : i + 1] for i in range(len(s))]
-        rank = self.ranks.get
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = rank(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return tuple(self.ranks[p] for p in parts)
-
-    def stable(self, x: int, y: int) -> bool:
-        known = self.seams.get((x, y))
-        if known is None:
+        rank, size = self.ranks.get, len(s)
+        ends = list(range(1, size + 1))  # of the part that starts at each place
+        before = list(range(-1, size - 1))  # the start of the part before
+        alive = [True] * size
+        heap = [(r, i, i + 2) for i in range(size - 1) if (r := rank(s[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, end = heapq.heappop(heap)
+            middle = ends[i]
+            if not alive[i] or middle >= size or ends[middle] != end:
+                continue  # one of the two has been merged since
+            alive[middle], ends[i] = False, end
+            if end < size:
+                before[end] = i
+                if (r := rank(s[i : ends[end]])) is not None:
+                    heapq.heappush(heap, (r, i, ends[end]))
+            if (p := before[i]) >= 0 and (r := rank(s[p:end])) is not None:
+                heapq.heappush(heap, (r, p, end))
+        return tuple(self.ranks[s[i : ends[i]]] for i in range(size) if alive[i])
+
+    def pair(self, x: int, y: int) -> tuple[int, ...] | None:
+        """The encoding of two tokens' bytes; None if the seam between them is stable."""
+        try:
+            return self.seams[x, y]
+        except KeyError:
             if len(self.seams) * ENTRY >= SEAM_BYTES:
                 self.seams.clear()
-            known = self.seams[x, y] = self.merge(self.tokens[x] + self.tokens[y]) == (x, y)
-        return known
+            found = self.merge(self.tokens[x] + self.tokens[y])
+            return self.seams.setdefault((x, y), None if found == (x, y) else found)
 
     def join(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of the bytes of a followed by those of b, both encodings themselves."""
-        if not a or not b or self.stable(a[-1], b[0]):
+        if not a or not b or self.pair(a[-1], b[0]) is None:
             return a + b
-        i = j = 1
-        while True:
-            window = self.merge(b"".join([self.tokens[x] for x in a[-i:]] + [self.tokens[x] for x in b[:j]]))
-            left, right = i >= len(a) or self.stable(a[-i - 1], window[0]), j >= len(b) or self.stable(window[-1], b[j])
-            if left and right:
-                return a[:-i] + window + b[j:]
-            i, j = (i if left else min(len(a), 2 * i)), (j if right else min(len(b), 2 * j))
+        # what lies right of the seam: the window's tokens, the next one last, and then b from `rest` on
+        left, window, rest = list(a), [], 0
+        for _ in range(64 * (len(a) + len(b)) + 1024):
+            if not window and rest == len(b):
+                return tuple(left)
+            y = window[-1] if window else b[rest]
+            new = self.pair(left[-1], y) if left else None
+            if new is None and left and not window:
+                return (*left, *b[rest:])
+            if window:
+                window.pop()
+            else:
+                rest += 1
+            if new is None:
+                left.append(y)
+            else:
+                left.pop()
+                window += reversed(new)
+        return self.merge(b"".join([self.tokens[x] for x in a + b]))  # not known to happen
 
     def encode_piece(self, s: bytes) -> tuple[int, ...]:
         if (n := self.ranks.get(s)) is not None:
@@ -97,7 +121,7 @@ class Codec:
             return known
         half = len(s) // 2
         out = self.join(self.encode_piece(s[:half]), self.encode_piece(s[half:]))
-        if len(s) <= 16:
+        if len(s) <= STRING:
             self.string_bytes += ENTRY + len(s) + 8 * len(out)
             if self.string_bytes >= STRING_BYTES:
                 self.strings.clear()
@@ -182,8 +206,9 @@ def encode(docs: DataFrame, path: str, pattern: str, column: str = "text") -> Da
     """docs with column replaced by ids: its encoding as little-endian unsigned 32-bit integers, binary.
 
     Each match of pattern is encoded separately, without special tokens. Null and empty texts have no ids.
-    Other columns and all rows stay, repeated ones too.
+    Other columns and all rows stay, repeated ones too; but one named ids would clash and goes, as the new one takes its place.
     """
+    docs = docs.drop("ids") if column != "ids" else docs
     others = docs.drop(column)
     schema = ", ".join([*(f"`{n}` {t}" for n, t in others.dtypes), "ids binary"])
 
@@ -197,7 +222,8 @@ def encode(docs: DataFrame, path: str, pattern: str, column: str = "text") -> Da
 
 
 def decode(df: DataFrame, path: str, pattern: str, column: str = "ids") -> DataFrame:
-    """df with the column of ids kept and decoded beside it, the bytes they stand for; null ids are none."""
+    """df with the column of ids kept and decoded beside it, the bytes they stand for; null ids are none, and another column decoded goes."""
+    df = df.drop("decoded")
     schema = ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), "decoded binary"])
 
     def start() -> Callable[[bytes | None], bytes]:
