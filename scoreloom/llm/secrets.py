@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +30,9 @@ KINDS = ("assign", "access", "hex", "weak_secret", "weak_identifier")
 #: Weak parts. A secret mixes cases and digits; an identifier is named as one; an endpoint is a URL or a host with a port.
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[a-z])(?=[A-Za-z0-9+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{20,}")
 WEAK_IDENTIFIER = re.compile(r"""(?:user(?:name)?|login|client_?id|account|access_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}""", re.IGNORECASE | re.ASCII)
-ENDPOINT = re.compile(r"(?:https?|ftp|postgres|mysql|redis|amqp|mongodb)://[^\s\"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b")
+URL = re.compile(r"(?:https?|ftp|postgres|mysql|redis|amqp|mongodb)://[^\s\"'<>]+")
+PORT = re.compile(r":[0-9]{2,5}\b")
+HOST_SIGNS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789.-")
 SCOPE = re.compile(r"\n[ \t]*\n")
 REACH = 200
 
@@ -45,19 +48,60 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(spans)
 
 
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """(start, end) of URLs and of hosts with a port, in order. A host is read from its port backwards, so that each character is read once."""
+    urls = [m.span() for m in URL.finditer(text)] if "://" in text else []
+    starts = [s for s, _ in urls]
+    out, at = list(urls), 0
+    for m in PORT.finditer(text):
+        start = m.start()
+        while start > at and text[start - 1] in HOST_SIGNS:
+            start -= 1
+        host = text[start : m.start()]
+        start += host.rfind("..") + 2 if ".." in host else 0
+        while start < m.start() and (text[start] == "." or (text[start] != "-") == (start > 0 and (text[start - 1].isalnum() or text[start - 1] == "_"))):
+            start += 1  # a host begins at the edge of a word
+        host = text[start : m.start()]
+        k = bisect_right(starts, start) - 1
+        if "." in host and not host.endswith(".") and (k < 0 or urls[k][1] <= start):
+            out.append((start, m.end()))
+            at = m.end()
+    return sorted(out)
+
+
+class _Spans:
+    """Spans merged where they overlap or touch; what a span meets is found by search."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect_right(self.starts, end - 1) - 1
+        return k >= 0 and self.ends[k] > start
+
+    def holds(self, start: int, end: int) -> bool:
+        k = bisect_right(self.starts, start) - 1
+        return k >= 0 and end <= self.ends[k]
+
+
 def parts(text: str, base: list[tuple[int, int, str]]) -> list[dict]:
     """The credential's parts in text with their scopes, if parts of two roles are there; else none."""
     out = [{"kind": KINDS[k], "role": "identifier" if k == 1 else "secret", "start": s, "end": e} for s, k, e in base]
-    taken = [(s, e) for s, _, e in base]
-    clear = lambda m: not any(s < m.end() and m.start() < e for s, e in taken)
-    ends = [m for m in ENDPOINT.finditer(text)] if "://" in text or ":" in text else []
-    names = [m for m in WEAK_IDENTIFIER.finditer(text)]
+    ends = endpoints(text) if ":" in text else []
+    names = [m.span() for m in WEAK_IDENTIFIER.finditer(text)]
     if not (ends or names or any(x["role"] == "identifier" for x in out)):
         return []
-    out += [{"kind": "endpoint", "role": "endpoint", "start": m.start(), "end": m.end()} for m in ends]
-    out += [{"kind": "weak_identifier", "role": "identifier", "start": m.start(), "end": m.end()} for m in names if clear(m)]
-    within = lambda m: any(x.start() <= m.start() and m.end() <= x.end() for x in ends)
-    out += [{"kind": "weak_secret", "role": "secret", "start": m.start(), "end": m.end()} for m in WEAK_SECRET.finditer(text) if clear(m) and not within(m)]
+    taken, hosts = _Spans([(s, e) for s, _, e in base]), _Spans(ends)
+    out += [{"kind": "endpoint", "role": "endpoint", "start": s, "end": e} for s, e in ends]
+    out += [{"kind": "weak_identifier", "role": "identifier", "start": s, "end": e} for s, e in names if not taken.meets(s, e)]
+    secrets = [m.span() for m in WEAK_SECRET.finditer(text)]
+    out += [{"kind": "weak_secret", "role": "secret", "start": s, "end": e} for s, e in secrets if not taken.meets(s, e) and not hosts.holds(s, e)]
     if len({x["role"] for x in out}) < 2 or not any(x["kind"].startswith("weak_") for x in out):
         return []
     out.sort(key=lambda x: (x["start"], x["end"], x["kind"]))
