@@ -2,14 +2,14 @@
 
 A page is cut into blocks at its block-level tags. The first pass classifies each block by its place
 (landmark tags, names in class, id and role), length, link density and stop-word density as good, bad or
-ambiguous. In the second pass ambiguous short blocks inherit the label of the nearest decided neighbours.
+ambiguous. A name that only holds a word of boilerplate may be a sidebar's, or a page's that has one (`right-sidebar`): such a
+container is boilerplate unless it holds most of the text around it, and of its main text. In the second pass ambiguous short blocks inherit the label of the nearest decided neighbours.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -39,19 +39,17 @@ RAW = frozenset("script style noscript template iframe textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end where the next of their kind begins.
 ENDED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
-#: So many open elements are looked at for the one that an end tag means.
-REACH = 64
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog".split())
 BOILERPLATE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion sidebar sidebars side widget widgets rail menu menus nav navbar "
     "navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist respond reply replies disqus discussion cookie cookies consent gdpr notice "
     "notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager copyright legal "
-    "skip search complementary contentinfo tags".split()
+    "skip search complementary contentinfo tags reviews".split()
 )
 #: First words of names that tell of a layout or a subject, and last words that deny what stands before.
 MODIFIERS = frozenset("has with without no not is category tag tags page".split())
 DENIALS = frozenset("none no off hidden".split())
-COMMENT_NAMES = frozenset("comment comments commentlist respond reply replies disqus".split())
+COMMENT_NAMES = frozenset("comment comments commentlist respond reply replies reviews disqus".split())
 MAIN_NAMES = frozenset("article main content post entry story articlebody bodytext".split())
 HEADER_NAMES = frozenset("header head".split())
 
@@ -59,6 +57,8 @@ HEADER_NAMES = frozenset("header head".split())
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.2, 0.3, 0.33
 #: Within the main container only blocks that are nearly all links are bad.
 LINKS_IN_MAIN = 0.8
+#: A container whose name is in doubt holds more than this share of the text around it, or is boilerplate.
+MOST = 0.5
 
 # A tag begins with its name; attributes follow. A quote counts only after an equals sign.
 _TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -101,31 +101,60 @@ def _names(attributes: dict[str, str]) -> tuple[set[str], set[str]]:
     return whole, parts
 
 
-def _kind(name: str, attributes: dict[str, str], outer: str) -> str:
-    """The place inside an element: main, boilerplate, open, hidden, or muted for hidden text inside a block."""
+def _kind(name: str, attributes: dict[str, str], outer: str) -> tuple[str, bool]:
+    """The place inside an element: main, boilerplate, open, hidden, or muted for hidden text inside a block; and whether a part of its name puts it in doubt."""
     if outer in ("boilerplate", "hidden", "muted") or not attributes and name not in BLOCKS:
-        return outer
+        return outer, False
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(attributes.get("style", "")):
-        return "hidden" if name in BLOCKS else "muted"
+        return "hidden" if name in BLOCKS else "muted", False
     if name not in BLOCKS:
-        return outer
+        return outer, False
     role = attributes.get("role", "").lower()
     whole, parts = _names(attributes)
     if name in ("html", "body", "article", "main"):  # their names tell of the layout, but comments may be articles
         whole, parts = whole & COMMENT_NAMES, parts & COMMENT_NAMES
     if name in BOILERPLATE_TAGS or role in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "dialog", "alert") or whole & BOILERPLATE_NAMES:
-        return "boilerplate"
+        return "boilerplate", False
+    doubt = bool(parts & BOILERPLATE_NAMES)
     if name not in CONTAINERS:
-        return outer
-    if name in ("article", "main") and not parts & BOILERPLATE_NAMES or role in ("main", "article") or whole & MAIN_NAMES:
-        return "main"
-    if parts & BOILERPLATE_NAMES:
-        return "boilerplate"
+        return outer, doubt
+    if name in ("article", "main") or role in ("main", "article") or whole & MAIN_NAMES:
+        return "main", doubt and not (role in ("main", "article") or whole & MAIN_NAMES)
     if parts & MAIN_NAMES:
-        return "main"
-    if outer != "main" and (name == "header" or (whole | parts) & HEADER_NAMES):
-        return "boilerplate"
-    return outer
+        return "main", doubt
+    if outer != "main" and (name == "header" or whole & HEADER_NAMES):
+        return "boilerplate", False
+    return outer, doubt or outer != "main" and bool(parts & HEADER_NAMES)
+
+
+class Doubt(NamedTuple):
+    """A container that its name puts in doubt: the place around it, and the doubt that it is in (-1: none)."""
+
+    outer: str
+    within: int
+
+
+def _resolved(found: list[tuple[Block, int]], doubts: list[Doubt]) -> list[Block]:
+    """The blocks, each with the doubt that it stands in (-1: none), with every doubt decided from the outermost on."""
+    if not doubts:
+        return [b for b, _ in found]
+    around = [0] * len(doubts)  # plain characters beside and in a container, in the same place
+    inside, main_inside = [0] * len(doubts), [0] * len(doubts)
+    total = {"": 0, "main": 0}
+    plain = [(0 if b.place in ("boilerplate", "hidden") else len(b.text) - b.links) for b, _ in found]
+    for (b, at), n in zip(found, plain, strict=True):
+        total[""] += n
+        total["main"] += n if b.place == "main" else 0
+        while at >= 0:
+            inside[at] += n
+            main_inside[at] += n if b.place == "main" else 0
+            at = doubts[at].within
+    fine: list[bool] = []
+    for k, d in enumerate(doubts):
+        around[k] = total["main"] if d.outer == "main" else total[""]
+        most_main = d.outer == "main" or not total["main"] or main_inside[k] > MOST * total["main"]
+        fine.append((d.within < 0 or fine[d.within]) and most_main and inside[k] > MOST * around[k])
+    return [b if at < 0 or fine[at] else b._replace(place="boilerplate") for b, at in found]
 
 
 def blocks(page: str) -> list[Block]:
@@ -133,19 +162,21 @@ def blocks(page: str) -> list[Block]:
 
     The page is read once from left to right, however broken it is. A page without any tag is one block of its main text.
     """
-    out: list[Block] = []
+    out: list[tuple[Block, int]] = []
     texts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, str]] = []  # open elements and the place inside each
-    opened: Counter[str] = Counter()
+    stack: list[tuple[str, str, int]] = []  # open elements, the place inside each, and the last doubt
+    doubts: list[Doubt] = []
+    opened: dict[str, list[int]] = {}  # the places in it of each name, and of containers
+    containers: list[int] = []
     unclosed: set[str] = set()
-    place, links, at, head, tags, size = "open", 0, 0, False, 0, len(page)
+    place, doubt, links, at, head, tags, size = "open", -1, 0, 0, False, 0, len(page)
 
     def flush() -> None:
         if texts:
             text = " ".join(html.unescape("".join(texts)).split())
             if text and place != "hidden" and not head:
-                out.append(Block(text, len(" ".join(html.unescape("".join(linked)).split())) if linked else 0, place if tags else "main"))
+                out.append((Block(text, len(" ".join(html.unescape("".join(linked)).split())) if linked else 0, place if tags else "main"), doubt))
             texts.clear()
             linked.clear()
 
@@ -157,16 +188,14 @@ def blocks(page: str) -> list[Block]:
 
     def close(names: tuple[str, ...], through: bool) -> None:
         """Ends the innermost element of these names; not one outside of the container, unless through."""
-        if not any(opened[x] for x in names):
+        k = max((opened[x][-1] for x in names if opened.get(x)), default=-1)
+        if k < 0 or not through and containers and containers[-1] > k:
             return
-        for k in range(len(stack) - 1, -1 if through else max(-1, len(stack) - 1 - REACH), -1):
-            if stack[k][0] in names:
-                for x, _ in stack[k:]:
-                    opened[x] -= 1
-                del stack[k:]
-                return
-            if not through and stack[k][0] in CONTAINERS:
-                return
+        for x, *_ in stack[k:]:
+            opened[x].pop()
+        while containers and containers[-1] >= k:
+            containers.pop()
+        del stack[k:]
 
     while at < size:
         lt = page.find("<", at)
@@ -219,15 +248,23 @@ def blocks(page: str) -> list[Block]:
                     close(("p",), False)
                 if name in ENDED:
                     close(ENDED[name], False)
-                kind = _kind(name, attributes, stack[-1][1] if stack else "open")
-                stack.append((name, kind))
-                opened[name] += 1
-            place = stack[-1][1] if stack else "open"
+                _, outer, doubt = stack[-1] if stack else ("", "open", -1)
+                kind, unsure = _kind(name, attributes, outer)
+                if name == "main" or attributes.get("role", "").lower() == "main":
+                    doubt = -1  # whatever the names around it
+                if unsure:
+                    doubts.append(Doubt(outer, doubt))
+                    doubt = len(doubts) - 1
+                opened.setdefault(name, []).append(len(stack))
+                if name in CONTAINERS:
+                    containers.append(len(stack))
+                stack.append((name, kind, doubt))
+            _, place, doubt = stack[-1] if stack else ("", "open", -1)
         elif name in BLOCKS:
             flush()
     add(page[at:])
     flush()
-    return out
+    return _resolved(out, doubts)
 
 
 def density(text: str) -> float:
