@@ -45,7 +45,6 @@ SPARSE = 60
 UNFITTED = (-1.5, 1.0)
 #: At most so many labelled documents, the first by a hash of doc_id, teach the lexicon.
 MAX_LABELLED = 20_000
-MAX_TERMS = 5_000
 #: Evidence counts within these bounds.
 LIMIT = 30.0
 
@@ -170,7 +169,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
     A document with several labels is toxic if one of them says so, and equal texts count once; labels without a document, or null,
     teach nothing. Without toxic examples the lexicon is SEEDS and the score's curve UNFITTED. What reaches the
-    driver is at most MAX_TERMS terms with their counts, phrases, and the numbers of documents by bin of evidence.
+    driver are terms that a share of the toxic examples hold and phrases that three examples hold, all of them, and the numbers of documents by bin of
+    evidence: max_labelled bounds them all.
     """
     marks = held_out(labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic")).where("not held_out")
     marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -190,7 +190,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         dense = (F.col("p") >= max(MIN_TOXIC, MIN_SHARE * pos)) & (F.col("w") >= MIN_LOG_ODDS)
         # words that hardly any other document holds need not be dense
         told = F.col("term").endswith(" ") & (F.col("any_p") >= 2 * max(MIN_TOXIC, MIN_SHARE * pos)) & (F.col("any_q") == 0)
-        sure = rows.where(dense | told).orderBy(F.desc("w"), "term").limit(MAX_TERMS).collect()
+        sure = rows.where(dense | told).collect()
         chosen = choose({r["term"]: (r["p"], r["q"], r["w"]) for r in sure})
         rates = {r["term"]: ((r["k1"] + START) / (r["words1"] + START_WORDS), (r["k0"] + START) / (r["words0"] + START_WORDS)) for r in sure if r["term"] in chosen}
         keep = {t: math.log(a / b) for t, (a, b) in rates.items() if a > b}
@@ -198,9 +198,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         keep = {f"{w} ": PRIOR for w in SEEDS if f"{w} " not in against} | keep
         phrases = (
             sample.mapInArrow(_phrases(keep), "toxic int, term string").groupBy("term").agg(F.count_if(bad).alias("p"), F.count_if(good).alias("q"))
-            .where((F.col("p") == 0) & (F.col("q") >= 3)).orderBy(F.desc("q"), "term").limit(MAX_TERMS).collect()
+            .where((F.col("p") == 0) & (F.col("q") >= 3)).collect()
         )
-        lexicon = Lexicon(keep, tuple(r["term"] for r in phrases), 0.0, 1.0, {t: rates[t][0] - rates[t][1] for t in keep if t in rates})
+        lexicon = Lexicon(keep, tuple(sorted(r["term"] for r in phrases)), 0.0, 1.0, {t: rates[t][0] - rates[t][1] for t in keep if t in rates})
         found = sample.mapInArrow(_evidence(lexicon), "toxic int, x double").where("x is not null")
         bins = found.groupBy("toxic", F.floor(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), "x")) * 4).alias("b")).count().collect()
         if not bins:
