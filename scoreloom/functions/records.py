@@ -173,7 +173,7 @@ def submission_check(model: Column, sources: Column, mode: Column, entry: str =
     text = F.array_join(F.map_values(sources), "\n")
     of = lambda suffix: F.map_filter(sources, lambda k, _: F.endswith(k, F.lit(suffix)))
     api, in_files, in_ffi = binding_api(text), mode.isin("files", "inline"), mode == "tvm_ffi"
-    fault, unended = code.syntax_error(model), code.open_call_in(F.to_json(sources), "REGISTER_BINDING")
+    fault, unended = code.syntax_error(model), code.open_call_in(F.to_json(of(".cpp")), "REGISTER_BINDING")
     rules = [
         (F.coalesce(model, F.lit("")) == "", F.lit(MESSAGES["no_code"]), "VALIDATION_ERROR"),
         (~F.contains(model, F.lit(f"class {entry}")), F.lit(f"Code must contain a '{entry}' class"), "VALIDATION_ERROR"),

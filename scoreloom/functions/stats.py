@@ -60,9 +60,10 @@ def all_close(x: Column, y: Column, rtol: float = 1e-4, atol: float = 1e-5) -> C
     return (F.size(x) == F.size(y)) & F.forall(pairs, lambda p: F.coalesce(p, F.lit(False)))
 
 
-def timing_stats(x: Column) -> list[Column]:
-    """Mean, population deviation, least, greatest and count."""
-    return [F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.count(x).alias("n")]
+def timing_stats(x: Column, digits: int | None = None) -> list[Column]:
+    """Mean, population deviation, least, greatest, all at so many significant digits if given, and count."""
+    shown = lambda c: significant(c, digits) if digits else c
+    return [shown(F.avg(x)).alias("mean"), shown(F.stddev_pop(x)).alias("std"), shown(F.min(x)).alias("min"), shown(F.max(x)).alias("max"), F.count(x).alias("n")]
 
 
 def metric_summary(x: Column) -> list[Column]:

@@ -36,19 +36,48 @@ def lookup(rows: DataFrame, tables: list[DataFrame], key: str, value: str) -> Da
     return out.withColumn(value, F.coalesce(*[F.col(f"__{i}") for i in range(len(tables))])).drop(*[f"__{i}" for i in range(len(tables))])
 
 
-def interval_join(left: DataFrame, right: DataFrame, on: list[str], a: tuple[str, str], b: tuple[str, str], width: int) -> DataFrame:
+def pieces(low: Column, high: Column) -> Column:
+    """The numbers from low to high as array of struct(level, at): disjoint runs from at 2^level on, 2^level long each, at most two of a level."""
+    shift = lambda x, k: F.call_function("shiftright", x, k)
+    odd = lambda x: x.bitwiseAND(F.lit(1).cast("long")) == 1
+
+    def of(k: Column) -> Column:
+        first, past = -shift(-low, k), shift(high + 1, k)  # what is left of the run at this level
+        left = F.when((first < past) & odd(first), F.struct(k.alias("level"), first.alias("at")))
+        right = F.when((first < past) & odd(past), F.struct(k.alias("level"), (past - 1).alias("at")))
+        return F.array(left, right)
+
+    levels = F.sequence(F.lit(0), F.floor(F.log2((high - low + 2).cast("double"))).cast("int"))
+    return F.array_compact(F.flatten(F.transform(levels, of)))
+
+
+def interval_join(left: DataFrame, right: DataFrame, on: list[str], a: tuple[str, str], b: tuple[str, str], unit: int | None = None) -> DataFrame:
     """Rows of left and right, equal on the columns `on`, whose closed intervals overlap.
 
-    a and b name the integer start and end columns of left and right, which must differ. Both sides are cut
-    into buckets of the given width and joined on them; a pair is kept in the bucket of the later start alone,
-    so that it comes once and nothing is compared beyond its bucket.
+    a and b name the integer start and end columns of left and right, which must differ. Two intervals overlap if one begins within
+    the other, so that pairs come from two joins of starts with intervals: those that begin in a left one, and left starts after a right one's. Intervals are
+    cut into runs of cells of `unit` numbers, two for each power of two at most, however long they are; a start looks in the run of each size
+    that some interval has. The unit is a quarter of the usual length unless given.
     """
-    bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
-    one = left.where(F.col(a[1]) >= F.col(a[0])).withColumn("__bucket", F.explode(F.sequence(bucket(a[0]), bucket(a[1]))))
-    two = right.where(F.col(b[1]) >= F.col(b[0])).withColumn("__bucket", F.explode(F.sequence(bucket(b[0]), bucket(b[1]))))
-    later = F.greatest(F.col(a[0]), F.col(b[0]))
-    joined = one.join(two, [*on, "__bucket"]).where((F.col(a[0]) <= F.col(b[1])) & (F.col(b[0]) <= F.col(a[1])))
-    return joined.where(F.col("__bucket") == F.floor(later / F.lit(width))).drop("__bucket")
+    one, two = left.where(F.col(a[1]) >= F.col(a[0])), right.where(F.col(b[1]) >= F.col(b[0]))
+    if unit is None:
+        length = lambda df, c: df.select((F.col(c[1]) - F.col(c[0]) + 1).cast("double").alias("n"))
+        usual = length(one, a).unionByName(length(two, b)).agg(F.avg(F.log2("n"))).first()[0]
+        unit = max(1, int(2 ** ((usual or 0) - 2)))
+    cell = lambda x: F.floor(x / F.lit(unit)).cast("long")
+    shift = lambda x, k: F.call_function("shiftright", x, k)
+
+    def meet(spans: DataFrame, of: tuple[str, str], starts: DataFrame, start: str) -> DataFrame:
+        runs = spans.withColumn("__run", F.explode(pieces(cell(F.col(of[0])), cell(F.col(of[1])))))
+        sizes = sorted(r[0] for r in runs.select("__run.level").distinct().collect())  # 63 at most
+        if not sizes:
+            sizes = [0]
+        at = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), shift(cell(F.col(start)), F.lit(k)).alias("at")) for k in sizes]))
+        return runs.join(starts.withColumn("__run", at), [*on, "__run"]).drop("__run")
+
+    began = meet(one, a, two, b[0]).where((F.col(b[0]) >= F.col(a[0])) & (F.col(b[0]) <= F.col(a[1])))
+    later = meet(two, b, one, a[0]).where((F.col(a[0]) > F.col(b[0])) & (F.col(a[0]) <= F.col(b[1])))
+    return began.unionByName(later.select(*began.columns))
 
 
 def fuzzy_match(a: Column, b: Column) -> Column:
@@ -97,7 +126,10 @@ def numbered(df: DataFrame, order: str, parts: int = 64) -> DataFrame:
     Rows fall between approximate quantiles, of which the driver gets parts - 1, are numbered there, and start
     from the count of the rows before.
     """
-    parted = df.withColumn("__part", ordered.range_of(df, order, parts))
+    part = ordered.range_of(df, order, parts)
+    if part is None:
+        return df.withColumn("position", F.row_number().over(Window.orderBy(order)).cast("long"))
+    parted = df.withColumn("__part", part)
     within = parted.withColumn("__i", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
     counts = parted.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

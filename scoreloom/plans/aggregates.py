@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.functions import stats, text
-from scoreloom.operators import ordered
+from scoreloom.functions import code, stats, text
+from scoreloom.operators import documents, ordered
 from scoreloom.plans.registry import query
 from scoreloom.session import table
 
@@ -15,10 +15,11 @@ def r(c, d: int = 4):
     return F.round(c, d)
 
 
-@query("a01_timing_stats", "SELECT l_suppkey, round(avg(l_quantity), 4) AS mean, round(stddev_pop(l_quantity), 4) AS std, min(l_quantity) AS min, max(l_quantity) AS max, count(l_quantity) AS n FROM lineitem GROUP BY l_suppkey")
+@query("a01_timing_stats", """SELECT l_suppkey, CAST(printf('%.2e', avg(l_extendedprice)) AS DOUBLE) AS mean, CAST(printf('%.2e', stddev_pop(l_extendedprice)) AS DOUBLE) AS std, CAST(printf('%.2e', min(l_extendedprice)) AS DOUBLE) AS min,
+CAST(printf('%.2e', max(l_extendedprice)) AS DOUBLE) AS max, count(l_extendedprice) AS n FROM lineitem GROUP BY l_suppkey""")
 def a01(spark: SparkSession, d: str) -> DataFrame:
-    out = table(spark, d, "lineitem").groupBy("l_suppkey").agg(*stats.timing_stats(F.col("l_quantity")))
-    return out.withColumns({"mean": r(F.col("mean")), "std": r(F.col("std"))})
+    """Statistics of times at three significant digits, and their number."""
+    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(*stats.timing_stats(F.col("l_extendedprice"), 3))
 
 
 @query("a02_metric_summary", """SELECT l_returnflag, l_linestatus, count(l_extendedprice) AS n, min(l_extendedprice) AS min, round(avg(l_extendedprice), 3) AS avg,
@@ -161,7 +162,9 @@ def a21(spark: SparkSession, d: str) -> DataFrame:
 @query("a22_stage_costs", """WITH m AS (SELECT o_orderstatus, o_orderpriority, median(o_totalprice) AS md, avg(o_totalprice) AS mn FROM orders GROUP BY 1, 2), p AS (SELECT o_orderpriority, max(CASE WHEN o_orderstatus = 'F' THEN md END) AS f, max(CASE WHEN o_orderstatus = 'O' THEN md END) AS o,
 max(CASE WHEN o_orderstatus = 'F' THEN mn END) AS fm, max(CASE WHEN o_orderstatus = 'O' THEN mn END) AS om FROM m GROUP BY 1) SELECT o_orderpriority AS stage, round(f - o, 3) AS median_delta, round(fm - om, 3) AS mean_delta FROM p ORDER BY 2 DESC, 1""")
 def a22(spark: SparkSession, d: str) -> DataFrame:
-    wide = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("stage")).pivot("o_orderstatus", ["F", "O"]).agg(F.median("o_totalprice").alias("md"), F.avg("o_totalprice").alias("mn"))
+    rows = table(spark, d, "orders").where("o_orderstatus IN ('F', 'O')").select(F.col("o_orderpriority").alias("stage"), "o_orderstatus", "o_totalprice")
+    modes = ordered.summaries(rows, ["stage", "o_orderstatus"], "o_totalprice", [F.avg("o_totalprice").alias("mn")], {}, "md")
+    wide = modes.groupBy("stage").pivot("o_orderstatus", ["F", "O"]).agg(F.max("md").alias("md"), F.max("mn").alias("mn"))
     return wide.select("stage", r(F.col("F_md") - F.col("O_md"), 3).alias("median_delta"), r(F.col("F_mn") - F.col("O_mn"), 3).alias("mean_delta")).orderBy(F.desc("median_delta"), "stage")
 
 
@@ -203,6 +206,28 @@ def a28(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n_bytes"), F.sum(F.char_length("text")).alias("n_chars"))
 
 
+@query("a28_nested_bytes", "SELECT event_id, k + 1 AS n_tensors, 2 * k + 1 AS depth, 8 * k + 8 * user_id AS n_bytes FROM (SELECT event_id, user_id, event_id % 8 AS k FROM events)")
+def a28_nested(spark: SparkSession, d: str) -> DataFrame:
+    """The bytes of all tensors in a structure of objects and arrays, up to 15 deep."""
+    k = (F.col("event_id") % 8).cast("int")
+    inner = F.concat(F.lit('{"numel":'), F.col("user_id").cast("string"), F.lit(',"size":8}'))
+    document = F.concat(F.repeat(F.lit('{"t":{"numel":2,"size":4},"inner":['), k), inner, F.repeat(F.lit("]}"), k))
+    found = documents.leaves(table(spark, d, "events").select("event_id", document.alias("document")), ["event_id"], "document")
+    value = lambda name: F.max(F.when(F.endswith("path", F.lit(f".{name}")), F.col("value").cast("long")))
+    tensors = found.groupBy("event_id", F.regexp_replace("path", r"\.(numel|size)$", "").alias("tensor")).agg((value("numel") * value("size")).alias("n"), F.max("depth").alias("depth"))
+    return tensors.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_tensors"), F.max("depth").cast("long").alias("depth"), F.sum("n").alias("n_bytes"))
+
+
+@query("p17_leaves", """SELECT event_id, '$.a[0].k' AS path, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, '$.a[1].list[' || i || ']', '' || (event_id + i) FROM events, (SELECT unnest(range(0, 3)) AS i) WHERE i < event_id % 4
+UNION ALL SELECT event_id, '$.a[1].list', '[]' FROM events WHERE event_id % 4 = 0""")
+def p17_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """The leaves of documents, without artifact keys at any depth."""
+    items = F.transform(F.slice(F.array(*map(F.lit, range(3))), F.lit(1), (F.col("event_id") % 4).cast("int")), lambda i: (F.col("event_id") + i).cast("string"))
+    document = F.concat(F.lit('{"session": {"x": 1}, "a": [{"code": {"z": [2]}, "k": '), F.get_json_object("props", "$.k"), F.lit('}, {"list": ['), F.array_join(items, ","), F.lit("]}]}"))
+    found = documents.leaves(table(spark, d, "events").select("event_id", document.alias("document")), ["event_id"], "document")
+    return documents.without(found, code.ARTIFACT_KEYS).select("event_id", "path", "value")
+
+
 @query("a29_distinct_lists", "SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS types FROM events GROUP BY 1")
 def a29(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("types"))

@@ -14,29 +14,39 @@ from scoreloom.sources import files
 
 @query(
     "p02_flat_response",
-    """SELECT o_orderkey AS task_id, 'plain' AS scenario, o_orderkey % 2 = 0 AS split_requested, round(o_totalprice / 7, 3) AS elapsed_sec,
-    CASE WHEN o_orderkey % 5 = 0 THEN 'http_error' ELSE 'completed' END AS status, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus = 'F' END AS compiled,
-    CAST(NULL AS BOOLEAN) AS correctness, CAST(NULL AS VARCHAR) AS error_code, CASE WHEN o_orderkey % 7 = 0 THEN 'Worker shutdown: ' || o_orderkey END AS error_message,
-    o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 AS infra_error, o_orderkey % 3 = 0 AS metadata_compile_only, CAST(NULL AS VARCHAR) AS metadata_task_stage,
-    CASE WHEN o_orderkey % 4 = 0 THEN 'ninja' ELSE 'direct' END AS build_backend, '{"build_backend":"direct","total_sec":' || CAST(CAST(o_custkey AS DOUBLE) AS VARCHAR) || '}' AS compile_timing,
-    CASE WHEN o_orderkey % 2 = 0 THEN 'w1' ELSE 'inline' END AS worker_id, CAST(NULL AS VARCHAR) AS worker_device FROM orders""",
+    """WITH o AS (SELECT *, o_orderkey % 2 = 0 AS even, o_orderkey % 3 = 0 AS third, o_orderkey % 4 = 0 AS fourth, o_orderkey % 5 = 0 AS bad, o_orderkey % 7 = 0 AS down FROM orders)
+    SELECT o_orderkey AS task_id, 'plain' AS scenario, even AS split_requested, o_orderkey % 10 AS sample_idx, o_custkey AS source_row, third AS feedback_compiled, round(o_totalprice / 7, 3) AS elapsed_sec,
+    CASE WHEN bad THEN 'http_error' ELSE 'completed' END AS status, CASE WHEN NOT bad THEN o_orderstatus = 'F' END AS compiled, CASE WHEN NOT bad THEN o_orderstatus <> 'P' END AS correctness, CASE WHEN down THEN 'E7' END AS error_code,
+    CASE WHEN down THEN 'Worker shutdown: ' || o_orderkey END AS error_message, bad OR down AS infra_error, even AS metadata_split_compile_and_execute, fourth AS metadata_precompiled_artifact_used, CASE WHEN third THEN true END AS metadata_inline_gpu_execute_completed,
+    fourth AS metadata_compile_artifact_cache_hit, true AS metadata_compile_artifact_cache_enabled, third AS metadata_compile_only, CASE WHEN even THEN 'compile' END AS metadata_task_stage, CASE WHEN fourth THEN 'ninja' ELSE 'direct' END AS build_backend,
+    '{"build_backend":"direct","total_sec":' || CAST(CAST(o_custkey AS DOUBLE) AS VARCHAR) || '}' AS compile_timing, CASE WHEN even THEN 'w1' ELSE 'inline' END AS worker_id, CASE WHEN third THEN 'cuda:1' ELSE 'cpu' END AS worker_device,
+    '{"status":"' || CASE WHEN bad THEN 'http_error' ELSE 'completed","compiled":' || (o_orderstatus = 'F') || ',"correctness":' || (o_orderstatus <> 'P') END || CASE WHEN bad THEN '"' ELSE '' END || CASE WHEN down THEN ',"error_code":"E7","error_message":"Worker shutdown: ' || o_orderkey || '"' ELSE '' END
+    || ',"metadata":{"split_compile_and_execute":' || even || ',"precompiled_artifact_used":' || fourth || CASE WHEN third THEN ',"inline_gpu_execute_completed":true' ELSE '' END || ',"compile_artifact_cache_hit":' || fourth || ',"compile_artifact_cache_enabled":true,"compile_only":' || third
+    || CASE WHEN even THEN ',"task_stage":"compile"' ELSE '' END || ',"compile_artifact":{"build_backend":"' || CASE WHEN fourth THEN 'ninja' ELSE '' END || '","compile_timing":{"build_backend":"direct","total_sec":' || CAST(CAST(o_custkey AS DOUBLE) AS VARCHAR) || '}}'
+    || CASE WHEN even THEN ',"worker_id":"w1"' ELSE '' END || ',"inline_compile_worker_id":"inline"' || CASE WHEN third THEN ',"worker_device":"cuda:1"' ELSE '' END || ',"inline_compile_worker_device":"cpu"},"unknown":"x"}' AS raw_result FROM o""",
 )
 def p02(spark: SparkSession, d: str) -> DataFrame:
+    """All 25 columns of a response as a flat row."""
     k = F.col("o_orderkey")
+    even, third, fourth, bad, down = (k % n == 0 for n in (2, 3, 4, 5, 7))
     timing = F.struct(F.lit("direct").alias("build_backend"), F.col("o_custkey").cast("double").alias("total_sec"))
-    artifact = F.struct(F.when(k % 4 == 0, "ninja").otherwise("").alias("build_backend"), timing.alias("compile_timing"))
-    meta = F.struct((k % 3 == 0).alias("compile_only"), artifact.alias("compile_artifact"), F.when(k % 2 == 0, "w1").alias("worker_id"), F.lit("inline").alias("inline_compile_worker_id"))
-    message = F.when(k % 7 == 0, F.concat(F.lit("Worker shutdown: "), k.cast("string")))
+    artifact = F.struct(F.when(fourth, "ninja").otherwise("").alias("build_backend"), timing.alias("compile_timing"))
+    meta = F.struct(
+        even.alias("split_compile_and_execute"), fourth.alias("precompiled_artifact_used"), F.when(third, True).alias("inline_gpu_execute_completed"), fourth.alias("compile_artifact_cache_hit"), F.lit(True).alias("compile_artifact_cache_enabled"),
+        third.alias("compile_only"), F.when(even, "compile").alias("task_stage"), artifact.alias("compile_artifact"), F.when(even, "w1").alias("worker_id"), F.lit("inline").alias("inline_compile_worker_id"),
+        F.when(third, "cuda:1").alias("worker_device"), F.lit("cpu").alias("inline_compile_worker_device"),
+    )
+    message = F.when(down, F.concat(F.lit("Worker shutdown: "), k.cast("string")))
     body = F.to_json(F.struct(
-        F.when(k % 5 == 0, "http_error").otherwise("completed").alias("status"), F.when(k % 5 != 0, F.col("o_orderstatus") == "F").alias("compiled"),
-        message.alias("error_message"), meta.alias("metadata"), F.lit("x").alias("unknown"),
+        F.when(bad, "http_error").otherwise("completed").alias("status"), F.when(~bad, F.col("o_orderstatus") == "F").alias("compiled"), F.when(~bad, F.col("o_orderstatus") != "P").alias("correctness"),
+        F.when(down, "E7").alias("error_code"), message.alias("error_message"), meta.alias("metadata"), F.lit("x").alias("unknown"),
     ))
-    rows = table(spark, d, "orders").select(
-        k.alias("task_id"), F.lit("plain").alias("scenario"), (k % 2 == 0).alias("split_requested"), F.round(F.col("o_totalprice") / 7, 3).alias("elapsed_sec"), body.alias("body")
-    )
-    flat = rows.select("task_id", "scenario", "split_requested", "elapsed_sec", *records.flat_response(F.col("body")))
-    told = ("status", "compiled", "correctness", "error_code", "error_message", "infra_error", "metadata_compile_only", "metadata_task_stage", "build_backend", "compile_timing", "worker_id", "worker_device")
-    return flat.select("task_id", "scenario", "split_requested", "elapsed_sec", *told)
+    own = [
+        k.alias("task_id"), F.lit("plain").alias("scenario"), even.alias("split_requested"), (k % 10).alias("sample_idx"), F.col("o_custkey").alias("source_row"), third.alias("feedback_compiled"),
+        F.round(F.col("o_totalprice") / 7, 3).alias("elapsed_sec"),
+    ]
+    rows = table(spark, d, "orders").select(*own, body.alias("body"))
+    return rows.select(*[c for c in rows.columns if c != "body"], *records.flat_response(F.col("body")))
 
 
 @query("p08_prefix_indexed", "SELECT i AS index, p_partkey FROM (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS i, p_partkey, p_type FROM part) WHERE p_type LIKE 'PROMO%'")
@@ -132,6 +142,7 @@ SUBMISSIONS = (
     ("import cuda_extension\nclass ModelNew:\n  pass", {"a.cu": "x", "b.cpp": '#include "../binding_registry.h"\nREGISTER_BINDING(f(1)) ;'}, "files"),
     ("import cuda_extension\nclass ModelNew:\n  pass", {"a.cu": "torch::Tensor x"}, "tvm_ffi"), ("import cuda_extension\nclass ModelNew:\n  pass", {"a.cu": "x"}, "TVM_FFI"),
     ("import cuda_extension\nclass ModelNew:\n  pass", {"a.cu": "tvm::ffi::Tensor x"}, "tvm_ffi"), ("import cuda_extension\nclass ModelNew:\n  pass", {"a.cu": "tvm::ffi::Tensor torch::Tensor"}, "tvm_ffi"),
+    ("import cuda_extension\nclass ModelNew:\n  pass", {"a.cu": "REGISTER_BINDING(f)", "b.cpp": '#include "../binding_registry.h"\nREGISTER_BINDING(f(1));'}, "files"),
 )
 
 
@@ -142,7 +153,7 @@ SUBMISSIONS = (
     (3, 'CUDA sources are required for CUDA-Agent compilation', 'VALIDATION_ERROR', 'unknown'), (4, 'CUDA-Agent sources must include at least one .cu file', 'VALIDATION_ERROR', 'unknown'),
     (5, 'binding source must include ../binding_registry.h', 'VALIDATION_ERROR', 'unknown'), (6, 'b.cpp:2 has REGISTER_BINDING(...) without a trailing '';''', 'SYNTAX_ERROR', 'python_extension'),
     (7, '', '', 'python_extension'), (8, 'source_mode=''tvm_ffi'' requires TVM-FFI exports instead of REGISTER_BINDING/pybind bindings', 'VALIDATION_ERROR', 'python_extension'),
-    (9, 'source_mode=''tvm_ffi'' requires TVM_FFI_DLL_EXPORT_TYPED_FUNC(...) or tvm::ffi Tensor bindings', 'VALIDATION_ERROR', 'unknown'), (10, '', '', 'tvm_ffi'), (11, '', '', 'mixed')) t(k, m, c, b) ON p_partkey % 12 = k""",
+    (9, 'source_mode=''tvm_ffi'' requires TVM_FFI_DLL_EXPORT_TYPED_FUNC(...) or tvm::ffi Tensor bindings', 'VALIDATION_ERROR', 'unknown'), (10, '', '', 'tvm_ffi'), (11, '', '', 'mixed'), (12, '', '', 'python_extension')) t(k, m, c, b) ON p_partkey % 13 = k""",
 )
 def f11(spark: SparkSession, d: str) -> DataFrame:
     none = F.from_json(F.lit("{}"), "map<string,string>")
@@ -179,9 +190,9 @@ def f23(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", records.same_structure(F.col("a"), F.col("b"), rows.schema["a"].dataType).alias("same"))
 
 
-@query("f25_significant", "SELECT o_orderkey, CASE WHEN o_totalprice >= 100000 THEN round(o_totalprice / 1000) * 1000 WHEN o_totalprice >= 10000 THEN round(o_totalprice / 100) * 100 ELSE round(o_totalprice / 10) * 10 END AS shown FROM orders WHERE o_totalprice >= 1000 AND o_totalprice <> floor(o_totalprice)")
+@query("f25_significant", "SELECT o_orderkey, CAST(printf('%.2e', o_totalprice) AS DOUBLE) AS shown, CAST(printf('%.2e', o_totalprice / 1e9) AS DOUBLE) AS small FROM orders")
 def f25(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").where("o_totalprice >= 1000 and o_totalprice <> floor(o_totalprice)").select("o_orderkey", stats.significant(F.col("o_totalprice")).alias("shown"))
+    return table(spark, d, "orders").select("o_orderkey", stats.significant(F.col("o_totalprice")).alias("shown"), stats.significant(F.col("o_totalprice") / 1e9).alias("small"))
 
 
 @query("f28_merge", "SELECT event_id, 'b' AS both, CASE WHEN event_id % 2 = 0 THEN 'a' END AS first_only, 'c' AS second_only FROM events")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.operators import ordered
 from scoreloom.plans.registry import query
 from scoreloom.session import table
-from scoreloom.sources import files
+from scoreloom.sources import cases, files, tables, tail
+from scoreloom.streaming import sinks
 
 
 @query("s01_parquet", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
@@ -57,36 +57,20 @@ def worker_seconds(rows: DataFrame) -> DataFrame:
     return files.worker_log(rows.sparkSession, path).groupBy("worker_id", "task_id").agg(F.max_by("seconds", F.struct("path", "line_no")).alias("seconds"))
 
 
-@query("s06_worker_log", "SELECT 'w' || (l_linenumber % 3) AS worker_id, 't' || l_orderkey || '_compile' AS task_id, max(l_quantity) AS seconds FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2")
-def s06(spark: SparkSession, d: str) -> DataFrame:
-    """The log has a line for every row; the SQL asks for the first of each order."""
-    return worker_seconds(table(spark, d, "lineitem").withColumn("done", F.col("l_linenumber") == 1))
-
-
 @query("s06_worker_log_whole", "SELECT 'w' || (l_linenumber % 3) AS worker_id, 't' || l_orderkey || '_compile' AS task_id, max(l_quantity) AS seconds FROM lineitem GROUP BY 1, 2")
 def s06_whole(spark: SparkSession, d: str) -> DataFrame:
     return worker_seconds(table(spark, d, "lineitem").withColumn("done", F.lit(True)))
 
 
-def first_workers(orders: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The first worker of each wanted task in a log of all orders, which names two for each."""
-    spark, path, task = orders.sparkSession, files.scratch(orders.sparkSession), F.concat(F.lit("t"), F.col("o_orderkey").cast("string"))
-    value = F.concat(F.lit("x\nWorker w1 took "), task, F.lit(" now\nWorker w2 took "), task, F.lit(" now"))
-    orders.select(value.alias("value")).write.text(path)
-    return files.log_search(spark, path, wanted.select(task.alias("task_id")), "*.txt")
-
-
-@query("s08_log_search", "SELECT 't' || min(o_orderkey) AS task_id, 'w1' AS worker FROM orders")
-def s08(spark: SparkSession, d: str) -> DataFrame:
-    """The first worker named in a line that holds a task's id."""
-    orders = table(spark, d, "orders").select("o_orderkey")
-    return first_workers(orders, orders.agg(F.min("o_orderkey").alias("o_orderkey")))
-
-
-@query("s08_log_search_whole", "SELECT 't' || o_orderkey AS task_id, 'w1' AS worker FROM orders GROUP BY o_orderkey")
+@query("s08_log_search_whole", "SELECT 't' || o_orderkey AS task_id, CASE WHEN o_orderkey % 3 = 0 THEN 'worker_' || (o_orderkey % 4) ELSE 'w1' END AS worker FROM orders")
 def s08_whole(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders").select("o_orderkey")
-    return first_workers(orders, orders)
+    """The first of two workers named with each task, or the name of the log of tasks that none is named with."""
+    folder, task = files.scratch(spark), F.concat(F.lit("t"), F.col("o_orderkey").cast("string"))
+    named = F.concat(F.lit("Worker w1 took "), task, F.lit(" now\nWorker w2 took "), task, F.lit(" now"))
+    line = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("took "), task, F.lit(" now"))).otherwise(named)
+    orders = table(spark, d, "orders").select("o_orderkey", task.alias("task_id"), F.format_string("worker_%d.log", F.col("o_orderkey") % 4).alias("file"), line.alias("line"))
+    orders.repartition("file").sortWithinPartitions("file", "o_orderkey").foreachPartition(lambda rows: tail.append_lines(folder, rows))
+    return files.log_search(spark, folder, orders, "*.log")
 
 
 def build_steps(rows: DataFrame) -> DataFrame:
@@ -99,12 +83,6 @@ def build_steps(rows: DataFrame) -> DataFrame:
     return files.build_log(rows.sparkSession, path)
 
 
-@query("s10_build_log", "SELECT l_partkey % 100 AS start_ms, l_partkey % 100 + CAST(l_quantity AS BIGINT) AS end_ms, CASE WHEN l_linenumber % 2 = 0 THEN 'a.cuda.o' ELSE 'b.o' END AS output FROM lineitem WHERE l_orderkey % 7 = 0 AND l_linenumber < 4")
-def s10(spark: SparkSession, d: str) -> DataFrame:
-    """A seventh of the orders, as its SQL asks; s10_build_log_whole has them all."""
-    return build_steps(table(spark, d, "lineitem").where("l_orderkey % 7 = 0"))
-
-
 @query("s10_build_log_whole", "SELECT l_partkey % 100 AS start_ms, l_partkey % 100 + CAST(l_quantity AS BIGINT) AS end_ms, CASE WHEN l_linenumber % 2 = 0 THEN 'a.cuda.o' ELSE 'b.o' END AS output FROM lineitem WHERE l_linenumber < 4")
 def s10_whole(spark: SparkSession, d: str) -> DataFrame:
     return build_steps(table(spark, d, "lineitem"))
@@ -139,13 +117,43 @@ def k02(spark: SparkSession, d: str) -> DataFrame:
     return files.jsonl(spark, path, "n_nationkey int, n_name string")
 
 
-@query("k03_summary_document")
-def k03(spark: SparkSession, d: str) -> DataFrame:
-    return files.summary_document(table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")))
-
-
 @query("k04_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'changed' ELSE c_mktsegment END AS c_mktsegment FROM customer UNION ALL SELECT -1, 'new'")
 def k04(spark: SparkSession, d: str) -> DataFrame:
+    """A stored table, its even keys changed and one added."""
     old = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
     new = old.where("c_custkey % 2 = 0").withColumn("c_mktsegment", F.lit("changed")).unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("c_custkey"), F.lit("new").alias("c_mktsegment")))
-    return ordered.upsert(old, new, ["c_custkey"])
+    stored = tables.KeyedTable(spark, files.scratch(spark), "c_custkey long, c_mktsegment string", ["c_custkey"], 16)
+    stored.upsert(old)
+    stored.upsert(new)
+    return stored.read()
+
+
+@query("s09_log_tail_files", "SELECT user_id, event_id, CAST(CASE WHEN event_id % 3 = 0 THEN 0 WHEN event_id % 3 = 1 THEN 1 ELSE 2 END AS INT) AS part FROM events")
+def s09_files(spark: SparkSession, d: str) -> DataFrame:
+    """A log a worker grows in three parts, and the logs of every fifth worker begin anew before the last: each line is read once, in its part."""
+    folder, state, out = files.scratch(spark), files.scratch(spark), files.scratch(spark)
+    spark.dataSource.register(tail.LogTail)
+    rows = table(spark, d, "events").select("user_id", "event_id", (F.col("event_id") % 3).cast("int").alias("part"))
+    for part in range(3):
+        name, line = F.format_string("worker_%d.log", "user_id"), F.format_string("Worker %d event %d é", "user_id", "event_id")
+        lines = rows.where(F.col("part") == part).select(name.alias("file"), line.alias("line"), (F.lit(part == 2) & (F.col("user_id") % 5 == 0)).alias("anew"), "event_id")
+        lines.repartition("file").sortWithinPartitions("file", "event_id").foreachPartition(lambda it: tail.append_lines(folder, it))
+        stream = spark.readStream.format("log_tail").option("range", 4096).load(folder)
+        stream.writeStream.foreachBatch(sinks.by_batch(f"{out}/{part}")).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    found = [sinks.batches(spark, f"{out}/{part}", tail.SCHEMA).select(F.lit(part).alias("part"), "line") for part in range(3)]
+    shape = r"^Worker (\d+) event (\d+) é$"
+    lines = found[0].unionByName(found[1]).unionByName(found[2])
+    return lines.select(*[F.regexp_extract("line", shape, k).cast("long").alias(n) for k, n in ((1, "user_id"), (2, "event_id"))], "part")
+
+
+@query("x06_cases", """SELECT o_orderkey, i.idx, CASE WHEN o_orderkey % 3 = 0 AND i.idx % 2 = 1 THEN 'given' ELSE 'case_' || i.idx END AS name, CASE WHEN o_orderkey % 3 = 1 THEN '{"m":' || (i.idx // 2 + 1) || ',"n":' || (i.idx % 2 * 8 + 8) || '}' WHEN o_orderkey % 3 = 2 THEN NULL ELSE '' || i.idx END AS inputs
+FROM orders, LATERAL (SELECT unnest(range(0, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 5 ELSE CASE WHEN o_orderkey % 3 = 1 THEN 4 ELSE 1 END END)) AS idx) i""")
+def x06(spark: SparkSession, d: str) -> DataFrame:
+    """Cases of each order as declared: a list, a grid, or one case without inputs."""
+    cases.register(spark)
+    given = F.transform(F.sequence(F.lit(0), (F.col("o_orderkey") % 5).cast("int") - 1), lambda i: F.when(i % 2 == 1, F.concat(F.lit('{"name":"given","input":'), i.cast("string"), F.lit("}"))).otherwise(i.cast("string")))
+    listed = F.when(F.col("o_orderkey") % 5 == 0, "[]").otherwise(F.concat(F.lit("["), F.array_join(given, ","), F.lit("]")))
+    grid = F.lit('{"grid":{"m":[1,2],"n":[8,16]}}')
+    spec = F.when(F.col("o_orderkey") % 3 == 0, listed).when(F.col("o_orderkey") % 3 == 1, grid).otherwise('{"outputs":[1]}')
+    rows = table(spark, d, "orders").select("o_orderkey", spec.alias("declared"))
+    return rows.lateralJoin(cases.Cases(F.col("declared").outer())).select("o_orderkey", F.col("idx").cast("long").alias("idx"), "name", "inputs")

@@ -102,12 +102,6 @@ def t03(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where("rank <= 5").withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("t04_rank", "SELECT s_suppkey, s_acctbal < 0 AS error, s_acctbal FROM supplier ORDER BY 2, s_nationkey DESC, s_acctbal DESC, s_suppkey LIMIT 25")
-def t04(spark: SparkSession, d: str) -> DataFrame:
-    error = (F.col("s_acctbal") < 0).alias("error")
-    return table(spark, d, "supplier").orderBy(F.col("s_acctbal") < 0, F.desc("s_nationkey"), F.desc("s_acctbal"), "s_suppkey").limit(25).select("s_suppkey", error, "s_acctbal")
-
-
 @query("t05_next_retries", "SELECT event_id, ts + INTERVAL 30 SECOND AS due FROM events WHERE event_type = 'error' ORDER BY 2, 1 LIMIT 10")
 def t05(spark: SparkSession, d: str) -> DataFrame:
     errors = table(spark, d, "events").where("event_type = 'error'")
@@ -125,12 +119,6 @@ def t07(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_type", "event_id", F.row_number().over(w).alias("i")).where("i <= 3").drop("i")
 
 
-@query("t08_shuffle", "SELECT p_partkey, md5('7:' || p_partkey) AS key FROM part ORDER BY 2, 1 LIMIT 100")
-def t08(spark: SparkSession, d: str) -> DataFrame:
-    key = F.md5(F.concat(F.lit("7:"), F.col("p_partkey").cast("string")))
-    return table(spark, d, "part").select("p_partkey", key.alias("key")).orderBy("key", "p_partkey").limit(100)
-
-
 @query("m01_exact_sample", """WITH s AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('1:' || o_orderkey)) AS i FROM orders) SELECT o_orderkey, o_orderstatus FROM s WHERE o_orderstatus = 'F' AND i <= 60 OR o_orderstatus = 'O' AND i <= 40""")
 def m01(spark: SparkSession, d: str) -> DataFrame:
     key = F.md5(F.concat(F.lit("1:"), F.col("o_orderkey").cast("string")))

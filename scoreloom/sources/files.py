@@ -74,13 +74,22 @@ def worker_log(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(part(1).alias("worker_id"), part(2).alias("task_id"), part(3).try_cast("double").alias("seconds"), "path", "line_no")
 
 
-def log_search(spark: SparkSession, path: str, wanted: DataFrame, pattern: str | None = None, ids: str = r"\bt[0-9][\w-]*") -> DataFrame:
-    """(task_id, worker): for each task_id of wanted, the first worker named in a line that holds it; ids is the shape of task ids."""
+def log_matches(spark: SparkSession, path: str, wanted: DataFrame, pattern: str | None = None, ids: str = r"\bt[0-9][\w-]*") -> DataFrame:
+    """(task_id, path, worker): for each task_id of wanted and each log that holds it, the first worker named in a line with it, or else the
+    log's name without its ending; ids is the shape of task ids."""
     shape = r"Worker (\S+)"
-    lines = numbered_lines(spark, path, pattern).where(F.col("line").rlike(shape))
-    words = lines.select("path", "line_no", F.regexp_extract("line", shape, 1).alias("worker"), F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(ids), F.lit(0)))).alias("task_id"))
+    lines = numbered_lines(spark, path, pattern).where(F.col("line").rlike(ids))
+    named = F.when(F.col("line").rlike(shape), F.regexp_extract("line", shape, 1))
+    words = lines.select("path", "line_no", named.alias("worker"), F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(ids), F.lit(0)))).alias("task_id"))
     found = words.join(wanted.select("task_id").distinct(), "task_id")
-    return found.groupBy("task_id").agg(F.min_by("worker", F.struct("path", "line_no")).alias("worker"))
+    first = F.min_by("worker", F.when(F.col("worker").isNotNull(), F.col("line_no")))
+    stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    return found.groupBy("task_id", "path").agg(first.alias("worker")).select("task_id", "path", F.coalesce("worker", stem).alias("worker"))
+
+
+def log_search(spark: SparkSession, path: str, wanted: DataFrame, pattern: str | None = None, ids: str = r"\bt[0-9][\w-]*") -> DataFrame:
+    """(task_id, worker) of the first log, by path, that holds the task; see log_matches."""
+    return log_matches(spark, path, wanted, pattern, ids).groupBy("task_id").agg(F.min_by("worker", "path").alias("worker"))
 
 
 def build_log(spark: SparkSession, path: str) -> DataFrame:
