@@ -190,7 +190,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         dense = (F.col("p") >= max(MIN_TOXIC, MIN_SHARE * pos)) & (F.col("w") >= MIN_LOG_ODDS)
         # words that hardly any other document holds need not be dense
         told = F.col("term").endswith(" ") & (F.col("any_p") >= 2 * max(MIN_TOXIC, MIN_SHARE * pos)) & (F.col("any_q") == 0)
-        sure = rows.where(dense | told).collect()
+        sure = sorted(rows.where(dense | told).collect(), key=lambda r: (-r["w"], r["term"]))
         chosen = choose({r["term"]: (r["p"], r["q"], r["w"]) for r in sure})
         rates = {r["term"]: ((r["k1"] + START) / (r["words1"] + START_WORDS), (r["k0"] + START) / (r["words0"] + START_WORDS)) for r in sure if r["term"] in chosen}
         keep = {t: math.log(a / b) for t, (a, b) in rates.items() if a > b}
