@@ -87,14 +87,16 @@ def p13_kernels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", text.is_framework_kernel(name).alias("framework"), text.is_telling_aten(name).alias("telling"))
 
 
-@query("p16_metadata", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'old' END AS worker, p_partkey % 3 <> 2 AS known, false AS kept_old FROM part")
+@query("p16_metadata", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_mktsegment END AS worker, c_acctbal::VARCHAR AS other, false AS kept_old FROM customer")
 def p16(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.col("p_partkey") % 3
-    other = F.lit("other"), F.lit("z")
-    given = F.when(kind == 0, F.create_map(F.lit("worker"), F.lit("new"), F.lit("worker_name"), F.lit("old"), *other)).when(kind == 1, F.create_map(F.lit("host"), F.lit("older"), F.lit("worker_name"), F.lit("old"), *other)).otherwise(F.create_map(*other))
+    """A value under its new name, or else under the first of its old ones."""
+    name, segment = F.col("c_name"), F.col("c_mktsegment")
+    other = F.lit("other"), F.col("c_acctbal").cast("string")
+    both = F.create_map(F.lit("worker"), name, F.lit("worker_name"), segment, *other)
+    given = F.when(F.col("c_custkey") % 2 == 0, both).otherwise(F.create_map(F.lit("host"), name, F.lit("worker_name"), segment, *other))
     told = rules.metadata_first(given, "worker", ["worker_name", "host"])
     kept = F.map_contains_key(told, "worker_name") | F.map_contains_key(told, "host")
-    return table(spark, d, "part").select("p_partkey", F.element_at(told, "worker").alias("worker"), F.map_contains_key(told, "worker").alias("known"), kept.alias("kept_old"))
+    return table(spark, d, "customer").select("c_custkey", F.element_at(told, "worker").alias("worker"), F.element_at(told, "other").alias("other"), kept.alias("kept_old"))
 
 
 @query("p18_json_safe", """SELECT p_partkey, CASE WHEN k <= 10 THEN repeat('[', k) || '1' || repeat(']', k) ELSE repeat('[', 11) || '"' || repeat('[', k - 11) || '1' || repeat(']', k - 11) || '"' || repeat(']', 11) END AS document
@@ -111,11 +113,12 @@ def p20(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select("s_suppkey", rules.worker_kind(F.when(k == 0, "CPU").otherwise("gpu"), F.when(k == 1, "cpu:0").otherwise("cuda:0")).alias("kind"))
 
 
-@query("p21_entry_point", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Own' WHEN 1 THEN 'ModelNew' WHEN 2 THEN 'Model' ELSE 'ModelNew' END AS entry FROM part")
+@query("p21_entry_point", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_type WHEN p_size % 3 = 1 AND p_partkey % 2 = 1 THEN 'Model' ELSE 'ModelNew' END AS entry FROM part")
 def p21(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_partkey") % 4
-    source = F.when(k == 1, "class ModelNew:\n  pass").otherwise("class Own:\n  pass")
-    asked = F.when(k == 0, "Own").when(k == 3, "").otherwise("Model")
+    """A class asked for by its own name, by the usual one where only some sources have the new class, or not at all."""
+    size, new = F.col("p_size") % 3, F.col("p_partkey") % 2 == 0
+    source = F.concat(F.lit("class "), F.when(new, "ModelNew").otherwise(F.col("p_type")), F.lit(":\n  pass"))
+    asked = F.when(size == 0, F.col("p_type")).when(size == 1, "Model").otherwise("")
     return table(spark, d, "part").select("p_partkey", records.entry_point(source, asked).alias("entry"))
 
 
@@ -165,15 +168,19 @@ def f11(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", records.submission_check(F.col("x.model"), F.col("x.sources"), F.col("x.mode")).alias("c")).select("p_partkey", "c.*")
 
 
-@query("f06_fenced", "SELECT p_partkey, 'int x = ' || p_partkey || ';' AS kernel, 'y' AS binding, '' AS model FROM part")
+@query("f06_fenced", r"SELECT doc_id, trim(text, chr(9) || chr(10) || chr(13) || ' ') AS kernel, trim(lang, ' ') AS binding, '' AS model FROM documents WHERE text IS NOT NULL AND NOT contains(text, '```')")
 def f06(spark: SparkSession, d: str) -> DataFrame:
-    answer = F.concat(F.lit("# Kernel\n```cuda\n\n  int x = "), F.col("p_partkey").cast("string"), F.lit(";\n\n```\nand\n## BINDING \n```\ny\n```\nz\n```\nw\n```"))
-    return table(spark, d, "part").select("p_partkey", *[text.fenced(answer, s).alias(s) for s in ("kernel", "binding", "model")])
+    """Answers with a document as their kernel's code."""
+    docs = table(spark, d, "documents").where("text is not null and not contains(text, '```')")
+    answer = F.concat(F.lit("# Kernel\n```cuda\n\n"), F.col("text"), F.lit("\n\n```\nand\n## BINDING \n```\n"), F.col("lang"), F.lit("\n```\nz\n```\nw\n```"))
+    return docs.select("doc_id", *[text.fenced(answer, s).alias(s) for s in ("kernel", "binding", "model")])
 
 
-@query("f07_kernel_names", "SELECT p_partkey, 'a_' || p_partkey || ',b' AS names FROM part")
+@query("f07_kernel_names", "SELECT p_partkey, array_to_string(list_sort(list_distinct([replace(p_name, ' ', '_'), lower(p_type) || '_' || p_partkey])), ',') AS names FROM part")
 def f07_kernels(spark: SparkSession, d: str) -> DataFrame:
-    source = F.concat(F.lit("__global__ void b(int x) {}\n__global__  ns::T<int> b (int) {}\n__global__ void\na_"), F.col("p_partkey").cast("string"), F.lit("(float* y);\nvoid c(int);"))
+    """Two kernels named after each part, one of them defined twice, beside a function that is none."""
+    one, two = F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.concat(F.lower("p_type"), F.lit("_"), F.col("p_partkey").cast("string"))
+    source = F.concat(F.lit("__global__ void "), one, F.lit("(int x) {}\n__global__  ns::T<int> "), one, F.lit(" (int) {}\n__global__ void\n"), two, F.lit("(float* y);\nvoid c(int);"))
     return table(spark, d, "part").select("p_partkey", F.array_join(text.kernel_names(source), ",").alias("names"))
 
 
@@ -195,24 +202,28 @@ def f25(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", stats.significant(F.col("o_totalprice")).alias("shown"), stats.significant(F.col("o_totalprice") / 1e9).alias("small"))
 
 
-@query("f28_merge", "SELECT event_id, 'b' AS both, CASE WHEN event_id % 2 = 0 THEN 'a' END AS first_only, 'c' AS second_only FROM events")
+@query("f28_merge", "SELECT c_custkey, 'n' || c_nationkey AS place, CASE WHEN c_acctbal > 0 THEN c_name END AS name, c_mktsegment AS segment, CAST(CASE WHEN c_acctbal > 0 THEN 3 ELSE 2 END AS INT) AS n_keys FROM customer")
 def f28(spark: SparkSession, d: str) -> DataFrame:
-    first = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("x"), F.lit("a"), F.lit("y"), F.lit("a")))
-    merged = joins.merge_metadata(first, F.create_map(F.lit("x"), F.lit("b"), F.lit("z"), F.lit("c")))
-    return table(spark, d, "events").select("event_id", *[F.element_at(merged, k).alias(n) for k, n in (("x", "both"), ("y", "first_only"), ("z", "second_only"))])
+    """Two maps as one, of which the first may be missing; the second's value wins."""
+    place = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
+    first = F.when(F.col("c_acctbal") > 0, F.create_map(F.lit("place"), F.lit("somewhere"), F.lit("name"), F.col("c_name")))
+    merged = joins.merge_metadata(first, F.create_map(F.lit("place"), place, F.lit("segment"), F.col("c_mktsegment")))
+    return table(spark, d, "customer").select("c_custkey", *[F.element_at(merged, k).alias(k) for k in ("place", "name", "segment")], F.size(merged).alias("n_keys"))
 
 
-@query("f31_failures", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'Trace of ' || event_id ELSE 'ValueError: no ' || event_id END AS verbose, 'no ' || event_id AS plain FROM events")
+@query("f31_failures", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'Trace of ' || o_orderkey ELSE o_orderpriority || ': no ' || o_custkey END AS verbose, 'no ' || o_custkey AS plain FROM orders")
 def f31(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("event_id").cast("string")
-    kind, message, trace = F.lit("ValueError"), F.concat(F.lit("no "), i), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Trace of "), i))
-    return table(spark, d, "events").select("event_id", records.failure_text(kind, message, trace).alias("verbose"), records.failure_text(kind, message, trace, False).alias("plain"))
+    kind, message = F.col("o_orderpriority"), F.concat(F.lit("no "), F.col("o_custkey").cast("string"))
+    trace = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("Trace of "), F.col("o_orderkey").cast("string"))).when(F.col("o_orderstatus") == "P", "")
+    return table(spark, d, "orders").select("o_orderkey", records.failure_text(kind, message, trace).alias("verbose"), records.failure_text(kind, message, trace, False).alias("plain"))
 
 
-@query("f33_sources", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'a.cu=1,b.cpp=x' WHEN 2 THEN 'kernels/kernel.cu=int x;' END AS sources FROM part")
+@query("f33_sources", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN replace(p_name, ' ', '_') || '.cu=' || p_size || ',z.cpp=' || p_brand WHEN 2 THEN 'kernels/kernel.cu=' || p_name END AS sources FROM part")
 def f33(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_partkey") % 4
-    given = F.when(k == 0, "  \n").when(k == 1, " {'b.cpp': 'x', \"a.cu\": 1}").when(k == 2, "int x;").otherwise("{broken")
+    """Blank sources, the text of a dict of two files, bare text, and a dict that ends too soon."""
+    k, name = F.col("p_size") % 4, F.replace(F.col("p_name"), F.lit(" "), F.lit("_"))
+    literal = F.concat(F.lit(" {'z.cpp': '"), F.col("p_brand"), F.lit("', \""), name, F.lit('.cu": '), F.col("p_size").cast("string"), F.lit("}"))
+    given = F.when(k == 0, "  \n").when(k == 1, literal).when(k == 2, F.col("p_name")).otherwise(F.concat(F.lit("{'"), name))
     told = records.sources_map(given)
     pairs = F.array_join(F.array_sort(F.transform(F.map_entries(told), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
     return table(spark, d, "part").select("p_partkey", F.when(told.isNotNull(), pairs).alias("sources"))

@@ -123,10 +123,12 @@ def f07(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("tags"))
 
 
-@query("f13_file_kinds", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'cuda_object' WHEN 1 THEN 'object' WHEN 2 THEN 'library' ELSE 'other' END AS kind FROM part")
+@query("f13_file_kinds", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'cuda_object' WHEN 1 THEN 'object' WHEN 2 THEN 'library' ELSE 'other' END AS kind FROM part")
 def f13(spark: SparkSession, d: str) -> DataFrame:
-    suffix = F.get(F.array(F.lit("x.cuda.o"), F.lit("x.o"), F.lit("x.so"), F.lit("x.txt")), (F.col("p_partkey") % 4).cast("int"))
-    return table(spark, d, "part").select("p_partkey", text.file_kind(suffix).alias("kind"))
+    """Files named after parts, some in a folder whose name ends like a file's."""
+    ending = F.get(F.array(F.lit(".cuda.o"), F.lit(".o"), F.lit(".so"), F.lit(".txt")), (F.col("p_size") % 4).cast("int"))
+    name = F.concat(F.when(F.col("p_partkey") % 2 == 0, "build.so/").otherwise(""), F.replace(F.col("p_name"), F.lit(" "), F.lit(".")), ending)
+    return table(spark, d, "part").select("p_partkey", text.file_kind(name).alias("kind"))
 
 
 @query("f14_arch", "SELECT p_partkey, (p_size // 10 + 1) || '.' || (p_size % 10) || ';9.0' AS arch FROM part")
@@ -135,9 +137,10 @@ def f14(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", text.arch_list(F.concat(F.lit("sm_"), digits, F.lit("+PTX, 9.0"))).alias("arch"))
 
 
-@query("f16_retry_suffix", "SELECT o_orderkey, 'a_retry' || (o_orderkey % 4) AS original FROM orders")
+@query("f16_retry_suffix", "SELECT o_orderkey, 't' || o_custkey || repeat('_retry1', greatest(0, CAST(o_orderkey % 4 AS INT) - 1)) AS original FROM orders")
 def f16(spark: SparkSession, d: str) -> DataFrame:
-    name = F.concat(F.lit("a_retry"), (F.col("o_orderkey") % 4).cast("string"), F.lit("_retry2"))
+    """Up to three suffixes, of which the last goes."""
+    name = F.concat(F.lit("t"), F.col("o_custkey").cast("string"), F.repeat(F.lit("_retry1"), (F.col("o_orderkey") % 4).cast("int")))
     return table(spark, d, "orders").select("o_orderkey", text.without_retry(name).alias("original"))
 
 
@@ -187,9 +190,11 @@ def f32(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.format_string("%s_%03d_%d", "o_orderstatus", F.col("o_orderkey") % 1000, "o_custkey").alias("id"))
 
 
-@query("f34_lists", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '0,1' WHEN 1 THEN '2,3' ELSE '0' END AS gpus FROM part")
+@query("f34_lists", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size || ',' || (p_size + 1) WHEN 1 THEN p_size || ',7' WHEN 2 THEN '' || p_size ELSE '0' END AS gpus FROM part")
 def f34(spark: SparkSession, d: str) -> DataFrame:
-    given = F.when(F.col("p_partkey") % 3 == 0, "[0, 1]").when(F.col("p_partkey") % 3 == 1, "2, 3").otherwise("")
+    """A JSON list, a list with commas, one number, and a text without any."""
+    size, k = F.col("p_size").cast("string"), F.col("p_partkey") % 4
+    given = F.when(k == 0, F.concat(F.lit("["), size, F.lit(", "), (F.col("p_size") + 1).cast("string"), F.lit("]"))).when(k == 1, F.concat(size, F.lit(", 7"))).when(k == 2, size).otherwise(F.col("p_name"))
     return table(spark, d, "part").select("p_partkey", F.array_join(rules.int_list(given, [0]), ",").alias("gpus"))
 
 
@@ -200,11 +205,13 @@ def f10(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", code.kernel_check(source, F.when(kind == 4, "cuda").otherwise("triton")).alias("error"))
 
 
-@query("f12_open_calls", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 1 END AS line FROM part")
+@query("f12_open_calls", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 3 + p_size WHEN 1 THEN 1 + p_size END AS line FROM part")
 def f12(spark: SparkSession, d: str) -> DataFrame:
+    """Calls below some lines of comment: without a semicolon, never closed, closed on another line, and none."""
     kind = F.col("p_partkey") % 4
     source = F.when(kind == 0, "REG(a(b)) ;\n\nREG(c)\nx;").when(kind == 1, "REG(a(b;").when(kind == 2, "REG(a,\n (b)) \n;").otherwise("none")
-    return table(spark, d, "part").select("p_partkey", code.open_call(source, "REG").alias("line"))
+    above = F.repeat(F.concat(F.lit("// "), F.col("p_name"), F.lit("\n")), F.col("p_size").cast("int"))
+    return table(spark, d, "part").select("p_partkey", code.open_call(F.concat(above, source), "REG").alias("line"))
 
 
 @query("p17_without_keys", """SELECT event_id, '{"a":[{"k":' || json_extract_string(props, '$.k') || '}]}' AS document FROM events""")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -30,3 +33,10 @@ def build(master: str | None = None, shuffle_partitions: int | None = None, **mo
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the tables below sf_dir, as Parquet."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the Python workers of executors on which it is not installed."""
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="scoreloom-")) / package.name), "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)  # Spark copies it to the executors
