@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import slices
+from scoreloom.llm.common import cut, slices
 from scoreloom.llm.shingles import shingles, text_of
 
 #: Bits of the filters that documents are held against: a power of two by the number of item shingles, within these bounds.
@@ -124,12 +124,13 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = 0.8, words: int
     size = min(MOST_BITS, max(LEAST_BITS, 1 << math.ceil(math.log2(64 * max(n, 1)))))
     every = np.packbits(_bits(cells, "hash", size), bitorder="little").tobytes()
     probe = _probe(every, _filters(index, threshold), words)
-    hits = docs.select("doc_id", "text").mapInArrow(probe, f"doc_id {kinds[1]}, n_shingles long, probes array<struct<size_class:long,hash:long>>, shingles array<string>")
-    found = hits.select("doc_id", "n_shingles", "shingles", F.inline("probes")).join(index, ["size_class", "hash"]).where(F.col("n_shingles") >= F.ceil(F.col("q") * threshold - 1e-9))
-    pairs = found.select("doc_id", "n_shingles", "shingles", "item_id").distinct()
+    hits = cut(docs.select("doc_id", "text").mapInArrow(probe, f"doc_id {kinds[1]}, n_shingles long, probes array<struct<size_class:long,hash:long>>, shingles array<string>").withColumn("row", F.monotonically_increasing_id()))
+    # candidates are found by numbers alone; a document's shingles go to each of its candidates once
+    found = hits.select("row", "n_shingles", F.inline("probes")).join(index, ["size_class", "hash"]).where(F.col("n_shingles") >= F.ceil(F.col("q") * threshold - 1e-9))
+    pairs = found.select("row", "item_id").distinct()
     shared = F.size(F.array_intersect("shingles", "of_item"))
     return (
-        pairs.join(sizes, "item_id").withColumn("n_shared", shared)
+        pairs.join(hits.select("row", "doc_id", "shingles"), "row").join(sizes, "item_id").withColumn("n_shared", shared)
         .where(F.col("n_shared") >= F.col("q") * threshold - 1e-9)
         .select("doc_id", "item_id", F.col("n_shared").cast("long").alias("n_shared"), F.col("q").alias("n_item"), (F.col("n_shared") / F.col("q")).alias("containment"))
         .distinct()
