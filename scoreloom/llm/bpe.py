@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes that a task may keep of encoded words, of byte strings and of seams; a full store is emptied, and all are at the task's end.
-WORD_BYTES, STRING_BYTES, SEAM_BYTES = 64 << 20, 32 << 20, 24 << 20
+WORD_BYTES, STRING_BYTES, SEAM_BYTES = 48 << 20, 24 << 20, 16 << 20
 #: What an entry of a store takes besides its contents, about.
 ENTRY = 200
 #: Encodings of parts of words of so many bytes at most are kept.
@@ -198,6 +198,7 @@ def _mapped(column: str, out: str, kind: pa.DataType, of: Callable[[], Callable]
                     yield flush(batch, start, values)
         finally:
             end()
+            pa.default_memory_pool().release_unused()
 
     return run
 
