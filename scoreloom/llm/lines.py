@@ -7,7 +7,8 @@ substrings at those places. Candidates are verified by a bit-parallel edit dista
 around the diagonal is computed.
 
 What is asked for are classes, not pairs: a key's lines are compared with one of its indexed lines, then with
-another, and only lines of keys that still hold several classes are compared across these.
+another. Lines of keys that still hold several classes are split by a second segmentation of what they hold
+besides the shared segment, and compared across classes where they share one of its segments too.
 """
 
 from __future__ import annotations
@@ -46,8 +47,8 @@ def index_keys(line: Column, size: Column, threshold: int = THRESHOLD) -> Column
     return F.array(*keys)
 
 
-def probe_keys(line: Column, size: Column, threshold: int = THRESHOLD) -> Column:
-    """The keys of the substrings that may be a segment of a line as long or up to threshold shorter; the line's own segments come first."""
+def probe_places(line: Column, size: Column, threshold: int = THRESHOLD) -> tuple[list[tuple[Column, ...]], list[tuple[Column, ...]]]:
+    """(key, start, characters, whether it lies in the line) of the substrings that may be a segment of a line as long or up to threshold shorter: the line's own segments, and the others."""
     own, other = [], []
     for shorter in range(threshold + 1):
         length = size - shorter
@@ -56,12 +57,27 @@ def probe_keys(line: Column, size: Column, threshold: int = THRESHOLD) -> Column
             # edits before the segment shift it by i at most, edits after it by what is left of the threshold
             for shift in range(max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i)) + 1):
                 at = start + shift
-                key = _key(length, i, F.substring(line, at, n))
-                if shorter or shift:
-                    other.append(F.when((at >= 1) & (at + n - 1 <= size), key))
-                else:
-                    own.append(key)
-    return F.array_compact(F.array(*own, *other))  # faster than null keys that are filtered later: those make one huge method
+                place = (_key(length, i, F.substring(line, at, n)), at, n, (at >= 1) & (at + n - 1 <= size))
+                (other if shorter or shift else own).append(place)
+    return own, other
+
+
+def probe_keys(line: Column, size: Column, threshold: int = THRESHOLD) -> Column:
+    """The keys of the substrings that may be a segment of a line as long or up to threshold shorter; the line's own segments come first."""
+    own, other = probe_places(line, size, threshold)
+    # compacted at once: null keys that are filtered later make one huge method
+    return F.array_compact(F.array(*[key for key, *_ in own], *[F.when(inside, key) for key, _, _, inside in other]))
+
+
+def probe_rests(line: Column, size: Column, threshold: int = THRESHOLD) -> Column:
+    """Of each of probe_keys: the key, whether it is the line's own, and what the line holds besides."""
+    own, other = probe_places(line, size, threshold)
+
+    def rest(key: Column, at: Column, n: Column, mine: bool) -> Column:
+        besides = F.concat(F.substring(line, F.lit(1), at - 1), F.substring(line, at + n, size))
+        return F.struct(key.alias("key"), F.lit(mine).alias("own"), besides.alias("besides"))
+
+    return F.array_compact(F.array(*[rest(key, at, n, True) for key, at, n, _ in own], *[F.when(inside, rest(key, at, n, False)) for key, at, n, inside in other]))
 
 
 def _let(x: Column, then: Callable[[Column], Column]) -> Column:
@@ -160,20 +176,43 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"\S"))
 
 
-def verify(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): the digests k of the lines of those pairs (h1, h2) of hashes that are within threshold edits."""
+def within(threshold: int) -> Column:
+    """Whether line1 and line2 are within threshold edits."""
+    return may_be_near(F.col("counts1"), F.col("counts2"), threshold) & (edit_distance(F.col("line1"), F.col("line2"), threshold) >= 0)
+
+
+def verify(pairs: DataFrame, lines: DataFrame, near: Column) -> DataFrame:
+    """(a, b): the digests k of the lines of those pairs (h1, h2) of hashes that are near."""
     one, two = (lines.select(F.col("h").alias(f"h{i}"), F.col("line").alias(f"line{i}"), F.col("k").alias(f"k{i}"), F.col("counts").alias(f"counts{i}")) for i in (1, 2))
-    near = may_be_near(F.col("counts1"), F.col("counts2"), threshold)
-    both = pairs.join(one, "h1").join(two, "h2").where(near & (edit_distance(F.col("line1"), F.col("line2"), threshold) >= 0))
+    both = pairs.join(one, "h1").join(two, "h2").where(near)
     return both.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")).distinct()
 
 
-def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b): digests of different lines within threshold edits, enough of them for all classes.
+def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes (id, component) after further links (a, b): only the links between classes are followed, with a class as one node."""
+    name = lambda end: classes.select(F.col("id").alias(end), F.col("component").alias(f"{end}_class"))
+    ends = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b"))
+    between = cut(ends.where("a <> b").distinct())
+    if between.isEmpty():
+        return classes
+    over = cut(components(between))
+    old = classes.join(over.select(F.col("id").alias("component"), F.col("component").alias("over")), "component", "left").select("id", F.coalesce("over", "component").alias("component"))
+    return cut(old.unionByName(over.join(classes, "id", "left_anti")))
+
+
+def mixed(rows: DataFrame) -> DataFrame:
+    """The rows of keys that hold several classes, one of them of an indexed line."""
+    keys = rows.groupBy("key").agg(F.min("class").alias("lo_class"), F.max("class").alias("hi_class"), F.max("own").alias("own")).where("own and lo_class <> hi_class").select("key")
+    return cut(rows.join(keys, "key", "left_semi"))
+
+
+def classes(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(id, component): the class of each line, by digests, that is within threshold edits of a different one, all by way of links.
 
     lines has a row or more for each line, with more than threshold characters. A key's rows are those of the lines that
-    probe it, of which the first, and later the last, of its indexed lines is compared with all. What a key holds in several classes after that is compared
-    across them, unless the counts of their characters already differ too much.
+    probe it, of which the first, and later the last, of its indexed lines is compared with all. Rows that a key holds in several classes after that
+    are split by a second segmentation, of what the lines hold besides the key's segment: it is within threshold edits too, so that another
+    segment is unchanged. Only lines of different classes that share both are compared, unless the counts of their characters already differ too much.
     """
     size = F.char_length("line")
     distinct = lines.select("line").distinct().select(F.xxhash64("line").alias("h"), "line", size.alias("size"))
@@ -185,36 +224,34 @@ def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     known = cut(likely(lines.select(F.xxhash64("line").alias("h"), "line"), "h", wanted).distinct().join(wanted, "h", "left_semi").withColumn("k", F.unhex(F.md5("line"))).withColumn("counts", counts(F.col("line"))))
 
     def pairs(of: DataFrame, hub: str) -> DataFrame:
-        return cut(of.where(F.col("h") != F.col(hub)).select(F.least("h", hub).alias("h1"), F.greatest("h", hub).alias("h2")).distinct())
+        return of.where(F.col("h") != F.col(hub)).select(F.least("h", hub).alias("h1"), F.greatest("h", hub).alias("h2")).distinct()
 
-    asked = pairs(met, "lo")
-    found = cut(verify(asked, known, threshold))
+    near = within(threshold)  # built once: the expression is long
+    asked = cut(pairs(met, "lo"))
+    found = cut(components(verify(asked, known, near)))
     many = met.where("lo <> hi")
-    if many.isEmpty():
+    # a hash of several lines stands for all of them
+    named = known.select("h", "k").join(found.withColumnRenamed("id", "k"), "k", "left").groupBy("h").agg(F.min(F.coalesce("component", "k")).alias("class"))
+    rows = mixed(many.join(cut(named), "h"))
+    if rows.isEmpty():
         return found
-
-    def mixed() -> DataFrame:
-        """The rows of keys that hold several classes; a hash of several lines stands for all of them."""
-        named = known.select("h", "k").join(components(found).withColumnRenamed("id", "k"), "k", "left").groupBy("h").agg(F.min(F.coalesce("component", "k")).alias("class"))
-        placed = many.join(cut(named), "h")
-        keys = placed.groupBy("key").agg(F.min("class").alias("lo_class"), F.max("class").alias("hi_class")).where("lo_class <> hi_class").select("key")
-        return cut(placed.join(keys, "key", "left_semi"))
-
-    more = pairs(mixed(), "hi").join(asked, ["h1", "h2"], "left_anti")
-    found = cut(found.unionByName(verify(more, known, threshold)).distinct())
-    rest = mixed()
+    more = cut(pairs(rows, "hi").join(asked, ["h1", "h2"], "left_anti"))
+    both = merged(found, verify(more, known, near))
+    if both is not found:
+        rows = mixed(rows.join(both.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("class", F.coalesce("component", "class")).drop("component"))
+    held = known.join(rows.select("h").distinct(), "h", "left_semi")
+    besides = held.select("h", F.inline(probe_rests(F.col("line"), F.char_length("line"), threshold))).join(rows.select("h", "key", "class").distinct(), ["h", "key"])
+    second = F.posexplode(probe_keys(F.col("besides"), F.char_length("besides"), threshold)).alias("at", "second")
+    split = besides.select("h", "key", "class", "own", second).select("h", "class", (F.col("own") & (F.col("at") <= threshold)).alias("own"), F.xxhash64("key", "second").alias("key"))
+    signs = held.select("h", "counts", parities(F.col("line")).alias("sign"))
+    rest = cut(mixed(split.distinct()).join(signs, "h"))
     if rest.isEmpty():
-        return found
-    # a pair meets in one of the keys it shares: the first of the indexed line's own, and one way if both have the other's
-    keys = many.groupBy("h").agg(F.collect_set("key").alias("keys"), F.sort_array(F.collect_set(F.when(F.col("own"), F.col("key")))).alias("own_keys"))
-    signs = known.join(rest.select("h").distinct(), "h", "left_semi").select("h", "counts", parities(F.col("line")).alias("sign"))
-    rest = cut(rest.join(signs, "h").join(keys, "h").select("key", "h", "own", "class", "counts", "sign", "keys", "own_keys"))
-    other = rest.select("key", *[F.col(c).alias(f"{c}2") for c in ("h", "own", "class", "counts", "sign", "keys", "own_keys")])
-    near = (F.bit_count(F.col("sign").bitwiseXOR(F.col("sign2"))) <= 2 * threshold) & may_be_near(F.col("counts"), F.col("counts2"), threshold)
-    once = (F.array_min(F.array_intersect("own_keys", "keys2")) == F.col("key")) & (~F.col("own2") | (F.col("h") < F.col("h2")) | (F.array_min(F.array_intersect("own_keys2", "keys")) != F.col("key")))
-    last = rest.where("own").join(other, "key").where((F.col("class") != F.col("class2")) & near & once)
+        return both
+    other = rest.select("key", *[F.col(c).alias(f"{c}2") for c in ("h", "class", "counts", "sign")])
+    alike = (F.bit_count(F.col("sign").bitwiseXOR(F.col("sign2"))) <= 2 * threshold) & may_be_near(F.col("counts"), F.col("counts2"), threshold)
+    last = rest.where("own").join(other, "key").where((F.col("class") != F.col("class2")) & alike)
     last = last.select(F.least("h", "h2").alias("h1"), F.greatest("h", "h2").alias("h2")).distinct().join(asked.unionByName(more), ["h1", "h2"], "left_anti")
-    return found.unionByName(verify(cut(last), known, threshold)).distinct()
+    return merged(both, verify(cut(last), known, near))
 
 
 def line_classes(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
@@ -229,7 +266,7 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SH
     if shortest <= threshold:
         raise ValueError("linked lines have more characters than threshold")
     lines = occurrences(docs)
-    known = cut(components(cut(links(lines.where(long_enough(F.col("line"), shortest)).select("line"), threshold))).withColumnRenamed("id", "k"))
+    known = classes(lines.where(long_enough(F.col("line"), shortest)).select("line"), threshold).withColumnRenamed("id", "k")
     placed = lines.select("doc_id", "text_key", "line_no", F.unhex(F.md5("line")).alias("k")).join(known, "k", "left")
     placed = placed.select("doc_id", "text_key", "line_no", F.coalesce("component", "k").alias("class"))
     # lines without a second occurrence need no partner; the others' classes are joined where a hot one can be split
