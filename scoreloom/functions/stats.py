@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,14 +33,24 @@ def truncated_rank(x: Column, q: float) -> Column:
     return F.get(values, truncated_index(F.size(values), q).cast("int"))
 
 
+def _printed(x: Column, form: str) -> Column:
+    """x as C's printf prints it, ties of its exact binary value to even; format_string rounds the digits of its text, ties up. Null stays null."""
+
+    def put(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: form % v)
+
+    value = x.cast("double")
+    return F.when(value.isNotNull(), F.pandas_udf(put, "string")(F.coalesce(value, F.lit(0.0))))  # pandas would take a null for NaN
+
+
 def significant(x: Column, digits: int = 3) -> Column:
     """x at so many significant digits."""
-    return F.format_string(f"%.{digits - 1}e", x.cast("double")).cast("double")
+    return _printed(x, f"%.{digits - 1}e").cast("double")
 
 
 def percent(part: Column, whole: Column) -> Column:
     """part / whole as text with two decimals and a percent sign; 0.00% unless whole is above 0."""
-    return F.format_string("%.2f%%", F.when(whole > 0, part / whole).otherwise(F.lit(0.0)) * 100)
+    return _printed(F.when(whole > 0, part / whole).otherwise(F.lit(0.0)) * 100, "%.2f%%")
 
 
 def safe_ratio(a: Column, b: Column, otherwise: float | None = None) -> Column:

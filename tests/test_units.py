@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,14 @@ def test_significant_digits(spark, x, want):
     assert one(spark, stats.significant(F.lit(x))) == want
 
 
+def test_ties_are_rounded_as_printf_does(spark):
+    """Ties of the exact binary value go to the even digit, in statistics and percentages alike; nulls and NaN stay."""
+    df = spark.createDataFrame([("a", 122500.0), ("a", 96450.0), ("b", None), ("c", float("nan"))], "g string, v double")
+    got = {r["g"]: tuple(r)[1:] for r in df.groupBy("g").agg(*stats.timing_stats(F.col("v"), 3)).collect()}
+    assert got["a"][2:] == (96400.0, 122000.0, 2) and got["b"] == (None, None, None, None, 0) and all(math.isnan(x) for x in got["c"][:4])
+    assert one(spark, stats.percent(F.lit(1), F.lit(32))) == "3.12%"
+
+
 @pytest.mark.parametrize(("a", "b", "want"), [("nan", "nan", False), ("inf", "inf", True), ("inf", "-inf", False), ("1", "inf", False), ("1", "1.00001", True), ("1", "1.1", False), ("nan", "1", False)])
 def test_allclose(spark, a, b, want):
     assert one(spark, stats.allclose(F.lit(float(a)), F.lit(float(b)))) is want
