@@ -58,6 +58,12 @@ def test_ties_are_rounded_as_printf_does(spark):
     assert one(spark, stats.percent(F.lit(1), F.lit(32))) == "3.12%"
 
 
+@pytest.mark.parametrize(("x", "want"), [(7775.0, 7.77e-06), (9895.0, 9.89e-06)])
+def test_quotients_below_a_tie_are_rounded_down(spark, x, want):
+    """x / 1e9 prints as a tie, but its binary value lies below it."""
+    assert one(spark, stats.significant(F.lit(x) / 1e9)) == want
+
+
 @pytest.mark.parametrize(("a", "b", "want"), [("nan", "nan", False), ("inf", "inf", True), ("inf", "-inf", False), ("1", "inf", False), ("1", "1.00001", True), ("1", "1.1", False), ("nan", "1", False)])
 def test_allclose(spark, a, b, want):
     assert one(spark, stats.allclose(F.lit(float(a)), F.lit(float(b)))) is want
