@@ -11,8 +11,10 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.types import StructType
 
 SCHEMA = "path string, at long, line string"
-#: Bytes of one task, and of the mark by which a file is known again.
+#: Bytes of one range of a file, and of the mark by which a file is known again.
 RANGE, MARK = 64 << 20, 256
+#: Small ranges share a task up to so many bytes, where each range counts as so many more; bytes read first at a file's end.
+TASK, OPENING, LAST = 8 << 20, 16 << 10, 4096
 
 
 def _open(path: str):
@@ -27,11 +29,12 @@ class Piece(NamedTuple):
     start: int
     stop: int
     end: int  # of what there is to read of the file
+    mark: int | None = None  # of the bytes before start, unless the file was begun anew
 
 
-class Range(InputPartition):
-    def __init__(self, piece: Piece):
-        self.piece = piece
+class Ranges(InputPartition):
+    def __init__(self, pieces: list[Piece]):
+        self.pieces = pieces
 
 
 class LogTail(DataSource):
@@ -63,14 +66,26 @@ class TailReader(DataSourceStreamReader):
         from pyarrow import fs
 
         at, root = _open(self.folder)
+
         found = {}
         for info in at.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)):
             if info.type == fs.FileType.File and not info.base_name.startswith((".", "_")):
                 with at.open_input_file(info.path) as f:
-                    end = self._line_end(f, info.size)
-                    found[info.path] = [end, self._mark(f, end)]
+                    found[info.path] = self._end_and_mark(f, info.size)
         return {"files": found}
 
+    @classmethod
+    def _end_and_mark(cls, f, size: int) -> list[int]:
+        """The end of the last whole line and the mark there, mostly by a single read."""
+        start = max(0, size - LAST)
+        f.seek(start)
+        block = f.read(size - start)
+        cut = block.rfind(b"\n") + 1
+        if cut >= MARK or not start:
+            return [start + cut, zlib.crc32(block[max(0, cut - MARK) : cut])]
+        end = cls._line_end(f, size)
+        return [end, cls._mark(f, end)]
+
     @staticmethod
     def _line_end(f, size: int) -> int:
         """The end of the last whole line; read backwards in steps."""
@@ -90,42 +105,52 @@ class TailReader(DataSourceStreamReader):
         f.seek(start)
         return zlib.crc32(f.read(end - start))
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
-        at, _ = _open(self.folder)
-        out = []
-        for path, (stop, _mark) in sorted(end["files"].items()):
-            begin, mark = start["files"].get(path, (0, 0))
-            if begin:
-                with at.open_input_file(path) as f:
-                    begin = begin if begin <= stop and self._mark(f, begin) == mark else 0
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
+        """Ranges of the files that have changed, several small ones a task; whether a file was begun anew is seen by the task that reads on in it."""
+        out, full = [], TASK
+        for path, (stop, mark) in sorted(end["files"].items()):
+            begin, known = start["files"].get(path, (0, 0))
+            if [begin, known] == [stop, mark]:
+                continue
+            if begin >= stop:  # shorter than before, or as long with other bytes
+                begin = 0
             for s in range(begin, stop, self.size):
-                out.append(Range(Piece(path, s, min(stop, s + self.size), stop)))
-            if begin < stop:
-                out[-1].piece = out[-1].piece._replace(stop=stop)
+                piece = Piece(path, s, min(stop, s + self.size), stop, known if s and s == begin else None)
+                if full + piece.stop - s + OPENING > TASK:
+                    out.append(Ranges([]))
+                    full = 0
+                out[-1].pieces.append(piece)
+                full += piece.stop - s + OPENING
         return out
 
-    def read(self, partition: Range) -> Iterator[tuple[str, int, str]]:
-        """The lines that begin in the range."""
+    def read(self, partition: Ranges) -> Iterator[tuple[str, int, str]]:
+        """The lines that begin in the ranges."""
         at, _ = _open(self.folder)
-        p = partition.piece
-        with at.open_input_file(p.path) as f:
-            where = p.start
-            if where:
-                f.seek(where - 1)
-                if f.read(1) != b"\n":  # in the middle of a line of the range before
-                    where = self._next(f, where, p.end)
-            rest, f_at = b"", where
-            while where < p.stop:
-                cut = rest.find(b"\n")
-                if cut < 0:
-                    f.seek(f_at)
-                    more = f.read(min(1 << 20, p.end - f_at))
-                    if not more:
-                        return
-                    f_at, rest = f_at + len(more), rest + more
-                    continue
-                yield p.path, where, rest[:cut].decode("utf-8", "replace")
-                where, rest = where + cut + 1, rest[cut + 1 :]
+        for path, pieces in itertools.groupby(partition.pieces, key=lambda p: p.path):
+            with at.open_input_file(path) as f:
+                for p in pieces:
+                    yield from self._lines(f, p)
+
+    def _lines(self, f, p: Piece) -> Iterator[tuple[str, int, str]]:
+        where = p.start
+        if p.mark is not None and self._mark(f, where) != p.mark:
+            where = 0
+        if where:
+            f.seek(where - 1)
+            if f.read(1) != b"\n":  # in the middle of a line of the range before
+                where = self._next(f, where, p.end)
+        rest, f_at = b"", where
+        while where < p.stop:
+            cut = rest.find(b"\n")
+            if cut < 0:
+                f.seek(f_at)
+                more = f.read(min(1 << 20, p.end - f_at))
+                if not more:
+                    return
+                f_at, rest = f_at + len(more), rest + more
+                continue
+            yield p.path, where, rest[:cut].decode("utf-8", "replace")
+            where, rest = where + cut + 1, rest[cut + 1 :]
 
     @staticmethod
     def _next(f, at: int, end: int) -> int:

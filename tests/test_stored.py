@@ -47,6 +47,17 @@ def test_a_tail_gives_each_whole_line_once(tmp_path, size):
     ]
 
 
+def test_small_files_share_a_task(tmp_path):
+    """Tasks follow bytes, not files, and files that have not changed give none; the last whole line may end far before a file's end."""
+    for k in range(500):
+        (tmp_path / f"{k}.log").write_bytes(b"x\n" * (k % 3) + b"half" * (5000 if k == 7 else 1))
+    reader = tail.TailReader(str(tmp_path), 1 << 20)
+    end = reader.latestOffset()
+    assert len(reader.partitions(reader.initialOffset(), end)) == 1
+    assert len(tailed(reader, reader.initialOffset(), end)) == sum(k % 3 for k in range(500))
+    assert reader.partitions(end, end) == []
+
+
 def test_a_tail_of_nothing(tmp_path):
     reader = tail.TailReader(str(tmp_path / "none"), 10)
     assert reader.latestOffset() == {"files": {}} and reader.partitions(reader.initialOffset(), reader.latestOffset()) == []
