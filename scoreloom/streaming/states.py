@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,14 +21,47 @@ def window_counts(events: DataFrame, width: str, late: str, slide: str | None =
     return events.withWatermark("ts", late).groupBy(F.window("ts", width, slide) if slide else F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-def _by_time(frames: Iterator[pd.DataFrame]) -> list[tuple[int, int]]:
-    """(microseconds, event_id) of a key's rows in one batch, in order."""
-    rows = [x for f in frames for x in zip(f["us"].tolist(), f["event_id"].tolist(), strict=True)]
-    return sorted((int(us), int(i)) for us, i in rows)
-
+#: Groups of keys by their hash: state and timers cost about as much for a bucket as for a key, so that larger inputs may want more.
+BUCKETS = 512
+
+
+def _by_time(frames: Iterator[pd.DataFrame]) -> dict:
+    """The (microseconds, event_id) of each key's rows in one batch, in order."""
+    rows = defaultdict(list)
+    for f in frames:
+        for key, us, event in zip(f["user_id"].astype(object).tolist(), f["us"].tolist(), f["event_id"].tolist(), strict=True):
+            rows[None if pd.isna(key) else int(key)].append((int(us), int(event)))
+    return {k: sorted(v) for k, v in rows.items()}
+
+
+def _stateful(events: DataFrame, late: str, schema: str, known: str, take: Callable, expire: Callable, buckets: int | None = None) -> DataFrame:
+    """Rows of schema from take(what is known of a key or None, its rows of a batch in order): what is known then, what comes out, and the millisecond of its
+    timer. Once the watermark passes that in a batch without rows of the key, expire(what is known) comes out and the key is forgotten.
+
+    A bucket's state are its keys, their timers and a column of each value of known.
+    """
+    columns = [c.split()[0] for c in schema.split(", ")]
+    state_schema = ", ".join(f"{n} array<{t}>" for n, t in (c.split() for c in f"key long, due long, {known}".split(", ")))
+
+    def step(_bucket: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        keys = {k: (due, tuple(v)) for k, due, *v in zip(*state.get, strict=True)} if state.exists else {}
+        rows = {} if state.hasTimedOut else _by_time(frames)
+        now, out = state.getCurrentWatermarkMs(), []
+        for k in [k for k, (due, _) in keys.items() if due < now and k not in rows]:
+            out += [(k, *x) for x in expire(keys.pop(k)[1])]
+        for k, mine in rows.items():
+            value, found, due = take(keys[k][1] if k in keys else None, mine)
+            keys[k] = (max(due, now + 1), value)
+            out += [(k, *x) for x in found]
+        if keys:
+            state.update(tuple(list(c) for c in zip(*((k, due, *value) for k, (due, value) in keys.items()), strict=True)))
+            state.setTimeoutTimestamp(max(now + 1, min(due for due, _ in keys.values())))
+        else:
+            state.remove()
+        yield pd.DataFrame(out, columns=columns).astype("Int64")
 
-def _keyed(events: DataFrame, late: str) -> DataFrame:
-    return events.withWatermark("ts", late).select("user_id", "event_id", F.unix_micros("ts").alias("us"), "ts").groupBy("user_id")
+    rows = events.withWatermark("ts", late).select("user_id", "event_id", F.unix_micros("ts").alias("us"), "ts", F.pmod(F.hash("user_id"), F.lit(buckets or BUCKETS)).alias("bucket"))
+    return rows.groupBy("bucket").applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 SILENCE = "user_id long, silent_us long"
@@ -36,22 +70,18 @@ SILENCE = "user_id long, silent_us long"
 def silences(events: DataFrame, ttl_ms: int, late: str) -> DataFrame:
     """Per worker each moment at which its last beat was ttl_ms old: seen at the next beat, or by a timer once the watermark passes it."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, told = state.get if state.exists else (None, True)
-        found = []
-        if state.hasTimedOut:
-            found = [] if told else [last + ttl_ms * 1000]
-            state.remove()  # a worker that comes back begins anew
-        else:
-            for us, _ in _by_time(frames):
-                if last is not None and us - last > ttl_ms * 1000 and not told:
-                    found.append(last + ttl_ms * 1000)
-                last, told = us, False
-            state.update((last, told))
-            state.setTimeoutTimestamp(max(last // 1000 + ttl_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"user_id": [key[0]] * len(found), "silent_us": pd.Series(found, dtype="int64")})
+    def take(known: tuple | None, rows: list[tuple[int, int]]) -> tuple:
+        last, found = known[0] if known else None, []
+        for us, _ in rows:
+            if last is not None and us - last > ttl_ms * 1000:
+                found.append((last + ttl_ms * 1000,))
+            last = us
+        return (last,), found, last // 1000 + ttl_ms
+
+    def expire(known: tuple) -> list[tuple]:
+        return [(known[0] + ttl_ms * 1000,)]  # a worker that comes back begins anew
 
-    return _keyed(events, late).applyInPandasWithState(step, SILENCE, "last long, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return _stateful(events, late, SILENCE, "last long", take, expire)
 
 
 RETRY = "user_id long, event_id long, due_us long, attempt long"
@@ -60,23 +90,18 @@ RETRY = "user_id long, event_id long, due_us long, attempt long"
 def retries(errors: DataFrame, delay_ms: int = 30_000, most: int = 2, counter_ms: int = 3_600_000, late: str = "10 minutes") -> DataFrame:
     """Failed tasks that are tried again after delay_ms, each key most times; a timer drops its counter once it is counter_ms old."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        attempts, last = state.get if state.exists else (0, None)
+    def take(known: tuple | None, rows: list[tuple[int, int]]) -> tuple:
+        attempts, last = known or (0, None)
         out = []
-        if state.hasTimedOut:
-            state.remove()
-        else:
-            for us, event in _by_time(frames):
-                attempts = 0 if last is not None and us - last > counter_ms * 1000 else attempts
-                last = us
-                if attempts < most:
-                    attempts += 1
-                    out.append((key[0], event, us + delay_ms * 1000, attempts))
-            state.update((attempts, last))
-            state.setTimeoutTimestamp(max(last // 1000 + counter_ms + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "due_us", "attempt"]).astype("int64")
+        for us, event in rows:
+            attempts = 0 if last is not None and us - last > counter_ms * 1000 else attempts
+            last = us
+            if attempts < most:
+                attempts += 1
+                out.append((event, us + delay_ms * 1000, attempts))
+        return (attempts, last), out, last // 1000 + counter_ms + 1
 
-    return _keyed(errors, late).applyInPandasWithState(step, RETRY, "attempts long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return _stateful(errors, late, RETRY, "attempts long, last long", take, lambda known: [])
 
 
 GRANT = "user_id long, us long"
@@ -85,18 +110,12 @@ GRANT = "user_id long, us long"
 def locks(events: DataFrame, life_ms: int = 600_000, late: str = "10 minutes") -> DataFrame:
     """The requests that get a key's lock: the first, and later ones once the lock is life_ms old; a timer drops old locks."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        until = state.get[0] if state.exists else None
-        out = []
-        if state.hasTimedOut:
-            state.remove()
-        else:
-            for us, _ in _by_time(frames):
-                if until is None or us >= until:
-                    until = us + life_ms * 1000
-                    out.append(us)
-            state.update((until,))
-            state.setTimeoutTimestamp(max(until // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"user_id": [key[0]] * len(out), "us": pd.Series(out, dtype="int64")})
-
-    return _keyed(events, late).applyInPandasWithState(step, GRANT, "until long", "append", GroupStateTimeout.EventTimeTimeout)
+    def take(known: tuple | None, rows: list[tuple[int, int]]) -> tuple:
+        until, out = known[0] if known else None, []
+        for us, _ in rows:
+            if until is None or us >= until:
+                until = us + life_ms * 1000
+                out.append((us,))
+        return (until,), out, until // 1000 + 1
+
+    return _stateful(events, late, GRANT, "until long", take, lambda known: [])

@@ -13,7 +13,7 @@ from pyspark.errors import StreamingQueryException
 
 from scoreloom.plans import streams
 from scoreloom.sources.files import scratch
-from scoreloom.streaming import processors, sinks
+from scoreloom.streaming import processors, sinks, states
 
 START = datetime(2024, 1, 1)
 ROW = "event_id long, ts timestamp, user_id long, event_type string, value double"
@@ -145,3 +145,31 @@ def test_a_worker_that_beats_again_is_not_restarted(spark):
     out = streams.drained(streams.Replay(events(spark, rows), tick=timedelta(days=1)), step, "append", processors.RESTART).collect()
     got = sorted((r["user_id"], (r["decided_us"] - zero) // 1_000_000, r["reason"], r["action"]) for r in out)
     assert got == [(1, 90, "heartbeat", "skipped"), (1, 200, "cuda_error", "skipped"), (1, 300, "cuda_error", "restart"), (2, 90, "heartbeat", "restart"), (3, 90, "heartbeat", "restart")]
+
+
+def test_keys_of_one_bucket_are_kept_apart(spark, monkeypatch):
+    """Silences, locks and retries of many keys in few buckets, over parts in which some have no rows, against plain versions."""
+    monkeypatch.setattr(states, "BUCKETS", 3)
+    rows = some(200, 11, users=40, span=9000)
+    table = events(spark, rows)
+    by = defaultdict(list)
+    for i, s, u, _ in sorted(rows, key=lambda x: (x[1], x[0])):
+        by[u].append((s, i))
+    zero = table.selectExpr("min(unix_seconds(ts)) AS s").first()["s"] - min(x[1] for x in rows)
+
+    def ran(step, schema):
+        return streams.drained(streams.Replay(table), step, "append", schema).collect()
+
+    end = max(x[1] for x in rows)
+    silent = {(u, s + 600) for u, mine in by.items() for (s, _), (n, _) in zip(mine, [*mine[1:], (None, None)], strict=True) if (n is None and s + 600 <= end - 60) or (n is not None and n - s > 600)}
+    got = ran(lambda s: states.silences(s, 600_000, "1 minute"), states.SILENCE)
+    assert sorted((r["user_id"], r["silent_us"] // 1_000_000 - zero) for r in got) == sorted(silent)
+    granted = set()
+    for u, mine in by.items():
+        until = None
+        for s, _ in mine:
+            if until is None or s >= until:
+                granted.add((u, s))
+                until = s + 600
+    got = ran(lambda s: states.locks(s, 600_000), states.GRANT)
+    assert sorted((r["user_id"], r["us"] // 1_000_000 - zero) for r in got) == sorted(granted)
