@@ -1,71 +1,89 @@
 """Stateful processors of keyed streams, for transformWithState in event time with the RocksDB state store.
 
 Each keeps arrivals in a list state until the watermark has passed them and then takes them in the order of (microseconds, event_id),
-so that neither the order of files nor that of rows in a batch matters. One timer a key wakes it when something is due.
+so that neither the order of files nor that of rows in a batch matters. Keys share buckets by their hash, as each access to a state and each timer
+costs about as much for a bucket as for a key. One timer a bucket wakes it when something is due.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
 from collections.abc import Iterator
+from operator import itemgetter
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, GroupedData, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Groups of keys; each is read and written at once, so that larger inputs may want more.
+BUCKETS = 512
+
+
 class InOrder(StatefulProcessor):
-    """Takes a key's rows in time order. Subclasses name their arrivals' schema (us and event_id first) and say what to do at each and by when."""
+    """Takes each key's rows in time order. Subclasses name the key and their arrivals' schema (us and event_id first) and say what to do at each and by when."""
 
+    key = "user_id long"
     arrival = "us long, event_id long"
     value = "n long"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.arrival)
-        self.memory = handle.getValueState("memory", self.value)
+        self.waiting = handle.getListState("waiting", f"{self.key}, {self.arrival}")
+        self.memory = handle.getListState("memory", f"{self.key}, {self.value}")
         self.timer = handle.getValueState("timer", "at long")
 
-    def recall(self) -> Any:
-        """What is known of the key between batches; None at first."""
-        return tuple(self.memory.get()) if self.memory.exists() else None
-
     def take(self, key: tuple, known: Any, rows: list[tuple], now: int) -> tuple[Any, list[Row], int | None]:
-        """From what is known, the rows before now in order, and now in microseconds: what is known then, what comes out, and when to wake again."""
+        """From what is known of a key (None at first), its rows before now in order, and now in microseconds: what is known then, what comes out, and when to
+        wake again. It may also be called when nothing of the key is due."""
         raise NotImplementedError
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        names = [c.split()[0] for c in self.arrival.split(", ")]
-        new = [tuple(r[n] for n in names) for r in rows]
+        names = [c.split()[0] for c in f"{self.key}, {self.arrival}".split(", ")]
+        new, pick = [], None
+        for r in rows:
+            pick = pick or itemgetter(*[r.__fields__.index(n) for n in names])
+            new.append(pick(r))
         if new:
             self.waiting.appendList(new)
-            self._wake(min(r[0] for r in new))
+            self._wake(min(r[1] for r in new))
         return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         self.timer.clear()
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        held = [tuple(r) for r in self.waiting.get()]
-        ready = sorted(r for r in held if r[0] < now)
+        ready, rest = defaultdict(list), []
+        for r in map(tuple, self.waiting.get()):
+            if r[1] < now:
+                ready[r[0]].append(r[1:])
+            else:
+                rest.append(r)
         if ready:
-            rest = [r for r in held if r[0] >= now]
             self.waiting.clear()
             if rest:
                 self.waiting.appendList(rest)
-        known, out, due = self.take(key, self.recall(), ready, now)
-        if known is None:
+        known = {m[0]: tuple(m[1:]) for m in self.memory.get()}
+        kept, found, wake = [], [], [r[1] for r in rest]
+        for k in known | ready:
+            value, out, due = self.take((k,), known.get(k), sorted(ready.get(k, ())), now)
+            found += out
+            if value is not None:
+                kept.append((k, *value))
+            if due is not None:
+                wake.append(due)
+        if known:
             self.memory.clear()
-        else:
-            self.memory.update(known)
-        for at in (due, min((r[0] for r in held if r[0] >= now), default=None)):
-            if at is not None:
-                self._wake(at)
-        return iter(out)
+        if kept:
+            self.memory.appendList(kept)
+        if wake:
+            self._wake(min(wake))
+        return iter(found)
 
     def _wake(self, us: int) -> None:
-        """Sets the key's timer to the millisecond after us, unless it is set to an earlier one."""
+        """Sets the bucket's timer to the millisecond after us, unless it is set to an earlier one."""
         at = us // 1000 + 1
         if self.timer.exists():
             if (known := self.timer.get()[0]) <= at:
@@ -78,10 +96,14 @@ class InOrder(StatefulProcessor):
         pass
 
 
-def run(rows: DataFrame, key: str, late: str, processor: StatefulProcessor, schema: str, initial: DataFrame | None = None) -> DataFrame:
-    """rows (key, ts, us and the processor's columns) through the processor; initial has one row a key."""
-    keyed = rows.withWatermark("ts", late).groupBy(key)
-    return keyed.transformWithState(processor, schema, "append", "eventTime", initial.groupBy(key) if initial is not None else None)
+def _by_bucket(rows: DataFrame, processor: InOrder, buckets: int | None) -> GroupedData:
+    return rows.withColumn("bucket", F.pmod(F.hash(processor.key.split()[0]), F.lit(buckets or BUCKETS))).groupBy("bucket")
+
+
+def run(rows: DataFrame, late: str | None, processor: InOrder, schema: str, initial: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
+    """rows (key, ts, us and the processor's columns) through the processor; initial has one row a key. Rows without late have a watermark."""
+    keyed = _by_bucket(rows.withWatermark("ts", late) if late else rows, processor, buckets)
+    return keyed.transformWithState(processor, schema, "append", "eventTime", _by_bucket(initial, processor, buckets) if initial is not None else None)
 
 
 COUNTED = "user_id long, event_id long, n_trailing long, alert boolean"
@@ -115,7 +137,7 @@ class TrailingCounts(InOrder):
 def trailing_counts(events: DataFrame, marked: str, span_us: int = 300_000_000, alert: int = 50, late: str = "10 minutes") -> DataFrame:
     """COUNTED for every row of events (user_id, event_id, ts, ...), once the watermark has passed it."""
     rows = events.select("user_id", "event_id", "ts", F.unix_micros("ts").alias("us"), F.expr(marked).alias("marked"))
-    return run(rows, "user_id", late, TrailingCounts(span_us, alert), COUNTED)
+    return run(rows, late, TrailingCounts(span_us, alert), COUNTED)
 
 
 RESTART = "user_id long, decided_us long, reason string, action string"
@@ -133,7 +155,7 @@ class WorkerMonitor(InOrder):
         self.ttl, self.grace, self.settle = ttl_us, grace_us, settle_us
 
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
-        self.memory.update((initialState.start_us, None, False, None, None))
+        self.memory.appendValue((initialState.user_id, initialState.start_us, None, False, None, None))
         self._wake(initialState.start_us + self.grace)
 
     def take(self, key, known, rows, now):
@@ -174,7 +196,7 @@ class WorkerMonitor(InOrder):
 def worker_monitor(events: DataFrame, expected: DataFrame, error: str, ttl_us: int = 120_000_000, grace_us: int = 90_000_000, settle_us: int = 0, late: str = "10 minutes") -> DataFrame:
     """RESTART of the workers in expected (user_id, start_us) by their beats and errors (events: user_id, event_id, ts, ...)."""
     rows = events.select("user_id", "event_id", "ts", F.unix_micros("ts").alias("us"), F.expr(error).alias("error"))
-    return run(rows, "user_id", late, WorkerMonitor(ttl_us, grace_us, settle_us), RESTART, expected.select("user_id", "start_us"))
+    return run(rows, late, WorkerMonitor(ttl_us, grace_us, settle_us), RESTART, expected.select("user_id", "start_us"))
 
 
 TAKEN = "queue string, ask_id long, task_id long, answered_us long"
@@ -184,6 +206,7 @@ class BlockingQueue(InOrder):
     """Answers asks from a queue: each gets the waiting task first in priority, then arrival; without one it waits for the next
     task, at most timeout_us, and is then answered with none. Asks wait in the order they came in."""
 
+    key = "queue string"
     arrival, value = "us long, event_id long, ask boolean, priority int", "tasks array<struct<priority:int,us:long,id:long>>, asks array<struct<us:long,id:long>>"
 
     def __init__(self, timeout_us: int):
@@ -193,7 +216,7 @@ class BlockingQueue(InOrder):
         import heapq
 
         tasks = [tuple(t) for t in known[0]] if known else []
-        asks = [tuple(a) for a in known[1]] if known else []
+        asks = deque(tuple(a) for a in known[1]) if known else deque()
         heapq.heapify(tasks)
         out: list[Row] = []
 
@@ -202,7 +225,7 @@ class BlockingQueue(InOrder):
 
         def pass_time(us: int) -> None:
             while asks and asks[0][0] + self.timeout < us:
-                first = asks.pop(0)
+                first = asks.popleft()
                 answer(first, None, first[0] + self.timeout)
 
         for us, event, ask, priority in rows:
@@ -212,18 +235,18 @@ class BlockingQueue(InOrder):
             elif ask:
                 asks.append((us, event))
             elif asks:
-                answer(asks.pop(0), event, us)
+                answer(asks.popleft(), event, us)
             else:
                 heapq.heappush(tasks, (priority, us, event))
         pass_time(now)
-        return ((tasks, asks) if tasks or asks else None), out, (asks[0][0] + self.timeout if asks else None)
+        return ((tasks, list(asks)) if tasks or asks else None), out, (asks[0][0] + self.timeout if asks else None)
 
 
 def consumed(rows: DataFrame, timeout_us: int, late: str = "10 minutes") -> DataFrame:
     """TAKEN of rows (queue, event_id, ts, ask, priority): tasks put into queues and the asks of workers; a task put in again is one task."""
     once = rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(["queue", "ask", "event_id"])
-    keyed = once.select("queue", "event_id", "ts", F.unix_micros("ts").alias("us"), "ask", "priority").groupBy("queue")
-    return keyed.transformWithState(BlockingQueue(timeout_us), TAKEN, "append", "eventTime")
+    rows = once.select("queue", "event_id", "ts", F.unix_micros("ts").alias("us"), "ask", "priority")
+    return run(rows, None, BlockingQueue(timeout_us), TAKEN)
 
 
 BEAT = "user_id long, beats long, last_us long"
@@ -278,7 +301,7 @@ PATTERN = "code long, event_id long, n_errors long"
 class ErrorPatterns(InOrder):
     """Each error with the number of its code's errors so far; the count is forgotten once its last error is ttl_us old."""
 
-    value = "n long, last long"
+    key, value = "code long", "n long, last long"
 
     def __init__(self, ttl_us: int):
         self.ttl = ttl_us
@@ -298,4 +321,4 @@ class ErrorPatterns(InOrder):
 def error_patterns(errors: DataFrame, ttl_us: int = 86_400_000_000, late: str = "10 minutes") -> DataFrame:
     """PATTERN of errors (code, event_id, ts)."""
     rows = errors.where("code IS NOT NULL OR event_id IS NULL").select("code", "event_id", "ts", F.unix_micros("ts").alias("us"))
-    return run(rows, "code", late, ErrorPatterns(ttl_us), PATTERN)
+    return run(rows, late, ErrorPatterns(ttl_us), PATTERN)

@@ -173,3 +173,11 @@ def test_keys_of_one_bucket_are_kept_apart(spark, monkeypatch):
                 until = s + 600
     got = ran(lambda s: states.locks(s, 600_000), states.GRANT)
     assert sorted((r["user_id"], r["us"] // 1_000_000 - zero) for r in got) == sorted(granted)
+
+
+def test_processors_keep_keys_of_one_bucket_apart(spark, monkeypatch):
+    monkeypatch.setattr(processors, "BUCKETS", 2)
+    rows = some(150, 13, users=30)
+    out = streams.drained(streams.Replay(events(spark, rows), tick=timedelta(days=1)), lambda s: processors.trailing_counts(s, "event_type = 'error'", alert=2), "append", processors.COUNTED)
+    got = sorted((r["event_id"], r["n_trailing"]) for r in out.where("user_id IS NOT NULL").collect())
+    assert got == sorted((i, sum(v == u and kind == "error" and s - 300 < t <= s for _, t, v, kind in rows)) for i, s, u, _ in rows)
