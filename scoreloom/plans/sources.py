@@ -49,12 +49,18 @@ def s05(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Log lines that one task sorts, about.
+ROWS_A_TASK = 500_000
+
+
 def worker_seconds(rows: DataFrame) -> DataFrame:
     """The last seconds of each worker and task in a log with a line for each of rows, in many files; those that aren't done tell of no completion."""
     path = files.scratch(rows.sparkSession)
     line = F.when(F.col("done"), F.format_string("INFO Worker w%d completed task t%d_compile in %.1fs", F.col("l_linenumber") % 3, "l_orderkey", "l_quantity")).otherwise(F.format_string("INFO Worker w%d took task t%d_compile", F.col("l_linenumber") % 3, "l_orderkey"))
-    rows.repartitionByRange("l_orderkey").sortWithinPartitions("l_orderkey", "l_quantity").select(line.alias("value")).write.text(path)
-    return files.worker_log(rows.sparkSession, path).groupBy("worker_id", "task_id").agg(F.max_by("seconds", F.struct("path", "line_no")).alias("seconds"))
+    parts = rows.count() // ROWS_A_TASK + 1  # what a task sorts is bounded, whatever the input
+    rows.repartitionByRange(parts, "l_orderkey").sortWithinPartitions("l_orderkey", "l_quantity").select(line.alias("value")).write.text(path)
+    done = files.worker_log(rows.sparkSession, path).repartition(parts, "worker_id", "task_id")
+    return done.groupBy("worker_id", "task_id").agg(F.max_by("seconds", F.struct("path", "line_no")).alias("seconds"))
 
 
 @query("s06_worker_log_whole", "SELECT 'w' || (l_linenumber % 3) AS worker_id, 't' || l_orderkey || '_compile' AS task_id, max(l_quantity) AS seconds FROM lineitem GROUP BY 1, 2")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import stats
 from scoreloom.operators import documents, joins, ordered
+from scoreloom.plans import sources
 from scoreloom.sources import cases, files, tables, tail
 
 
@@ -63,6 +64,13 @@ def test_a_tail_of_nothing(tmp_path):
     assert reader.latestOffset() == {"files": {}} and reader.partitions(reader.initialOffset(), reader.latestOffset()) == []
 
 
+def test_tasks_of_a_worker_log_grow_in_number_not_in_size(spark, monkeypatch):
+    monkeypatch.setattr(sources, "ROWS_A_TASK", 1000)
+    rows = spark.range(5500).selectExpr("id AS l_orderkey", "CAST(id % 7 AS INT) AS l_linenumber", "CAST(id AS DOUBLE) AS l_quantity", "true AS done")
+    out = sources.worker_seconds(rows)
+    assert out.count() == 5500 and out.rdd.getNumPartitions() == 6
+
+
 def test_declared_cases(spark):
     def of(x):
         return [(r["idx"], r["name"], r["inputs"], r["outputs"], r["rtol"]) for r in spark.createDataFrame([(x,)], "d string").lateralJoin(cases.Cases(F.col("d").outer())).collect()]
