@@ -26,42 +26,37 @@ THRESHOLD, SHORTEST = 2, 20
 COUNTED = ("e", "a", "t", "o", "i", "n", "s", "r", " ", "0123456789")
 
 
-def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
+def segment(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
     """(start from 1, characters) of segment i from 0 in a line of that length: even, the longer ones last."""
-    base, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    extra = F.greatest(F.lit(0), F.lit(i - parts) + longer)
-    return F.lit(1) + F.lit(i) * base + extra, base + F.when(F.lit(i) >= F.lit(parts) - longer, 1).otherwise(0)
-
-
-def _key(length: Column, i: int, piece: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), piece)
-
-
-def index_keys(line: Column, size: Column, threshold: int = THRESHOLD) -> Column:
-    """The keys of a line's own segments."""
-    keys = []
-    for i in range(threshold + 1):
-        start, n = segment(size, i, threshold + 1)
-        keys.append(_key(size, i, F.substring(line, start, n)))
-    return F.array(*keys)
-
-
-def probe_keys(line: Column, size: Column, threshold: int = THRESHOLD) -> Column:
-    """The keys of the substrings that may be a segment of a line as long or up to threshold shorter; the line's own segments come first."""
-    own, other = [], []
-    for shorter in range(threshold + 1):
-        length = size - shorter
-        for i in range(threshold + 1):
-            start, n = segment(length, i, threshold + 1)
-            # edits before the segment shift it by i at most, edits after it by what is left of the threshold
-            for shift in range(max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i)) + 1):
-                at = start + shift
-                key = _key(length, i, F.substring(line, at, n))
-                if shorter or shift:
-                    other.append(F.when((at >= 1) & (at + n - 1 <= size), key))
-                else:
-                    own.append(key)
-    return F.array_compact(F.array(*own, *other))  # faster than null keys that are filtered later: those make one huge method
+    longer = length % parts
+    base = ((length - longer) / parts).cast("int")
+    return F.lit(1) + i * base + F.greatest(F.lit(0), i - parts + longer), base + (i >= F.lit(parts) - longer).cast("int")
+
+
+def places(threshold: int = THRESHOLD) -> list[tuple[int, int, int]]:
+    """(shorter, i, shift): where a line may hold segment i of a line as long or up to threshold shorter; the line's own segments come first.
+
+    Edits before the segment shift it by i at most, edits after it by what is left of the threshold. Each place lies within any line of more than twice
+    the threshold's characters; in shorter ones some give a piece cut short, which can only add candidates.
+    """
+    found = [
+        (shorter, i, shift)
+        for shorter in range(threshold + 1) for i in range(threshold + 1)
+        for shift in range(max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i)) + 1)
+    ]
+    return sorted(found, key=lambda p: p[0] > 0 or p[2] != 0)
+
+
+def keyed(lines: DataFrame, at: list[tuple[int, int, int]], threshold: int = THRESHOLD) -> DataFrame:
+    """(h, key, own) for each of these places in each of lines (h, line, size); own: it is one of the line's own segments.
+
+    Places are rows, not columns: the key is one short expression, which Spark compiles.
+    """
+    rows = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("shorter", "i", "shift"), p, strict=True)]) for p in at])
+    length = F.col("size") - F.col("shorter")
+    start, n = segment(length, F.col("i"), threshold + 1)
+    key = F.xxhash64(length, "i", F.substring(F.col("line"), start + F.col("shift"), n))
+    return lines.select("h", "line", "size", F.inline(rows)).select("h", key.alias("key"), ((F.col("shorter") == 0) & (F.col("shift") == 0)).alias("own"))
 
 
 def _let(x: Column, then: Callable[[Column], Column]) -> Column:
@@ -177,9 +172,9 @@ def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """
     size = F.char_length("line")
     distinct = lines.select("line").distinct().select(F.xxhash64("line").alias("h"), "line", size.alias("size"))
-    index = distinct.select("h", F.explode(index_keys(F.col("line"), F.col("size"), threshold)).alias("key"))
-    first = index.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
-    probes = distinct.select("h", F.posexplode(probe_keys(F.col("line"), F.col("size"), threshold)).alias("at", "key")).select("h", "key", (F.col("at") <= threshold).alias("own"))
+    probed = places(threshold)
+    first = keyed(distinct, probed[: threshold + 1], threshold).groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    probes = keyed(distinct, probed, threshold)
     met = cut(probes.join(first, "key").where((F.col("h") != F.col("lo")) | (F.col("lo") != F.col("hi"))))
     wanted = met.select(F.explode(F.array("h", "lo", "hi")).alias("h")).distinct()
     known = cut(likely(lines.select(F.xxhash64("line").alias("h"), "line"), "h", wanted).distinct().join(wanted, "h", "left_semi").withColumn("k", F.unhex(F.md5("line"))).withColumn("counts", counts(F.col("line"))))
@@ -192,11 +187,13 @@ def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     many = met.where("lo <> hi")
     if many.isEmpty():
         return found
+    # a row a line, which holds its keys, as many as there are places at most: what is known of a line meets it once, not once a key
+    held = cut(many.groupBy("h").agg(F.collect_set(F.struct("key", "hi", "own")).alias("held")))
 
     def mixed() -> DataFrame:
         """The rows of keys that hold several classes; a hash of several lines stands for all of them."""
         named = known.select("h", "k").join(components(found).withColumnRenamed("id", "k"), "k", "left").groupBy("h").agg(F.min(F.coalesce("component", "k")).alias("class"))
-        placed = many.join(cut(named), "h")
+        placed = cut(held.join(named, "h")).select("h", "class", F.inline("held"))
         keys = placed.groupBy("key").agg(F.min("class").alias("lo_class"), F.max("class").alias("hi_class")).where("lo_class <> hi_class").select("key")
         return cut(placed.join(keys, "key", "left_semi"))
 
@@ -206,9 +203,11 @@ def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     if rest.isEmpty():
         return found
     # a pair meets in one of the keys it shares: the first of the indexed line's own, and one way if both have the other's
-    keys = many.groupBy("h").agg(F.collect_set("key").alias("keys"), F.sort_array(F.collect_set(F.when(F.col("own"), F.col("key")))).alias("own_keys"))
+    own_keys = F.array_sort(F.array_distinct(F.filter("held", lambda x: x["own"])["key"]))
+    keys = held.select("h", F.array_distinct(F.col("held.key")).alias("keys"), own_keys.alias("own_keys"))
     signs = known.join(rest.select("h").distinct(), "h", "left_semi").select("h", "counts", parities(F.col("line")).alias("sign"))
-    rest = cut(rest.join(signs, "h").join(keys, "h").select("key", "h", "own", "class", "counts", "sign", "keys", "own_keys"))
+    left = rest.groupBy("h").agg(F.first("class").alias("class"), F.collect_set(F.struct("key", "own")).alias("rest"))
+    rest = cut(left.join(signs, "h").join(keys, "h").select("h", "class", "counts", "sign", "keys", "own_keys", F.inline("rest")))
     other = rest.select("key", *[F.col(c).alias(f"{c}2") for c in ("h", "own", "class", "counts", "sign", "keys", "own_keys")])
     near = (F.bit_count(F.col("sign").bitwiseXOR(F.col("sign2"))) <= 2 * threshold) & may_be_near(F.col("counts"), F.col("counts2"), threshold)
     once = (F.array_min(F.array_intersect("own_keys", "keys2")) == F.col("key")) & (~F.col("own2") | (F.col("h") < F.col("h2")) | (F.array_min(F.array_intersect("own_keys2", "keys")) != F.col("key")))

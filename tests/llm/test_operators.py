@@ -329,6 +329,37 @@ def test_lines_against_brute_force(spark, odd, hot):
     assert lines.deduplicate(docs).columns == docs.columns and lines.deduplicate(docs).count() == docs.count()
 
 
+def test_what_is_known_of_a_line_meets_it_once(spark, monkeypatch):
+    """A line of a large group shares many keys; joins by its hash make a row a line, not a row a key."""
+    r = random.Random(5)
+    text = "the quick brown fox jumps over the lazy dog and runs away"
+    near = [text[:i] + r.choice("xyz") + text[i + 1 :] for i in range(0, 50, 2)] + [text[:i] + "qwk" + text[i + 3 :] for i in range(0, 50, 5)]
+    docs = docs_of(spark, ["\n".join(near[i::3]) for i in range(3)])
+    made, join = [], type(docs).join
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if on == "h" and how is None:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(docs), "join", counted)
+    out = lines.line_classes(docs).select("doc_id", "line_no", "class_doc", "class_line", "kept").collect()
+    monkeypatch.undo()
+    assert made and max(made) <= len(set(near))
+    assert Counter(tuple(x) for x in out) == line_classes_by_force(docs)[0]
+
+
+def test_places_lie_within_lines():
+    for threshold in (1, 2, 3):
+        for size in range(2 * threshold + 1, 60):
+            for shorter, i, shift in lines.places(threshold):
+                parts, length = threshold + 1, size - shorter
+                base, longer = divmod(length, parts)
+                start, n = 1 + i * base + max(0, i - parts + longer) + shift, base + (i >= parts - longer)
+                assert start >= 1 and start + n - 1 <= size
+
+
 def test_short_lines_have_rows_and_classes_by_equality(spark, tmp_path):
     """Short lines link to nothing, not even to near ones; blank lines give no row."""
     long = "a line that is long enough"
