@@ -281,16 +281,46 @@ def heartbeats(events: DataFrame, ttl_ms: int = 120_000) -> DataFrame:
 WAITED = "worker long, task_id long, submitted timestamp, reason string"
 
 
+class Overdue(InOrder):
+    """Submissions that no assignment of their worker follows within limit_us, both ends included. An assignment answers all that wait, so that each is
+    looked at twice, however many a worker has. A null worker has no assignments."""
+
+    key, arrival, value = "worker long", "us long, event_id long, assigned boolean", "waits array<struct<us:long,id:long>>"
+
+    def __init__(self, limit_us: int):
+        self.limit = limit_us
+
+    def take(self, key, known, rows, now):
+        waits = deque(tuple(w) for w in known[0]) if known else deque()
+        out: list[Row] = []
+
+        def pass_time(us: int) -> None:
+            while waits and waits[0][0] + self.limit < us:
+                first = waits.popleft()
+                out.append(Row(worker=key[0], task_id=first[1], submitted_us=first[0]))
+
+        for us, task, assigned in sorted(rows, key=lambda r: (r[0], r[2])):  # an assignment comes after the submissions of its moment
+            pass_time(us)
+            if assigned:
+                waits.clear()
+            else:
+                waits.append((us, task))
+        pass_time(now)
+        return ((list(waits),) if waits else None), out, (waits[0][0] + self.limit if waits else None)
+
+
 def overdue(submitted: DataFrame, assigned: DataFrame, limit: str, stale: str, late: str = "1 hour") -> DataFrame:
     """WAITED: submissions (worker, task_id, submitted) that no assignment (by, assigned) of their worker follows within limit, once the
-    watermarks of both streams have passed it, and at once those for which `stale` holds.
+    watermark of both streams has passed it, and at once those for which `stale` holds.
 
-    A left outer join of two streams: its state are the submissions and assignments of the last `limit`.
+    The state are the submissions that still wait; a join of the streams would make all pairs of a worker's submissions and assignments.
     """
-    waits = submitted.where(f"NOT ({stale})").withWatermark("submitted", late)
-    done = assigned.withWatermark("assigned", late)
-    near = F.expr(f"worker = by AND assigned >= submitted AND assigned <= submitted + INTERVAL {limit}")
-    late_ones = waits.join(done, near, "leftOuter").where("assigned IS NULL").select("worker", "task_id", "submitted", F.lit("queue_wait_timeout").alias("reason"))
+    limit_us = submitted.sparkSession.sql(f"SELECT unix_micros(timestamp_micros(0) + INTERVAL {limit})").first()[0]
+    waits = submitted.where(f"NOT ({stale}) AND submitted IS NOT NULL").select("worker", F.col("task_id").alias("event_id"), F.col("submitted").alias("ts"), F.lit(False).alias("assigned"))
+    done = assigned.where("by IS NOT NULL AND assigned IS NOT NULL").select(F.col("by").alias("worker"), F.lit(0).cast("long").alias("event_id"), F.col("assigned").alias("ts"), F.lit(True).alias("assigned"))
+    rows = waits.unionByName(done).withColumn("us", F.unix_micros("ts"))
+    late_ones = run(rows, late, Overdue(limit_us), "worker long, task_id long, submitted_us long")
+    late_ones = late_ones.select("worker", "task_id", F.timestamp_micros("submitted_us").alias("submitted"), F.lit("queue_wait_timeout").alias("reason"))
     wrong = submitted.where(stale).select("worker", "task_id", "submitted", F.lit("stale_assignment").alias("reason"))
     return late_ones.unionByName(wrong)
 

@@ -10,6 +10,7 @@ from pathlib import Path
 
 import pytest
 from pyspark.errors import StreamingQueryException
+from pyspark.sql import Row
 
 from scoreloom.plans import streams
 from scoreloom.sources.files import scratch
@@ -137,6 +138,16 @@ def test_a_scan_requeues_so_many_of_a_worker_and_keeps_the_rest(spark):
         assert mine == sorted(mine)
 
 
+def test_overdue_submissions_take_one_look_at_each():
+    """One worker, 100,000 submissions within the limit of 100,000 assignments: pairs of them would be 10^10. Ends of the limit count, as does an assignment of the same moment."""
+    step = processors.Overdue(100)
+    assert step.take((1,), None, [(0, 1, False), (100, 0, True), (200, 2, False), (301, 0, True), (400, 0, True), (400, 3, False)], 450)[1] == [Row(worker=1, task_id=2, submitted_us=200)]
+    many = sorted([(i, i, False) for i in range(100_000)] + [(i, 0, True) for i in range(100_000)])
+    known, out, due = processors.Overdue(10**9).take((1,), None, [*many, (100_000, 7, False)], 200_000)
+    assert not out and known == ([(100_000, 7)],) and due == 100_000 + 10**9
+    assert processors.Overdue(10**9).take((1,), known, [], 10**10) == (None, [Row(worker=1, task_id=7, submitted_us=100_000)], None)
+
+
 def test_a_worker_that_beats_again_is_not_restarted(spark):
     rows = [(1, 100, 1, "view"), (2, 200, 1, "error"), (3, 220, 1, "view"), (4, 300, 1, "error"), (5, 310, 1, "error"), (6, 500, 2, "error"), (7, 50, 9, "view")]
     zero = events(spark, [(0, 0, 0, "x")]).selectExpr("unix_micros(ts) AS us").first()["us"]
