@@ -174,14 +174,13 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def _mapped(column: str, out: str, kind: pa.DataType, of: Callable[[], Callable], end: Callable[[], None]):
-    """mapInArrow function that replaces column by out = of()(value), in batches of bounded size; end() comes last."""
+def _mapped(column: str, outs: tuple[str, ...], of: Callable[[], Callable[..., tuple[bytes, ...]]], end: Callable[[], None], keep: bool = False):
+    """mapInArrow function that adds the binary columns outs = of()(value of column), in batches of bounded size; column goes unless kept; end() comes last."""
 
-    def flush(batch: pa.RecordBatch, start: int, values: list) -> pa.RecordBatch:
-        part, at = batch.slice(start, len(values)), batch.schema.get_field_index(column)
-        columns = [c for i, c in enumerate(part.columns) if i != at]
-        names = [n for i, n in enumerate(batch.schema.names) if i != at]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(values, kind)], names=[*names, out])
+    def flush(batch: pa.RecordBatch, start: int, values: list[tuple[bytes, ...]]) -> pa.RecordBatch:
+        part = batch.slice(start, len(values))
+        others = {n: c for n, c in zip(batch.schema.names, part.columns, strict=True) if keep or n != column}
+        return pa.RecordBatch.from_pydict(others | {n: pa.array([v[k] for v in values], pa.binary()) for k, n in enumerate(outs)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         do = of()
@@ -190,7 +189,7 @@ def _mapped(column: str, out: str, kind: pa.DataType, of: Callable[[], Callable]
                 start, size, values = 0, 0, []
                 for x in batch.column(column):
                     values.append(do(x.as_py()))
-                    size += len(values[-1])
+                    size += sum(map(len, values[-1]))
                     if size >= BATCH_BYTES:
                         yield flush(batch, start, values)
                         start, size, values = start + len(values), 0, []
@@ -203,23 +202,46 @@ def _mapped(column: str, out: str, kind: pa.DataType, of: Callable[[], Callable]
     return run
 
 
+def _replaced(docs: DataFrame, column: str, outs: tuple[str, ...], path: str, pattern: str, of: Callable[[], Callable[..., tuple[bytes, ...]]]) -> DataFrame:
+    """docs with column replaced by outs; other columns of these names go."""
+    docs = docs.drop(*(n for n in outs if n != column))
+    others = docs.drop(column)
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in others.dtypes), *(f"{n} binary" for n in outs)])
+    # a worker serves other tasks after this one, so that what it learnt of words doesn't stay
+    mapped = _mapped(column, outs, of, lambda: codec(path, pattern).forget())
+    return docs.select(*[F.col(f"`{c}`") for c in others.columns], F.col(column)).mapInArrow(mapped, schema)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, column: str = "text") -> DataFrame:
     """docs with column replaced by ids: its encoding as little-endian unsigned 32-bit integers, binary.
 
     Each match of pattern is encoded separately, without special tokens. Null and empty texts have no ids.
     Other columns and all rows stay, repeated ones too; but one named ids would clash and goes, as the new one takes its place.
     """
-    docs = docs.drop("ids") if column != "ids" else docs
-    others = docs.drop(column)
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in others.dtypes), "ids binary"])
 
-    def start() -> Callable[[str | None], bytes]:
+    def start() -> Callable[[str | None], tuple[bytes]]:
         encode_ = codec(path, pattern).encode
-        return lambda text: encode_(text or "")
+        return lambda text: (encode_(text or ""),)
 
-    # a worker serves other tasks after this one, so that what it learnt of words doesn't stay
-    mapped = _mapped(column, "ids", pa.binary(), start, lambda: codec(path, pattern).forget())
-    return docs.select(*[F.col(f"`{c}`") for c in others.columns], F.col(column)).mapInArrow(mapped, schema)
+    return _replaced(docs, column, ("ids",), path, pattern, start)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, column: str = "text") -> DataFrame:
+    """decode(encode(docs)): ids in place of column, and decoded, the bytes that these ids stand for.
+
+    The two in a chain keep two Python processes a task, each with the vocabulary and batches of its own; here one process does both.
+    """
+
+    def start() -> Callable[[str | None], tuple[bytes, bytes]]:
+        own = codec(path, pattern)
+
+        def both(text: str | None) -> tuple[bytes, bytes]:
+            ids = own.encode(text or "")
+            return ids, own.decode(memoryview(ids).cast("I"))
+
+        return both
+
+    return _replaced(docs, column, ("ids", "decoded"), path, pattern, start)
 
 
 def decode(df: DataFrame, path: str, pattern: str, column: str = "ids") -> DataFrame:
@@ -227,11 +249,11 @@ def decode(df: DataFrame, path: str, pattern: str, column: str = "ids") -> DataF
     df = df.drop("decoded")
     schema = ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), "decoded binary"])
 
-    def start() -> Callable[[bytes | None], bytes]:
+    def start() -> Callable[[bytes | None], tuple[bytes]]:
         decode_ = codec(path, pattern).decode
-        return lambda ids: decode_(memoryview(ids or b"").cast("I"))
+        return lambda ids: (decode_(memoryview(ids or b"").cast("I")),)
 
-    return df.withColumn("__ids", F.col(column)).mapInArrow(_mapped("__ids", "decoded", pa.binary(), start, lambda: None), schema)
+    return df.mapInArrow(_mapped(column, ("decoded",), start, lambda: None, keep=True), schema)
 
 
 def n_tokens(ids: Column) -> Column:

@@ -719,6 +719,19 @@ def test_encoding_without_rows_and_with_clashing_columns(spark):
     assert queries.encoded(rows.limit(0)).count() == 0
 
 
+def test_encoding_and_decoding_share_a_process(spark, odd):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    assert queries.encoded(odd)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    sent = bpe.decode(bpe.encode(odd, path, pattern), path, pattern)._jdf.queryExecution().executedPlan().toString()
+    assert "__ids" not in sent  # a second copy of the ids
+    docs = docs_of(spark, ["=" * 70_000, "é " * 9_000, None, ""]).unionByName(odd)
+    rows = lambda df: Counter((r["doc_id"], r["key"], bytes(r["ids"]), bytes(r["decoded"])) for r in df.collect())
+    assert rows(bpe.round_trip(docs, path, pattern)) == rows(bpe.decode(bpe.encode(docs, path, pattern), path, pattern))
+    clash = spark.createDataFrame([(1, "ab c", "x", "y")], "doc_id long, text string, ids string, decoded string")
+    assert bpe.round_trip(clash, path, pattern).columns == ["doc_id", "ids", "decoded"] and bytes(bpe.round_trip(clash, path, pattern).first()["decoded"]) == b"ab c"
+    assert bpe.round_trip(clash, path, pattern, "decoded").columns == ["doc_id", "text", "ids", "decoded"] and bytes(bpe.round_trip(clash, path, pattern, "decoded").first()["decoded"]) == b"y"
+
+
 def test_linking_equals_a_plain_linker(spark):
     """All pairs of parts of a scope, on random parts and on random texts."""
     r = random.Random(9)
