@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by a monoid tree reduction.
 
-Encoding a piece of bytes splits it in half, encodes the halves recursively and joins them: the tokens at
+Encoding a piece of bytes splits it in half, encodes the halves recursively, down to leaves of a few bytes, and joins them: the tokens at
 the boundary are encoded anew, and the window of new tokens grows by a neighbour at a time on the side where its seam isn't
 stable, until the tokens outside provably stay. They do once each seam is stable, that is, once the two tokens at the seam, encoded alone side by side, come out as
 themselves: a sequence is the encoding of its bytes exactly when each two neighbours are that of theirs.
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 import re
 import sys
 from array import array
@@ -21,12 +22,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes that a task may keep of encoded words, of byte strings and of seams; a full store is emptied, and all are at the task's end.
-WORD_BYTES, STRING_BYTES, SEAM_BYTES = 48 << 20, 24 << 20, 16 << 20
+#: Bytes that a task may keep of encoded words, of their parts and of seams; a full store is emptied, and all are at the task's end.
+WORD_BYTES, STRING_BYTES, SEAM_BYTES = 96 << 20, 24 << 20, 16 << 20
 #: What an entry of a store takes besides its contents, about.
 ENTRY = 200
 #: Encodings of parts of words of so many bytes at most are kept.
 STRING = 64
+#: A leaf of the tree has at most so many bytes; strings of so many are merged along a list, longer ones with a heap.
+LEAF_BYTES, LIST_BYTES = 8, 64
+#: More than any rank.
+_NONE = 1 << 62
 #: Longer texts are halved; ids of which there are more are decoded in halves.
 LEAF_CHARS, LEAF_IDS = 1 << 16, 1 << 14
 #: Rows leave a task in batches of about so many bytes.
@@ -61,6 +66,17 @@ class Codec:
         if (n := self.ranks.get(s)) is not None:
             return (n,)
         rank, size = self.ranks.get, len(s)
+        if size <= LIST_BYTES:
+            at = list(range(size + 1))  # where the parts start, and the end
+            pairs = [rank(s[i : i + 2], _NONE) for i in range(size - 1)]
+            while pairs and (least := min(pairs)) != _NONE:
+                i = pairs.index(least)
+                del pairs[i], at[i + 1]
+                if i < len(pairs):
+                    pairs[i] = rank(s[at[i] : at[i + 2]], _NONE)
+                if i:
+                    pairs[i - 1] = rank(s[at[i - 1] : at[i + 1]], _NONE)
+            return tuple([self.ranks[s[i:end]] for i, end in itertools.pairwise(at)])
         ends = list(range(1, size + 1))  # of the part that starts at each place
         before = list(range(-1, size - 1))  # the start of the part before
         alive = [True] * size
@@ -117,10 +133,16 @@ class Codec:
     def encode_piece(self, s: bytes) -> tuple[int, ...]:
         if (n := self.ranks.get(s)) is not None:
             return (n,)
+        if len(s) <= LEAF_BYTES:
+            return self.merge(s)
+        half = len(s) // 2
+        return self.join(self.part(s[:half]), self.part(s[half:]))
+
+    def part(self, s: bytes) -> tuple[int, ...]:
+        """The encoding of a half, which is kept, as other words have it too; whole pieces are kept as words alone."""
         if (known := self.strings.get(s)) is not None:
             return known
-        half = len(s) // 2
-        out = self.join(self.encode_piece(s[:half]), self.encode_piece(s[half:]))
+        out = self.encode_piece(s)
         if len(s) <= STRING:
             self.string_bytes += ENTRY + len(s) + 8 * len(out)
             if self.string_bytes >= STRING_BYTES:

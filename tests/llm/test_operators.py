@@ -710,6 +710,38 @@ def test_joins_equal_the_library_on_random_signs():
         assert list(array("I", codec.encode(text))) == library.encode_ordinary(text)
 
 
+def test_a_task_encodes_a_word_once_and_in_few_steps(monkeypatch):
+    """300,000 different words, twice: the second time all are known; a leaf makes no join, and no word is kept as a part as well."""
+    codec = bpe.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    r = random.Random(30)
+    met = Counter()
+    encode_word, join = codec.encode_word, codec.join
+    monkeypatch.setattr(codec, "encode_word", lambda w: met.update(words=1) or encode_word(w))
+    monkeypatch.setattr(codec, "join", lambda a, b: met.update(joins=1) or join(a, b))
+    codec.encode("zqxjvkw")
+    assert met == {"words": 1} and not codec.strings
+    codec.encode(" zqxjvkwzqxjv")
+    assert met == {"words": 2, "joins": 1} and set(codec.strings) == {b" zqxjv", b"kwzqxjv"}
+    fresh = sorted({"".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(310_000)})[:300_000]
+    met.clear()
+    ids = codec.encode(" ".join(fresh))
+    assert met["words"] == len(fresh)
+    assert codec.encode(" ".join(fresh)) == ids and met["words"] == len(fresh)
+
+
+def test_merges_along_a_list_and_with_a_heap_agree(monkeypatch):
+    import tiktoken
+
+    codec = bpe.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("t", pat_str="(?s).+", mergeable_ranks=codec.ranks, special_tokens={})
+    r = random.Random(31)
+    strings = ["".join(r.choices(r.choice(["ab", "=-", "etaoin ", "éßñ漢", "0a.A "]), k=n)) for n in (*range(1, 25), 63, 64, 65, 200) for _ in range(20)]
+    for limit in (bpe.LIST_BYTES, 0, 1 << 20):
+        monkeypatch.setattr(bpe, "LIST_BYTES", limit)
+        for s in strings:
+            assert list(codec.merge(s.encode())) == list(codec.encode_piece(s.encode())) == library.encode_ordinary(s)
+
+
 def test_encoding_without_rows_and_with_clashing_columns(spark):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     rows = spark.createDataFrame([(1, "ab c", "x", "y")], "doc_id long, text string, ids string, decoded string")
